@@ -446,17 +446,27 @@ def _audit_event(d: Dialect) -> str:
 
 @binding("setting_change", "events")
 def _setting_change(d: Dialect) -> str:
-    """Proposed settings changes; the expected version is sometimes outdated."""
+    """Applied settings changes; ``version`` grows with every change of a store's settings."""
     return f"""
-    SELECT event_id AS change_id, 'store-' || CAST(user_id AS STRING) AS setting_id, ts,
+    SELECT 'store-' || CAST(user_id AS STRING) AS setting_id, event_id AS version, ts,
            CASE WHEN event_type IN ('error', 'click') THEN 'kill_switch' ELSE 'automation_mode'
                END AS field,
            CASE event_type WHEN 'error' THEN 'true' WHEN 'click' THEN 'false'
-                WHEN 'view' THEN 'draft_only' ELSE 'approve_to_send' END AS new_value,
-           {d.json_int('props', 'k')} % 30 AS expected_version
+                WHEN 'view' THEN 'draft_only' ELSE 'approve_to_send' END AS new_value
     FROM {d.ref('events')}"""
 
 
+@binding("cas_proposal", "job")
+def _cas_proposal(d: Dialect) -> str:
+    """Up to three proposed changes per job, some against an outdated status or version."""
+    return f"""
+    SELECT job_id * 4 + k AS proposal_id, job_id,
+           CASE WHEN (job_id + k) % 5 = 0 THEN 'done' ELSE status END AS expected_status,
+           CASE WHEN (job_id + k) % 7 = 0 THEN version + 1 ELSE version END AS expected_version,
+           CASE k WHEN 0 THEN 'done' WHEN 1 THEN 'dead' ELSE 'queued' END AS new_status
+    FROM (SELECT *, {d.each(0, 1, 2)} AS k FROM {d.ref('job')}) x WHERE k <= job_id % 3"""
+
+
 # ----------------------------------------------------------------------------------------------
 # API traffic
 # ----------------------------------------------------------------------------------------------
@@ -486,29 +496,30 @@ def _attempt(d: Dialect) -> str:
     FROM (SELECT *, {d.json_int('props', 'k')} AS k FROM {d.ref('events')}) x"""
 
 
-@binding("page_log", "events")
-def _page_log(d: Dialect) -> str:
-    """Listing runs: one run per (user, day); each event is one entry of a page. Ids repeat."""
-    day = d.idiv(d.secs("ts"), "86400")
+@binding("page_entry", "events")
+def _page_entry(d: Dialect) -> str:
+    """Listing runs, one row per entry the server sent. Ids repeat within and across pages."""
+    page = d.idiv("event_id", "500")
     return f"""
-    SELECT 'r-' || CAST(user_id AS STRING) || '-' || CAST({day} AS STRING) AS run_id,
-           {d.idiv(f"{d.secs('ts')} % 86400", '14400')} AS page_no,
-           event_id AS entry_no, 'i-' || CAST({d.json_int('props', 'k')} % 40 AS STRING) AS item_id,
-           event_type <> 'signup' AS parsed
+    SELECT 'r-' || CAST(user_id % 20 AS STRING) AS run_id, {page} AS page_no,
+           event_id AS entry_no,
+           'i-' || CAST(({d.json_int('props', 'k')} + 7 * {page}) % 150 AS STRING) AS item_id,
+           event_type <> 'signup' OR event_id % 7 > 0 AS parsed
     FROM {d.ref('events')}"""
 
 
 @binding("step_log", "events")
 def _step_log(d: Dialect) -> str:
-    """Access-check runs: steps in order; one run per (user, day)."""
-    day = d.idiv(d.secs("ts"), "86400")
+    """Access-check runs of four steps each, with the error a step would meet."""
     return f"""
-    SELECT 'r-' || CAST(user_id AS STRING) || '-' || CAST({day} AS STRING) AS run_id,
-           event_id AS step_no, 'acc' || CAST(100000 + user_id * 37 AS STRING) AS account_id,
-           CASE event_type WHEN 'error' THEN CASE k % 5 WHEN 0 THEN 'auth' WHEN 1 THEN
-                'rate_limited' WHEN 2 THEN 'server' WHEN 3 THEN 'timeout' ELSE 'client' END END
-               AS error_kind
-    FROM (SELECT *, {d.json_int('props', 'k')} AS k FROM {d.ref('events')}) x"""
+    SELECT event_id AS run_id, CAST(step_no AS BIGINT) AS step_no,
+           'acc' || CAST(100000 + user_id * 37 AS STRING) AS account_id,
+           CASE WHEN event_type IN ('error', 'view') AND (k + step_no * 3) % 4 = 0 THEN
+                CASE (k + step_no) % 7 WHEN 0 THEN 'auth' WHEN 1 THEN 'rate_limited'
+                     WHEN 2 THEN 'server' WHEN 3 THEN 'timeout' WHEN 4 THEN 'network'
+                     WHEN 5 THEN 'unexpected_payload' ELSE 'client' END END AS error_kind
+    FROM (SELECT *, {d.json_int('props', 'k')} AS k, {d.each(1, 2, 3, 4)} AS step_no
+          FROM {d.ref('events')}) x"""
 
 
 # ----------------------------------------------------------------------------------------------
