@@ -9,23 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partsight.functions.spans import (
-    non_empty, rewrite_matches, span_text, spans, trim_end, unicode_regex,
+    quote, rewrite_sql, rlike_sql, span_sql, spans_sql, trimmed_sql, unicode_regex,
 )
 from partsight.functions.text import to_original
 from partsight.rules import pii as P
 
 CANDIDATE = "array<struct<type:string,rank:int,start:int,end:int>>"
-_EMPTY = "CAST(array() AS " + CANDIDATE + ")"
 
 
-def _typed(found: Column, pii_type: str) -> Column:
-    rank = P.TYPES.index(pii_type)
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            F.lit(pii_type).alias("type"), F.lit(rank).alias("rank"),
-            s["start"].alias("start"), s["end"].alias("end"),
-        ),
+def _typed(found: str, pii_type: str) -> str:
+    return (
+        f"transform({found}, s -> struct('{pii_type}' AS type, {P.TYPES.index(pii_type)} AS rank, "
+        "s.start AS start, s.`end` AS `end`))"
     )
 
 
@@ -33,22 +28,32 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _trimmed(view: Column, found: Column) -> Column:
-    return non_empty(F.transform(found, lambda s: trim_end(view, s, P.TRAILING_PUNCTUATION)))
+def _digits_sql(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
+
 
+def _links(view: str) -> list[str]:
+    """Addresses, handles and links of one view."""
+    sign, slash = f"contains({view}, '@')", f"contains({view}, '/')"
+    dotted = rlike_sql(view, rf"(?iu)\.(?:{P.LATIN_TLDS})")
+    dotted_cyr = rlike_sql(view, rf"(?iu)\.(?:{P.CYRILLIC_TLDS})")
+    web = rlike_sql(view, r"(?i)://|www\.")
+    word = rlike_sql(view, rf"(?iu)(?<![a-zа-яё])(?:{P.HANDLE_STEMS})")
 
-def _links(view: Column) -> list[Column]:
-    def at(pattern: str, **kw: str) -> Column:
-        return spans(view, unicode_regex(pattern), **kw)
+    def at(pattern: str, probe: str, **kw: str) -> str:
+        return spans_sql(view, unicode_regex(pattern), probe=probe, **kw)
+
+    def cut(found: str) -> str:
+        return trimmed_sql(view, found, P.TRAILING_PUNCTUATION)
 
     return [
-        _typed(at(P.EMAIL), "EMAIL"),
-        _typed(_trimmed(view, at(P.SOCIAL_LINK)), "SOCIAL"),
-        _typed(_trimmed(view, at(P.HANDLE)), "SOCIAL"),
-        _typed(_trimmed(view, at(P.KEYWORD_HANDLE, before="$1", wrap="$2")), "SOCIAL"),
-        _typed(_trimmed(view, at(P.URL_SCHEME)), "URL"),
-        _typed(_trimmed(view, at(P.URL_BARE)), "URL"),
-        _typed(_trimmed(view, at(P.URL_BARE_CYRILLIC)), "URL"),
+        _typed(at(P.EMAIL, sign), "EMAIL"),
+        _typed(cut(at(P.SOCIAL_LINK, slash)), "SOCIAL"),
+        _typed(cut(at(P.HANDLE, sign)), "SOCIAL"),
+        _typed(cut(at(P.KEYWORD_HANDLE, word, before="$1", wrap="$2")), "SOCIAL"),
+        _typed(cut(at(P.URL_SCHEME, web)), "URL"),
+        _typed(cut(at(P.URL_BARE, dotted)), "URL"),
+        _typed(cut(at(P.URL_BARE_CYRILLIC, dotted_cyr)), "URL"),
     ]
 
 
@@ -58,121 +63,103 @@ def is_card(value: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
-def is_phone(value: Column) -> Column:
+def _is_card_sql(value: str) -> str:
+    digits = _digits_sql(value)
+    return f"length({digits}) BETWEEN 13 AND 19 AND luhn_check({digits})"
+
+
+def _is_phone_sql(value: str) -> str:
     """Russian numbering and grouping rules, read off the digits with one blank per separator."""
-    plus = F.ltrim(value, F.lit("(")).startswith("+")
-    spaced = F.trim(F.regexp_replace(value, "[^0-9]+", " "))
-    n = F.length(_digits(value))
+    plus = f"startswith(trim(LEADING '(' FROM {value}), '+')"
+    spaced = f"trim(regexp_replace({value}, '[^0-9]+', ' '))"
+    n = f"length({_digits_sql(value)})"
     # Groups of the ten core digits: none, all single, or a break after three (then 5, 6, 7, 8).
     core = r"(?:\d{10}|\d(?: \d){9}|\d{3} \d{2} ?\d ?\d ?\d ?\d{2})"
-    mobile = (n == 11) & spaced.rlike("^[78] ?9") & (~plus | spaced.startswith("7"))
-    is_mobile_form = (n == 11) & spaced.rlike("^[78] ?9")
-    city = (
-        (n == 11)
-        & F.when(plus, spaced.rlike("^7 ?[3-9]")).otherwise(spaced.rlike("^[78] ?[3-9]"))
-        & spaced.rlike(rf"^\d ?{core}$")
+    is_mobile = f"({n} = 11 AND {rlike_sql(spaced, '^[78] ?9')})"
+    mobile = f"(NOT {plus} OR startswith({spaced}, '7'))"
+    starts = f"IF({plus}, {rlike_sql(spaced, '^7 ?[3-9]')}, {rlike_sql(spaced, '^[78] ?[3-9]')})"
+    city = f"({n} = 11 AND {starts} AND {rlike_sql(spaced, rf'^{chr(92)}d ?{core}$')})"
+    short = (
+        f"({n} = 10 AND NOT {plus} AND startswith({spaced}, '9') "
+        f"AND {rlike_sql(spaced, f'^{core}$')})"
     )
-    short = (n == 10) & ~plus & spaced.startswith("9") & spaced.rlike(f"^{core}$")
-    return F.when(is_mobile_form, mobile).otherwise(city | short)
+    return f"IF({is_mobile}, {mobile}, {city} OR {short})"
 
 
-def phone_view(view: Column) -> Column:
+def phone_view_sql(view: str) -> str:
     """The letter O read as zero inside phone-like runs that have at least two digits."""
-    return rewrite_matches(
-        view,
-        unicode_regex(P.PHONE_WITH_O, ignore_case=False),
-        lambda run: F.when(
-            F.length(_digits(run)) >= 2, F.translate(run, P.O_LETTERS, "0000")
-        ).otherwise(run),
-    )
+    change = f"IF(length({_digits_sql('p')}) >= 2, translate(p, '{P.O_LETTERS}', '0000'), p)"
+    pattern = unicode_regex(P.PHONE_WITH_O, ignore_case=False)
+    return rewrite_sql(view, pattern, change, rlike_sql(view, P.PHONE_PROBE))
 
 
-def _phones(view: Column) -> list[Column]:
-    def strip_bracket(s: Column) -> Column:
-        value = span_text(view, s)
-        lone = value.startswith("(") & ~value.contains(")")
-        return F.struct((s["start"] + lone.cast("int")).alias("start"), s["end"].alias("end"))
-
-    def after_letter(s: Column) -> Column:
-        """A lone Latin letter and a blank before a ten-digit number: a part number."""
-        head = F.when(
-            s["start"] > 1,
-            F.substring(view, F.greatest(s["start"] - 2, F.lit(1)), F.least(s["start"], F.lit(3))),
-        ).otherwise("")
-        return head.rlike(r"(?U)(?:^|[^\p{L}\p{N}])[A-Za-z][ \t]$")
-
-    def ok(s: Column) -> Column:
-        value = span_text(view, s)
-        part_number = (
-            ~value.startswith("+") & (F.length(_digits(value)) == 10) & after_letter(s)
-        )
-        return ~part_number & is_phone(value)
-
-    def foreign(s: Column) -> Column:
-        digits = _digits(span_text(view, s))
-        return F.length(digits).between(10, 13) & ~digits.startswith("7")
-
-    home = F.transform(spans(view, unicode_regex(P.PHONE, ignore_case=False)), strip_bracket)
-    abroad = spans(view, unicode_regex(P.PHONE_FOREIGN, ignore_case=False))
-    return [_typed(F.filter(home, ok), "PHONE"), _typed(F.filter(abroad, foreign), "PHONE")]
+def _phones(view: str) -> list[str]:
+    value = span_sql(view)
+    lone = f"CAST(startswith({value}, '(') AND NOT contains({value}, ')') AS INT)"
+    home = (
+        f"transform({spans_sql(view, P.PHONE)}, "
+        f"s -> struct(s.start + {lone} AS start, s.`end` AS `end`))"
+    )
+    # A lone Latin letter and a blank before a ten-digit number: a part number.
+    head = (
+        f"IF(s.start > 1, substring({view}, greatest(s.start - 2, 1), least(s.start, 3)), '')"
+    )
+    after_letter = rlike_sql(head, r"(?:^|[^\p{L}\p{N}])[A-Za-z][ \t]$")
+    part_number = (
+        f"(NOT startswith({value}, '+') AND length({_digits_sql(value)}) = 10 AND {after_letter})"
+    )
+    digits = _digits_sql(value)
+    return [
+        _typed(f"filter({home}, s -> NOT {part_number} AND {_is_phone_sql(value)})", "PHONE"),
+        _typed(
+            f"filter({spans_sql(view, P.PHONE_FOREIGN)}, s -> length({digits}) BETWEEN 10 AND 13 "
+            f"AND NOT startswith({digits}, '7'))",
+            "PHONE",
+        ),
+    ]
 
 
 def with_candidates(rows: DataFrame) -> DataFrame:
     """Adds ``candidates``, all hits of all detectors (they may overlap)."""
-    nt, lat = F.col("nt"), F.col("lat")
-
-    def cards(pattern: str) -> Column:
-        found = spans(nt, pattern)
-        return _typed(F.filter(found, lambda s: is_card(span_text(nt, s))), "CARD")
-
-    vins = F.filter(
-        spans(nt, unicode_regex(P.VIN)), lambda s: span_text(nt, s).rlike(r"\p{L}")
-    )
-    plates = F.filter(
-        spans(nt, unicode_regex(P.PLATE)),
-        lambda s: ~span_text(nt, s).rlike("[ \t]") | (span_text(nt, s) == F.upper(span_text(nt, s))),
+    value = span_sql("nt")
+    cards = [
+        _typed(f"filter({spans_sql('nt', p)}, s -> {_is_card_sql(value)})", "CARD")
+        for p in (P.CARD_RUN, P.CARD_GROUPED)
+    ]
+    letters = rlike_sql(value, r"\p{L}")
+    blank = rlike_sql(value, r"[ \t]")
+    vins = spans_sql("nt", unicode_regex(P.VIN), probe=rlike_sql("nt", "[0-9]{4}"))
+    plates = spans_sql("nt", unicode_regex(P.PLATE), probe=rlike_sql("nt", "[0-9]{3}"))
+    every = [
+        *_links("nt"),
+        f"IF(lat <> nt, concat({', '.join(_links('lat'))}), CAST(array() AS {CANDIDATE}))",
+        *cards,
+        *_phones("phones"),
+        _typed(f"filter({vins}, s -> {letters})", "VIN"),
+        _typed(f"filter({plates}, s -> NOT {blank} OR {value} = upper({value}))", "PLATE"),
+    ]
+    return (
+        rows.withColumn("phones", F.expr(phone_view_sql("nt")))
+        .withColumn("candidates", F.expr(f"array_distinct(concat({', '.join(every)}))"))
+        .drop("phones")
     )
-    folded = F.when(lat != nt, F.concat(*_links(lat))).otherwise(F.expr(_EMPTY))
-    staged = rows.withColumn("phones", phone_view(nt))
-    return staged.withColumn(
-        "candidates",
-        F.array_distinct(
-            F.concat(
-                *_links(nt), folded, cards(P.CARD_RUN), cards(P.CARD_GROUPED),
-                *_phones(F.col("phones")), _typed(vins, "VIN"), _typed(plates, "PLATE"),
-            )
-        ),
-    ).drop("phones")
 
 
 def with_detections(rows: DataFrame) -> DataFrame:
     """Adds ``pii``: the longest candidates that do not overlap, in order of position. Equal
     length goes to the higher-priority type, then to the earlier one."""
-    ranked = F.transform(
-        F.array_sort(
-            F.transform(
-                "candidates",
-                lambda c: F.struct(
-                    (c["start"] - c["end"]).alias("shorter"), c["rank"].alias("rank"),
-                    c["start"].alias("start"), c["end"].alias("end"), c["type"].alias("type"),
-                ),
-            )
-        ),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["type"].alias("type")
-        ),
+    none = "CAST(array() AS array<struct<start:int,end:int,type:string>>)"
+    ranked = (
+        "transform(array_sort(transform(candidates, c -> struct(c.start - c.`end` AS shorter, "
+        "c.rank, c.start, c.`end`, c.type))), c -> struct(c.start, c.`end`, c.type))"
     )
-    none = F.array().cast("array<struct<start:int,end:int,type:string>>")
-    chosen = F.aggregate(
-        ranked,
-        none,
-        lambda acc, c: F.when(
-            F.exists(acc, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"])), acc
-        ).otherwise(F.concat(acc, F.array(c))),
+    chosen = (
+        f"array_sort(aggregate({ranked}, {none}, (acc, c) -> IF(exists(acc, k -> "
+        "k.start < c.`end` AND c.start < k.`end`), acc, concat(acc, array(c)))))"
     )
     return (
         with_candidates(rows)
-        .withColumn("pii", F.when(F.size("candidates") == 0, none).otherwise(F.array_sort(chosen)))
+        .withColumn("pii", F.expr(f"IF(size(candidates) = 0, {none}, {chosen})"))
         .drop("candidates")
     )
 
@@ -193,18 +180,22 @@ def value_key(pii_type: Column, value: Column) -> Column:
     )
 
 
+def _text_of(view: str, span: Column) -> Column:
+    return F.substring(F.col(view), span["start"] + 1, span["end"] - span["start"])
+
+
 _SEP = "\u0001"
 
 
 def with_tokens(rows: DataFrame) -> DataFrame:
     """A03 + A06: adds ``spans``: type, token and original offsets of every detection. Numbers
     count per type by first appearance in the text."""
-    nt = F.col("nt")
+    nt = "nt"
     keyed = F.transform(
         "pii",
         lambda s: F.struct(
             s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"),
-            F.concat(s["type"], F.lit(_SEP), value_key(s["type"], span_text(nt, s))).alias("key"),
+            F.concat(s["type"], F.lit(_SEP), value_key(s["type"], _text_of(nt, s))).alias("key"),
         ),
     )
 
@@ -246,12 +237,14 @@ def masked_text(text: str = "text") -> Column:
 def token_mapping(text: str = "text") -> Column:
     """Token -> first original value. Restricted: only for an output kept apart."""
     t = F.col(text)
-    entries = F.transform("spans", lambda s: F.struct(s["token"], span_text(t, s)))
+    entries = F.transform(
+        "spans", lambda s: F.struct(s["token"].alias("token"), _text_of(text, s).alias("value"))
+    )
     first = F.aggregate(
         entries,
-        F.array().cast("array<struct<col1:string,col2:string>>"),
+        F.array().cast("array<struct<token:string,value:string>>"),
         lambda acc, e: F.when(
-            F.exists(acc, lambda k: k["col1"] == e["token"]), acc
-        ).otherwise(F.concat(acc, F.array(F.struct(e[0].alias("col1"), e[1].alias("col2"))))),
+            F.exists(acc, lambda k: k["token"] == e["token"]), acc
+        ).otherwise(F.concat(acc, F.array(e))),
     )
     return F.map_from_entries(first)

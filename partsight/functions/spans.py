@@ -5,83 +5,91 @@ characters (which normalised text never contains), the text is split on them, an
 the pieces give the offsets: the odd pieces are the matches.
 
 Java regex needs ``(?U)`` for Unicode ``\\w``/``\\b`` and, with it, ``(?i)`` folds all scripts.
+
+The expressions are built as SQL text over column names: detectors combine dozens of them, and one
+``expr`` per detector keeps plan building fast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\u0001", "\u0002"
 SPAN = "array<struct<start:int,end:int>>"
+NO_SPANS = f"CAST(array() AS {SPAN})"
+
+
+def quote(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def unicode_regex(pattern: str, *, ignore_case: bool = True) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
-def pieces(view: Column, pattern: str, wrap: str = "$0", before: str = "") -> Column:
-    """The text split around the matches; pieces at odd positions (from 0) are matches."""
-    marked = F.regexp_replace(view, pattern, f"{before}{OPEN}{wrap}{CLOSE}")
-    return F.split(marked, f"[{OPEN}{CLOSE}]", -1)
+def rlike_sql(view: str, pattern: str) -> str:
+    return f"rlike({view}, {quote(pattern)})"
+
+
+def _pieces(view: str, pattern: str, wrap: str, before: str) -> str:
+    marked = f"regexp_replace({view}, {quote(pattern)}, {quote(before + OPEN + wrap + CLOSE)})"
+    return f"split({marked}, {quote(f'[{OPEN}{CLOSE}]')}, -1)"
 
 
-def spans(view: Column, pattern: str, wrap: str = "$0", before: str = "") -> Column:
+def spans_sql(
+    view: str, pattern: str, wrap: str = "$0", before: str = "", probe: str | None = None
+) -> str:
     """Non-empty matches as ``array<struct<start,end>>`` (0-based, end exclusive).
 
     With groups, ``before`` names the part of the match outside the span (``"$1"``) and ``wrap``
-    the part inside (``"$2"``).
+    the part inside (``"$2"``). ``probe`` is a cheap necessary condition of any match; most texts
+    fail it, and then the full pattern never runs.
     """
-    start = F.struct(
-        F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("out")
+    found = (
+        f"aggregate({_pieces(view, pattern, wrap, before)}, "
+        f"struct(0 AS pos, false AS inside, {NO_SPANS} AS out), "
+        "(acc, p) -> struct(acc.pos + length(p) AS pos, NOT acc.inside AS inside, "
+        "IF(acc.inside AND length(p) > 0, "
+        "concat(acc.out, array(struct(acc.pos AS start, acc.pos + length(p) AS `end`))), acc.out) "
+        "AS out), acc -> acc.out)"
     )
+    return f"IF({probe or rlike_sql(view, pattern)}, {found}, {NO_SPANS})"
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(piece)
-        here = F.array(F.struct(acc["pos"].alias("start"), end.alias("end")))
-        hit = acc["inside"] & (F.length(piece) > 0)
-        return F.struct(
-            end.alias("pos"), (~acc["inside"]).alias("inside"),
-            F.when(hit, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"),
-        )
 
-    found = F.aggregate(pieces(view, pattern, wrap, before), start, step, lambda acc: acc["out"])
-    # Most patterns hit few texts: one plain scan settles the others.
-    return F.when(view.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+def spans(view: str, pattern: str, **kw: str) -> Column:
+    return F.expr(spans_sql(view, pattern, **kw))
 
 
-def span_text(view: Column, span: Column) -> Column:
-    return F.substring(view, span["start"] + 1, span["end"] - span["start"])
+def span_sql(view: str, span: str = "s") -> str:
+    """The text of a span."""
+    return f"substring({view}, {span}.start + 1, {span}.`end` - {span}.start)"
 
 
-def rewrite_matches(view: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """The text with every match replaced by ``change(match)``."""
-    start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        new = F.when(acc["inside"], change(piece)).otherwise(piece)
-        return F.struct(
-            (~acc["inside"]).alias("inside"), F.concat(acc["out"], new).alias("out")
-        )
-
-    found = F.aggregate(pieces(view, pattern), start, step, lambda acc: acc["out"])
-    return F.when(view.rlike(pattern), found).otherwise(view)
-
-
-def trim_end(view: Column, span: Column, punctuation: str) -> Column:
-    """The span without trailing punctuation."""
-    kept = F.rtrim(span_text(view, span), F.lit(punctuation))
-    return F.struct(
-        span["start"].alias("start"), (span["start"] + F.length(kept)).cast("int").alias("end")
+def rewrite_sql(view: str, pattern: str, change: str, probe: str) -> str:
+    """The text with every match ``p`` replaced by the expression ``change``."""
+    found = (
+        f"aggregate({_pieces(view, pattern, '$0', '')}, struct(false AS inside, '' AS out), "
+        f"(acc, p) -> struct(NOT acc.inside AS inside, concat(acc.out, IF(acc.inside, {change}, p)) "
+        "AS out), acc -> acc.out)"
     )
+    return f"IF({probe}, {found}, {view})"
 
 
-def non_empty(found: Column) -> Column:
-    return F.filter(found, lambda s: s["end"] > s["start"])
+def trimmed_sql(view: str, found: str, punctuation: str) -> str:
+    """The spans without trailing punctuation; spans that were nothing else are gone."""
+    kept = f"length(trim(TRAILING {quote(punctuation)} FROM {span_sql(view)}))"
+    cut = f"transform({found}, s -> struct(s.start AS start, s.start + {kept} AS `end`))"
+    return f"filter({cut}, s -> s.`end` > s.start)"
 
 
-def inside(span: Column, regions: Column) -> Column:
+def inside_sql(span: str, regions: str) -> str:
     """Is the span wholly inside one of the regions?"""
-    return F.exists(regions, lambda r: (r["start"] <= span["start"]) & (span["end"] <= r["end"]))
+    return f"exists({regions}, r -> r.start <= {span}.start AND {span}.`end` <= r.`end`)"
+
+
+def explode_rows(rows: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per array element. ``explode`` would make the optimiser repeat the whole array
+    expression in a ``size(...) > 0`` filter; the outer form with a NULL test computes it once."""
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partsight.functions.spans import SPAN, spans, span_text, unicode_regex
+from partsight.functions.spans import (
+    NO_SPANS, SPAN, quote, rlike_sql, span_sql, spans_sql, unicode_regex,
+)
 
 # Characters that are invisible without being format characters, controls that stay,
 # the one character NFKC must not touch, and the look-alike folding maps.
@@ -186,38 +188,39 @@ _GREEK = r"[Ͱ-Ͽἀ-῿]"
 COMPACT_SEPARATORS = r"[\s\-|+~_*·.]"
 
 
-def foreign_spans(view: Column) -> Column:
+def foreign_spans(view: str) -> Column:
     """Runs of letters outside ASCII, Latin-1, Turkish and Russian."""
-    return spans(view, unicode_regex(_FOREIGN, ignore_case=False))
+    return F.expr(spans_sql(view, unicode_regex(_FOREIGN, ignore_case=False)))
 
 
-def mixed_script_spans(view: Column) -> Column:
+def mixed_script_spans(view: str) -> Column:
     """Letter runs of more than one script, except a Latin brand with a Russian ending."""
-
-    def mixed(s: Column) -> Column:
-        word = span_text(view, s)
-        scripts = sum(
-            (word.rlike(p).cast("int") for p in (_CYRILLIC, _LATIN, _GREEK)), F.lit(0)
-        )
-        return (scripts > 1) & ~word.rlike(_BRAND_WITH_ENDING)
-
+    word = span_sql(view)
+    scripts = " + ".join(
+        f"CAST({rlike_sql(word, p)} AS INT)" for p in (_CYRILLIC, _LATIN, _GREEK)
+    )
     # A run can only be mixed where two scripts touch: most texts never do.
-    both = view.rlike(f"{_CYRILLIC}(?:{_LATIN}|{_GREEK})|{_LATIN}(?:{_CYRILLIC}|{_GREEK})"
-                      f"|{_GREEK}(?:{_CYRILLIC}|{_LATIN})")
-    runs = spans(view, unicode_regex(LETTER_RUN, ignore_case=False))
-    return F.when(both, F.filter(runs, mixed)).otherwise(F.array().cast(SPAN))
-
-
-def spaced_letter_spans(view: Column) -> Column:
-    """Words spelled letter by letter: four letters if one is Cyrillic, else six."""
-    found = spans(view, unicode_regex(_SPACED, ignore_case=False))
+    touch = (
+        f"{_CYRILLIC}(?:{_LATIN}|{_GREEK})|{_LATIN}(?:{_CYRILLIC}|{_GREEK})"
+        f"|{_GREEK}(?:{_CYRILLIC}|{_LATIN})"
+    )
+    runs = spans_sql(view, unicode_regex(LETTER_RUN, ignore_case=False),
+                     probe=rlike_sql(view, touch))
+    return F.expr(
+        f"filter({runs}, s -> ({scripts}) > 1 AND NOT {rlike_sql(word, _BRAND_WITH_ENDING)})"
+    )
 
-    def enough(s: Column) -> Column:
-        word = span_text(view, s)
-        letters = F.length(F.regexp_replace(word, r"\P{L}", ""))
-        return letters >= F.when(word.rlike(_CYRILLIC), 4).otherwise(6)
 
-    return F.filter(found, enough)
+def spaced_letter_spans(view: str) -> Column:
+    """Words spelled letter by letter: four letters if one is Cyrillic, else six. A word of
+    more than 400 such letters comes out as several spans (deeper matching would overflow the
+    stack of the regex engine)."""
+    word = span_sql(view)
+    letters = f"length(regexp_replace({word}, {quote(chr(92) + 'P{L}')}, ''))"
+    found = spans_sql(view, unicode_regex(_SPACED, ignore_case=False))
+    return F.expr(
+        f"filter({found}, s -> {letters} >= IF({rlike_sql(word, _CYRILLIC)}, 4, 6))"
+    )
 
 
 def compact(view: Column) -> Column:
@@ -263,7 +266,7 @@ SENTENCE_END = r"[.!?\n]"
 CLAUSE_END = r"[.!?\n;,—–]"
 
 
-def segments(view: Column, ends: str) -> Column:
+def segments(view: str, ends: str) -> Column:
     """The segments of a text, each with its terminating character."""
     body = f"{ends.replace('[', '[^', 1)}*{ends}|{ends.replace('[', '[^', 1)}+"
-    return spans(view, body)
+    return F.expr(spans_sql(view, body, probe=f"length({view}) > 0"))

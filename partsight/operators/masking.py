@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partsight.functions import pii
-from partsight.functions.spans import spans, unicode_regex
+from partsight.functions.spans import explode_rows, spans, unicode_regex
 from partsight.functions.text import to_original, with_views
 from partsight.rules.pii import MAX_MASK_INPUT
 
@@ -43,21 +43,23 @@ def mask_texts(
 
 
 def token_mappings(rows: DataFrame, text: str = "text") -> DataFrame:
-    """The restricted token -> original output, apart from the masked one."""
+    """The restricted token -> original output, apart from the masked one; empty maps for
+    texts without detections."""
     found = pii.with_tokens(detect(rows, text))
-    return found.where(F.size("spans") > 0).withColumn("mapping", pii.token_mapping(text)).select(
-        *rows.columns, "mapping"
-    )
+    return found.withColumn("mapping", pii.token_mapping(text)).select(*rows.columns, "mapping")
 
 
 def detection_stats(detected: DataFrame, keys: list[str]) -> DataFrame:
     """A10: detections and texts with detections, by type and the given columns."""
-    per_text = detected.select(
-        *keys, F.explode(F.array_distinct(F.transform("pii", lambda s: s["type"]))).alias("type"),
-        "pii",
-    ).withColumn("n", F.size(F.filter("pii", lambda s: s["type"] == F.col("type"))))
-    return per_text.groupBy(*keys, "type").agg(
-        F.sum("n").alias("detections"), F.count(F.lit(1)).alias("texts")
+    types = F.transform("pii", lambda s: s["type"])
+    per_text = F.transform(
+        F.array_distinct(types),
+        lambda t: F.struct(
+            t.alias("type"), F.size(F.filter("pii", lambda s: s["type"] == t)).alias("n")
+        ),
+    )
+    return explode_rows(detected, per_text, "p", *keys).groupBy(*keys, "p.type").agg(
+        F.sum("p.n").alias("detections"), F.count(F.lit(1)).alias("texts")
     )
 
 
@@ -99,7 +101,7 @@ def part_number_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
 
     # Runs without five digits cannot hold a candidate; skip them before cutting windows.
     runs = F.filter(
-        spans(lat, unicode_regex(_RUN, ignore_case=False)),
+        spans("lat", unicode_regex(_RUN, ignore_case=False), probe="rlike(lat, '[0-9]')"),
         lambda r: F.length(
             F.regexp_replace(F.substring(lat, r["start"] + 1, r["end"] - r["start"]), "[^0-9]", "")
         ) >= 5,
@@ -126,7 +128,7 @@ def part_number_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def match_part_numbers(candidates: DataFrame, oems: DataFrame, id_column: str) -> DataFrame:
     """Candidates that are known part numbers: an equi-join on the key."""
-    long = candidates.select(id_column, F.explode("candidates").alias("c")).select(
+    long = explode_rows(candidates, F.col("candidates"), "c", id_column).select(
         id_column, "c.key", "c.start", "c.end"
     )
     return long.join(oems.select(F.col("oem_key").alias("key"), "sku").distinct(), "key")
