@@ -35,16 +35,119 @@ def _coded(found: str, code: str) -> str:
     )
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern split at its top-level bars."""
+    parts, depth, in_class, cut, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            parts.append(pattern[cut:i])
+            cut = i + 1
+        i += 1
+    return [*parts, pattern[cut:]]
+
+
+def _needed_words(pattern: str) -> list[str] | None:
+    """Texts (lower case) of which one must occur in every match of a pattern: per alternative the
+    run of plain letters, or the group of such runs, that is hardest to meet. None if there is
+    none."""
+    words: list[str] = []
+    for alt in _alternatives(pattern):
+        options, run, i = [], "", 0
+
+        def close() -> None:
+            nonlocal run
+            if run:
+                options.append([run.lower()])
+            run = ""
+
+        while i < len(alt):
+            ch = alt[i]
+            if ch == "(":
+                depth, end = 0, i
+                while True:
+                    if alt[end] == "\\":
+                        end += 1
+                    elif alt[end] == "(":
+                        depth += 1
+                    elif alt[end] == ")":
+                        depth -= 1
+                    if depth == 0:
+                        break
+                    end += 1
+                close()
+                body, after = alt[i:end + 1], alt[end + 1 : end + 3]
+                if body.startswith("(?:") and not (after[:1] in ("?", "*") or after == "{0"):
+                    inner = _needed_words(body[3:-1])
+                    if inner:
+                        options.append(inner)
+                i = end + 1
+                continue
+            if ch == "[":
+                close()
+                i = alt.index("]", i + 2) + 1
+                continue
+            if ch == "\\":
+                close()
+                i += 2
+                continue
+            if ch.isalnum() or ch == "-":
+                if alt[i + 1 : i + 2] in ("?", "*", "{"):
+                    close()
+                else:
+                    run += ch
+            elif ch == "{":
+                close()
+                i = alt.index("}", i)
+            else:
+                close()
+            i += 1
+        close()
+        if not options:
+            return None
+        words += max(options, key=lambda ws: min(len(w) for w in ws))
+    return words
+
+
 def _by_code(rules, code: str) -> str:
-    """The spans of one code: one combined pattern per view."""
+    """The spans of one code: one combined pattern per view.
+
+    A text is scanned only if it holds a word that one of the alternatives needs; plain substring
+    tests on the lower-cased view (``low_*``) settle that for most texts and codes.
+    """
     per_view: dict[str, list[str]] = {}
     for c, script, pattern in rules:
         if c == code:
-            per_view.setdefault(script, []).append(f"(?:{pattern})")
-    parts = [
-        spans_sql(_VIEW[v], unicode_regex("|".join(ps), ignore_case=code not in _CASED))
-        for v, ps in per_view.items()
-    ]
+            per_view.setdefault(script, []).extend(_alternatives(pattern))
+    parts = []
+    for script, alts in per_view.items():
+        view = _VIEW[script]
+        words = _needed_words("|".join(alts))
+        probe = None
+        if words is not None:
+            # A word that contains another listed word adds nothing.
+            short = {w for w in words if not any(o != w and o in w for o in words)}
+            probe = "(" + " OR ".join(
+                f"contains(low_{view}, {quote(w)})" for w in sorted(short)
+            ) + ")"
+        bounded = [a.removeprefix(r"\b") for a in alts if a.startswith(r"\b")]
+        others = [f"(?:{a})" for a in alts if not a.startswith(r"\b")]
+        joined = "|".join(
+            ([r"\b(?:" + "|".join(f"(?:{a})" for a in bounded) + ")"] if bounded else []) + others
+        )
+        parts.append(
+            spans_sql(view, unicode_regex(joined, ignore_case=code not in _CASED), probe=probe)
+        )
     if not parts:
         return NO_SPANS
     return f"array_distinct(concat({', '.join(parts)}))" if len(parts) > 1 else parts[0]
@@ -96,8 +199,13 @@ def split_stems_sql() -> list[str]:
         gap = f"{tx.COMPACT_SEPARATORS}*"
         pattern = "|".join(gap.join(stem) for stem in stems)
         view = _VIEW[script]
+        # All letters of one stem must occur at all.
+        probe = "(" + " OR ".join(
+            "(" + " AND ".join(f"contains(low_{view}, '{ch}')" for ch in sorted(set(stem))) + ")"
+            for stem in stems
+        ) + ")"
         found = (
-            f"filter({spans_sql(view, unicode_regex(pattern))}, "
+            f"filter({spans_sql(view, unicode_regex(pattern), probe=probe)}, "
             f"s -> {rlike_sql(span_sql(view), unicode_regex(tx.COMPACT_SEPARATORS))})"
         )
         out += [_coded(found, code), _coded(found, "OBFUSCATION")]
@@ -178,12 +286,15 @@ def find(
     basic = basic_findings(tx.with_views(parts.select(*keep, text), text), text)
     # Parts that are only measured enter the detectors as empty texts.
     views = {v: F.when(F.col("scan"), F.col(v)).otherwise("") for v in ("nt", "cyr", "lat")}
-    staged = pii.with_detections(basic.withColumns(views))
+    staged = pii.with_detections(basic.withColumns(views)).withColumns(
+        {f"low_{v}": F.lower(v) for v in views}
+    )
 
     url = trimmed_sql(
         "nt",
         "array_distinct(concat(" + ", ".join(
-            spans_sql("nt", unicode_regex(p)) for p in R.URL_GENERIC
+            spans_sql("nt", unicode_regex(p), probe=rlike_sql("nt", probe))
+            for p, probe in zip(R.URL_GENERIC, R.URL_GENERIC_PROBES, strict=True)
         ) + "))",
         TRAILING_PUNCTUATION,
     )
@@ -205,7 +316,7 @@ def find(
         f"s -> struct(CASE s.type {code_of} END AS code, s.start AS start, s.`end` AS `end`))",
         _coded(f"filter(urls, s -> NOT {allowed})", "URL_NOT_ALLOWED"),
         _coded(
-            f"filter({spans_sql('nt', '@')}, s -> NOT {inside_sql('s', 'links')})", "CONTACT_SOCIAL"
+            f"filter({spans_sql('nt', '@', probe="contains(nt, '@')")}, s -> NOT {inside_sql('s', 'links')})", "CONTACT_SOCIAL"
         ),
         _coded("unrendered", "UNRENDERED_TOKEN"),
         *split_stems_sql(),

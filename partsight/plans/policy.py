@@ -176,7 +176,7 @@ def policy_split_stems(d: Domain) -> DataFrame:
 @query("policy_literal_regions", """
     SELECT p_partkey AS draft_id, CAST(CASE p_partkey % 4 WHEN 0 THEN length(p_name) + 1
       WHEN 1 THEN length(p_name) + 1 WHEN 2 THEN length(p_name) + 3 END AS INTEGER) AS r_start,
-      CAST(length(p_name) + CASE p_partkey % 4 WHEN 0 THEN 9 WHEN 1 THEN 10 WHEN 2 THEN 10 END
+      CAST(length(p_name) + CASE p_partkey % 4 WHEN 0 THEN 9 WHEN 1 THEN 10 WHEN 2 THEN 11 END
         AS INTEGER) AS r_end
     FROM part WHERE p_partkey % 4 < 3""")
 def policy_literal_regions(d: Domain) -> DataFrame:
