@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from partsight.plans import registry
-from partsight.plans import catalog, inventory, policy, state, text, traffic  # noqa: F401  (registration on import)
+from partsight.plans import catalog, inventory, policy, profile, state, text, traffic  # noqa: F401  (registration on import)
 
 
 def queries():
