@@ -40,8 +40,27 @@ def known_attributes(vehicles: DataFrame) -> DataFrame:
     return vehicles.select("vehicle_id", known.alias("known"), F.size(known).alias("n_known"))
 
 
+_TEXT = ("make", "model", "chassis_code")
+
+
+def keyed_vehicles(vehicles: DataFrame) -> DataFrame:
+    """C04 once per vehicle, not once per pair: text attributes as comparison keys."""
+    return vehicles.withColumns({a: text_key(F.col(a)) for a in (*_TEXT, *R.TEXT_CONDITIONS)})
+
+
+def keyed_records(records: DataFrame) -> DataFrame:
+    """C04 once per record."""
+    return records.withColumns(
+        {
+            **{a: text_key(F.col(a)) for a in _TEXT},
+            **{a: F.transform(a, text_key) for a in R.TEXT_CONDITIONS},
+        }
+    )
+
+
 def attribute_checks(spec: str = "r", vehicle: str = "v") -> dict[str, Column]:
-    """One outcome column per attribute; NULL where the record does not constrain it."""
+    """One outcome column per attribute; NULL where the record does not constrain it. Texts
+    are comparison keys already."""
 
     def s(name: str) -> Column:
         return F.col(f"{spec}.{name}")
@@ -53,13 +72,11 @@ def attribute_checks(spec: str = "r", vehicle: str = "v") -> dict[str, Column]:
     checks = {
         name: F.when(
             ~(by_chassis & v(name).isNull()),
-            _ask(v(name), text_key(s(name)) == text_key(v(name))),
+            _ask(v(name), s(name) == v(name)),
         )
         for name in ("make", "model")
     }
-    checks["chassis_code"] = _ask(
-        v("chassis_code"), text_key(s("chassis_code")) == text_key(v("chassis_code"))
-    )
+    checks["chassis_code"] = _ask(v("chassis_code"), s("chassis_code") == v("chassis_code"))
     has_range = s("year_from").isNotNull() | s("year_to").isNotNull()
     in_range = (s("year_from").isNull() | (v("year") >= s("year_from"))) & (
         s("year_to").isNull() | (v("year") <= s("year_to"))
@@ -71,9 +88,8 @@ def attribute_checks(spec: str = "r", vehicle: str = "v") -> dict[str, Column]:
         s("facelift").isNotNull(), _ask(v("facelift"), s("facelift") == v("facelift"))
     )
     for name in R.TEXT_CONDITIONS:
-        wanted = F.transform(s(name), text_key)
         checks[name] = F.when(
-            s(name).isNotNull(), _ask(v(name), F.array_contains(wanted, text_key(v(name))))
+            s(name).isNotNull(), _ask(v(name), F.array_contains(s(name), v(name)))
         )
     for name in R.INT_CONDITIONS:
         wanted = s(name).cast("array<bigint>")
@@ -136,7 +152,7 @@ def collapse_records(records: DataFrame) -> DataFrame:
     records from multiplying its candidates.
     """
     keys = ["sku", *_SPEC, *R.CONDITIONS, "status", "accepted"]
-    return records.groupBy(*keys).agg(
+    return keyed_records(records).groupBy(*keys).agg(
         F.min("record_id").alias("record_id"), F.bool_or("synthetic").alias("synthetic")
     )
 
@@ -146,8 +162,8 @@ def match_records(candidates: DataFrame, vehicles: DataFrame, records: DataFrame
     NULL ``record_id``. ``candidates`` holds ``vehicle_id, sku``."""
     joined = (
         candidates.alias("c")
-        .join(vehicles.alias("v"), F.col("c.vehicle_id") == F.col("v.vehicle_id"))
-        .join(records.alias("r"), F.col("c.sku") == F.col("r.sku"), "left")
+        .join(keyed_vehicles(vehicles).alias("v"), F.col("c.vehicle_id") == F.col("v.vehicle_id"))
+        .join(keyed_records(records).alias("r"), F.col("c.sku") == F.col("r.sku"), "left")
     )
     keep = [c for c in records.columns if c not in ("sku", *_SPEC, *R.CONDITIONS)]
     checked = joined.select(

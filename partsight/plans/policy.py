@@ -15,10 +15,11 @@ from partsight.operators import policy as pol
 from partsight.plans.registry import query
 from partsight.rules import policy as R
 from partsight.sources.domain import Domain, with_domain
+from partsight.sources.tables import spread
 
 
 def _parts(d: Domain) -> DataFrame:
-    return d["part_text"]
+    return spread(d["part_text"])
 
 
 def _said(d: Domain, *sentences: str) -> DataFrame:
@@ -28,7 +29,7 @@ def _said(d: Domain, *sentences: str) -> DataFrame:
         head, _, tail = sentence.partition("{}")
         said = F.concat(F.lit(head), F.col("p_name"), F.lit(tail)) if "{}" in sentence else F.lit(sentence)
         text = F.when(F.col("p_partkey") % len(sentences) == i, said).otherwise(text)
-    return d["part"].select(
+    return spread(d["part"].select("p_partkey", "p_name")).select(
         F.col("p_partkey").alias("draft_id"), F.lit(0).alias("part_index"), text.alias("text"),
         (F.col("p_partkey") % 2 == 0).alias("is_owner_edit"),
         (F.col("p_partkey") % 4 < 2).alias("completion_confirmed"),
@@ -374,7 +375,7 @@ def policy_pii_codes(d: Domain) -> DataFrame:
         .when(k == 5, F.concat(F.lit("WDB2130421A12"), n))
         .otherwise(F.lit("А123ВС77"))
     )
-    parts = d["events"].select(
+    parts = spread(d["events"].select("event_id")).select(
         F.col("event_id").alias("draft_id"), F.lit(0).alias("part_index"),
         F.concat(F.lit("See: "), value, F.lit(" .")).alias("text"),
     )

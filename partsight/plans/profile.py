@@ -11,6 +11,7 @@ from partsight.plans.registry import query
 from partsight.session import run_dir
 from partsight.sources import notes as nt
 from partsight.sources.domain import Domain, with_domain
+from partsight.sources.tables import spread
 
 
 def _notes(d: Domain) -> DataFrame:
@@ -38,7 +39,7 @@ def _notes(d: Domain) -> DataFrame:
         F.concat(F.lit("\n![["), F.when(k % 4 == 0, sku).otherwise(F.lit("misc")), F.lit(".png]] [[Other|alias]] [site](https://example.com/a)")),
         F.lit("```dataview\nx:: hidden\n| no | table |\n|---|---|\n```"),
     )
-    return d["part"].select(k.alias("note_id"), lines.alias("text"), sku.alias("sku"),
+    return spread(d["part"]).select(k.alias("note_id"), lines.alias("text"), sku.alias("sku"),
                             F.array("p_type", "p_brand").alias("folder"))
 
 

@@ -11,10 +11,11 @@ from partsight.functions.spans import explode_rows
 from partsight.operators import masking as mk
 from partsight.plans.registry import query
 from partsight.sources.domain import Domain, with_domain
+from partsight.sources.tables import spread
 
 
 def _docs(d: Domain) -> DataFrame:
-    return d["documents"].select("doc_id", "source", "text")
+    return spread(d["documents"].select("doc_id", "source", "text"))
 
 
 def _with_damage(d: Domain) -> DataFrame:
@@ -168,7 +169,7 @@ def part_number_candidates(d: Domain) -> DataFrame:
       count(DISTINCT sku) AS products, CAST(12 AS INTEGER) AS start FROM product_oem GROUP BY ALL"""))
 def part_number_match(d: Domain) -> DataFrame:
     """Numbers written in a sentence are found again in the catalogue."""
-    texts = d["product_oem"].select(
+    texts = spread(d["product_oem"]).select(
         "oem_id", F.concat(F.lit("Looking for "), "oem_number", F.lit(", thanks.")).alias("text")
     ).unionByName(
         d["product_oem"].where("oem_id % 3 = 0").select("oem_id", F.lit("No number here").alias("text"))
