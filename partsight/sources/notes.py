@@ -138,7 +138,7 @@ def frontmatter_fields(notes: DataFrame, *keep: str) -> DataFrame:
     )
     rest, block = F.col("rest"), F.col("block")
     dash = F.ltrim(F.get(block, 0)).startswith("-")
-    joined = F.array_join(F.transform(block, F.trim), " ")
+    joined = F.array_join(F.transform(block, lambda b: F.trim(b)), " ")
     list_items = F.transform(
         F.filter(block, lambda b: F.ltrim(b).startswith("-")),
         lambda b: unquote(_no_comment(F.trim(F.substring(F.trim(b), F.lit(2), F.length(b))))),
