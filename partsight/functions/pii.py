@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partsight.functions.spans import (
-    quote, rewrite_sql, rlike_sql, span_sql, spans_sql, trimmed_sql, unicode_regex,
+    rewrite_sql, rlike_sql, span_sql, spans_sql, trimmed_sql, unicode_regex,
 )
 from partsight.functions.text import to_original
 from partsight.rules import pii as P
@@ -148,18 +148,38 @@ def with_candidates(rows: DataFrame) -> DataFrame:
 def with_detections(rows: DataFrame) -> DataFrame:
     """Adds ``pii``: the longest candidates that do not overlap, in order of position. Equal
     length goes to the higher-priority type, then to the earlier one."""
-    none = "CAST(array() AS array<struct<start:int,end:int,type:string>>)"
+    one = "struct<start:int,end:int,rank:int,type:string>"
+    none = f"CAST(array() AS array<{one}>)"
+    placed = "array_sort(transform(candidates, c -> struct(c.start, c.`end`, c.rank, c.type)))"
     ranked = (
-        "transform(array_sort(transform(candidates, c -> struct(c.start - c.`end` AS shorter, "
-        "c.rank, c.start, c.`end`, c.type))), c -> struct(c.start, c.`end`, c.type))"
+        "transform(array_sort(transform(acc.cur, c -> struct(c.start - c.`end` AS shorter, c.rank, "
+        "c.start, c.`end`, c.type))), c -> struct(c.start, c.`end`, c.rank, c.type))"
     )
+    best = (
+        f"array_sort(aggregate({ranked}, {none}, (a, c) -> IF(exists(a, x -> "
+        "x.start < c.`end` AND c.start < x.`end`), a, concat(a, array(c)))))"
+    )
+    code = "c -> concat(c.start, ',', c.`end`, ',', c.type, ';')"
+    settled = f"array_join(transform(IF(size(acc.cur) < 2, acc.cur, {best}), {code}), '')"
+    # Candidates that touch, also through others, form a cluster, and only within one can they
+    # compete. The fold keeps the current cluster and writes settled ones to a string, so a text
+    # with thousands of detections stays linear.
     chosen = (
-        f"array_sort(aggregate({ranked}, {none}, (acc, c) -> IF(exists(acc, k -> "
-        "k.start < c.`end` AND c.start < k.`end`), acc, concat(acc, array(c)))))"
+        f"aggregate({placed}, struct(-1 AS top, {none} AS cur, '' AS out), (acc, c) -> "
+        "IF(c.start < acc.top, "
+        "struct(greatest(acc.top, c.`end`) AS top, concat(acc.cur, array(c)) AS cur, acc.out AS out), "
+        f"struct(c.`end` AS top, array(c) AS cur, concat(acc.out, {settled}) AS out)), "
+        f"acc -> concat(acc.out, {settled}))"
+    )
+    spans = (
+        f"transform(filter(split({chosen}, ';'), x -> x <> ''), x -> struct("
+        "CAST(split_part(x, ',', 1) AS INT) AS start, CAST(split_part(x, ',', 2) AS INT) AS `end`, "
+        "split_part(x, ',', 3) AS type))"
     )
+    empty = "CAST(array() AS array<struct<start:int,end:int,type:string>>)"
     return (
         with_candidates(rows)
-        .withColumn("pii", F.expr(f"IF(size(candidates) = 0, {none}, {chosen})"))
+        .withColumn("pii", F.expr(f"IF(size(candidates) = 0, {empty}, {spans})"))
         .drop("candidates")
     )
 
@@ -199,9 +219,13 @@ def with_tokens(rows: DataFrame) -> DataFrame:
         ),
     )
 
+    def keys_of(pii_type: str) -> Column:
+        return F.filter("__keys", lambda k: F.startswith(k, F.lit(pii_type + _SEP)))
+
+    by_type = F.create_map(*[x for t in P.TYPES for x in (F.lit(t), keys_of(t))])
+
     def token(s: Column) -> Column:
-        same_type = F.filter("__keys", lambda k: F.startswith(k, F.concat(s["type"], F.lit(_SEP))))
-        number = F.array_position(same_type, s["key"])
+        number = F.array_position(F.element_at("__by_type", s["type"]), s["key"])
         return F.concat(F.lit("["), s["type"], F.lit("_"), number.cast("string"), F.lit("]"))
 
     def placed(s: Column) -> Column:
@@ -213,8 +237,9 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("__keyed", keyed)
         .withColumn("__keys", F.array_distinct(F.transform("__keyed", lambda s: s["key"])))
+        .withColumn("__by_type", by_type)
         .withColumn("spans", F.transform("__keyed", placed))
-        .drop("__keyed", "__keys")
+        .drop("__keyed", "__keys", "__by_type")
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "\u0001", "\u0002"
 SPAN = "array<struct<start:int,end:int>>"
 NO_SPANS = f"CAST(array() AS {SPAN})"
+NO_TEXT_SPANS = "CAST(array() AS array<struct<start:int,end:int,text:string>>)"
 
 
 def quote(text: str) -> str:
@@ -39,23 +40,33 @@ def _pieces(view: str, pattern: str, wrap: str, before: str) -> str:
 
 
 def spans_sql(
-    view: str, pattern: str, wrap: str = "$0", before: str = "", probe: str | None = None
+    view: str, pattern: str, wrap: str = "$0", before: str = "", probe: str | None = None,
+    with_text: bool = False,
 ) -> str:
     """Non-empty matches as ``array<struct<start,end>>`` (0-based, end exclusive).
 
     With groups, ``before`` names the part of the match outside the span (``"$1"``) and ``wrap``
     the part inside (``"$2"``). ``probe`` is a cheap necessary condition of any match; most texts
-    fail it, and then the full pattern never runs.
+    fail it, and then the full pattern never runs. ``with_text`` adds the matched text to the spans.
     """
-    found = (
-        f"aggregate({_pieces(view, pattern, wrap, before)}, "
-        f"struct(0 AS pos, false AS inside, {NO_SPANS} AS out), "
+    parts = _pieces(view, pattern, wrap, before)
+    # The offsets are gathered in a string: growing an array copies every element at every step.
+    offsets = (
+        f"aggregate({parts}, struct(0 AS pos, false AS inside, '' AS out), "
         "(acc, p) -> struct(acc.pos + length(p) AS pos, NOT acc.inside AS inside, "
-        "IF(acc.inside AND length(p) > 0, "
-        "concat(acc.out, array(struct(acc.pos AS start, acc.pos + length(p) AS `end`))), acc.out) "
-        "AS out), acc -> acc.out)"
+        "IF(acc.inside AND length(p) > 0, concat(acc.out, acc.pos, ',', acc.pos + length(p), ';'), "
+        "acc.out) AS out), acc -> acc.out)"
+    )
+    found = (
+        f"transform(filter(split({offsets}, ';'), x -> x <> ''), x -> struct("
+        "CAST(split_part(x, ',', 1) AS INT) AS start, CAST(split_part(x, ',', 2) AS INT) AS `end`))"
     )
-    return f"IF({probe or rlike_sql(view, pattern)}, {found}, {NO_SPANS})"
+    none = NO_SPANS
+    if with_text:
+        texts = f"filter(filter({parts}, (p, i) -> i % 2 = 1), p -> p <> '')"
+        found = f"zip_with({found}, {texts}, (s, t) -> struct(s.start, s.`end`, t AS text))"
+        none = NO_TEXT_SPANS
+    return f"IF({probe or rlike_sql(view, pattern)}, {found}, {none})"
 
 
 def spans(view: str, pattern: str, **kw: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partsight.functions.spans import (
-    NO_SPANS, SPAN, quote, rlike_sql, span_sql, spans_sql, unicode_regex,
+    SPAN, quote, rlike_sql, span_sql, spans_sql, unicode_regex,
 )
 
 # Characters that are invisible without being format characters, controls that stay,

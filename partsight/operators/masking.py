@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partsight.functions import pii
-from partsight.functions.spans import explode_rows, spans, unicode_regex
+from partsight.functions.spans import explode_rows, spans_sql, unicode_regex
 from partsight.functions.text import to_original, with_views
 from partsight.rules.pii import MAX_MASK_INPUT
 
@@ -72,41 +72,26 @@ _MAX_GROUPS = 6
 def part_number_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``candidates``: spans that may be part numbers with their keys, the first place of
     each key, by position. A candidate is up to six blank-separated groups of a run."""
-    lat = F.col("lat")
-
-    def windows(run: Column) -> Column:
-        body = F.substring(lat, run["start"] + 1, run["end"] - run["start"])
-        groups = F.split(body, " ")
-        n = F.size(groups)
-
-        def from_group(i: Column) -> Column:
-            lead = F.length(F.array_join(F.slice(groups, F.lit(1), i), " ")) + (i > 0).cast("int")
-            start = run["start"] + lead
-            most = F.least(n - i, F.lit(_MAX_GROUPS))
-
-            def of_length(w: Column) -> Column:
-                value = F.array_join(F.slice(groups, i + 1, w), " ")
-                return F.struct(
-                    F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", "")).alias("key"),
-                    start.alias("start"), (start + F.length(value)).alias("end"),
-                )
-
-            return F.transform(F.sequence(F.lit(1), most), of_length)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_group))
-
-    def acceptable(c: Column) -> Column:
-        digits = F.length(F.regexp_replace(c["key"], "[^0-9]", ""))
-        return F.length(c["key"]).between(6, 20) & (digits >= 5)
-
-    # Runs without five digits cannot hold a candidate; skip them before cutting windows.
-    runs = F.filter(
-        spans("lat", unicode_regex(_RUN, ignore_case=False), probe="rlike(lat, '[0-9]')"),
-        lambda r: F.length(
-            F.regexp_replace(F.substring(lat, r["start"] + 1, r["end"] - r["start"]), "[^0-9]", "")
-        ) >= 5,
+    run = spans_sql("lat", unicode_regex(_RUN, ignore_case=False), probe="rlike(lat, '[0-9]')",
+                    with_text=True)
+    # Runs without five digits cannot hold a candidate.
+    runs = (
+        f"transform(filter({run}, r -> length(regexp_replace(r.text, '[^0-9]', '')) >= 5), "
+        "r -> struct(r.start AS start, split(r.text, ' ') AS g))"
+    )
+    value = "array_join(slice(r.g, i + 1, w), ' ')"
+    windows = (
+        "flatten(transform(__runs, r -> flatten(transform(sequence(0, size(r.g) - 1), i -> "
+        f"transform(sequence(1, least(size(r.g) - i, {_MAX_GROUPS})), w -> struct("
+        f"upper(regexp_replace({value}, '[^A-Za-z0-9]', '')) AS key, "
+        "r.start + IF(i = 0, 0, length(array_join(slice(r.g, 1, i), ' ')) + 1) AS start, "
+        f"length({value}) AS n))))))"
+    )
+    found = (
+        f"transform(filter({windows}, c -> length(c.key) BETWEEN 6 AND 20 AND "
+        "length(regexp_replace(c.key, '[^0-9]', '')) >= 5), "
+        "c -> struct(c.key, c.start, c.start + c.n AS `end`))"
     )
-    found = F.filter(F.flatten(F.transform(runs, windows)), acceptable)
 
     def placed(c: Column) -> Column:
         start, end = to_original(c["start"], c["end"])
@@ -114,7 +99,8 @@ def part_number_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
 
     return (
         with_views(rows, text)
-        .withColumn("__all", F.array_sort(found))
+        .withColumn("__runs", F.expr(runs))
+        .withColumn("__all", F.expr(f"array_sort({found})"))
         .withColumn(
             "__first",
             F.filter(

@@ -45,20 +45,6 @@ def number_rows(
     )
 
 
-def carry_in(
-    cut: DataFrame, keys: list[str], aggs: dict[str, Column]
-) -> DataFrame:
-    """Per (key, bucket) the given aggregates over all earlier buckets of the key.
-
-    ``aggs`` must be maxima or minima built with ``F.max``/``F.min`` over plain columns; the result
-    column is the running value before the bucket.
-    """
-    per = cut.groupBy(*keys, _BUCKET).agg(*[a.alias(f"__{n}") for n, a in aggs.items()])
-    return per.select(
-        *keys, _BUCKET, *[F.max(f"__{n}").over(_before(keys)).alias(n) for n in aggs]
-    )
-
-
 def trailing_count(
     rows: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "in_window"
 ) -> DataFrame:

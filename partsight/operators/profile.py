@@ -279,14 +279,28 @@ def path_rollup(paths: DataFrame, depth: int, max_children: int) -> DataFrame:
         .agg(F.sum(F.when(F.col("p.here"), F.col("n")).otherwise(0)).alias("direct"),
              F.sum("n").alias("total"))
     )
-    # Children per folder are ranked; the rank filter works before the shuffle too.
+    # Only the first children are ranked (the limit works before the shuffle); the rest of a folder
+    # is what its children sum up to without them.
     w = Window.partitionBy("level", "parent").orderBy(F.desc("total"), "path")
-    ranked = totals.withColumn("rank", F.row_number().over(w))
-    shown = (F.col("level") == 0) | (F.col("rank") <= max_children)
-    name = F.when(shown, F.col("path")).otherwise(F.concat("parent", F.lit("/…")))
-    return ranked.groupBy("level", "parent", name.alias("path")).agg(
-        F.sum("direct").alias("direct"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("folders")
+    top = F.when(F.col("level") == 0, F.lit(1)).otherwise(F.lit(max_children))
+    shown = (
+        totals.withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= max(max_children, 1))
+        .where(F.col("rank") <= top)
+        .select("level", "parent", "path", "direct", "total", F.lit(1).cast("bigint").alias("folders"))
     )
+    sums = [F.sum("direct").alias("direct"), F.sum("total").alias("total")]
+    every = totals.groupBy("level", "parent").agg(*sums, F.count(F.lit(1)).alias("folders"))
+    seen = shown.groupBy("level", "parent").agg(*sums, F.sum("folders").alias("folders"))
+    rest = (
+        every.alias("e").join(seen.alias("s"), ["level", "parent"])
+        .where(F.col("e.folders") > F.col("s.folders"))
+        .select(
+            "level", "parent", F.concat("parent", F.lit("/…")).alias("path"),
+            *[(F.col(f"e.{c}") - F.col(f"s.{c}")).alias(c) for c in ("direct", "total", "folders")],
+        )
+    )
+    return shown.unionByName(rest)
 
 
 def size_report(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partsight.operators.numbering import hour_of, trailing_count, with_bucket
@@ -23,16 +23,13 @@ _START = -1.0  # no earlier attempt
 
 
 def _limits(attempts: DataFrame) -> DataFrame:
-    """Rate and capacity per endpoint as columns, from the fixed table."""
-    pairs = [F.lit(x) for name, lim in R.RATE_LIMITS.items()
-             for x in (name, f"{lim[0]}:{lim[1]}")]
-    text = F.coalesce(F.create_map(*pairs)[F.col("endpoint")], F.lit("30:2"))
-    return attempts.withColumns(
-        {
-            "rate": F.split_part(text, F.lit(":"), F.lit(1)).cast("double") / 60,
-            "capacity": F.split_part(text, F.lit(":"), F.lit(2)).cast("double"),
-        }
-    )
+    """Rate (per second) and capacity per endpoint as columns, from the fixed table."""
+
+    def of(position: int, other: float) -> Column:
+        pairs = [F.lit(x) for name, lim in R.RATE_LIMITS.items() for x in (name, float(lim[position]))]
+        return F.coalesce(F.create_map(*pairs)[F.col("endpoint")], F.lit(other))
+
+    return attempts.withColumns({"rate": of(0, 30.0) / 60, "capacity": of(1, 2.0)})
 
 
 def _step(elapsed, rate, capacity, takes, empties):

@@ -319,10 +319,9 @@ def source_health(d: Domain) -> DataFrame:
 @query(
     "offer_total",
     _PRICE
-    + """, lines AS (SELECT o_custkey AS offer_id, CASE WHEN l_partkey % 10 = 0 THEN 'SYN-'
+    + """, lines AS (SELECT o_orderkey AS offer_id, CASE WHEN l_partkey % 10 = 0 THEN 'SYN-'
         ELSE 'P-' END || CAST(l_partkey AS STRING) AS k, CAST(l_quantity AS BIGINT) AS qty
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'
-        AND o_orderstatus = 'P'),
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey ),
     r AS (SELECT offer_id, count(*) AS n_lines,
         count(*) FILTER (blocked IS NOT NULL OR request_id IS NULL) AS n_unknown,
         sum(qty * CASE WHEN blocked IS NULL THEN amount_minor END) AS total,
@@ -336,9 +335,8 @@ def source_health(d: Domain) -> DataFrame:
 def offer_total(d: Domain) -> DataFrame:
     """D12."""
     claims = inv.price_claims(d["sku_request"], d["product"], d["price"], _as_of(), MAX_AGE)
-    orders = d["orders"].where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
-    lines = d["lineitem"].join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("offer_id"),
+    lines = d["lineitem"].join(d["orders"], F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_orderkey").alias("offer_id"),
         F.expr("CASE WHEN l_partkey % 10 = 0 THEN 'SYN-' ELSE 'P-' END "
                "|| CAST(l_partkey AS STRING)").alias("sku"),
         F.col("l_quantity").cast("bigint").alias("qty"),

@@ -319,10 +319,10 @@ def heading_stats(d: Domain) -> DataFrame:
 @query("note_counters", """
     SELECT p_partkey AS note_id, CAST(0 AS INTEGER) AS inline_queries,
       CAST(CASE WHEN p_partkey % 3 = 1 THEN 2 ELSE 0 END AS INTEGER) AS tags,
-      false AS has_template_marker FROM part WHERE p_partkey % 11 <> 0""")
+      false AS has_template_marker FROM part""")
 def note_counters(d: Domain) -> DataFrame:
     """Tags, queries and template markers per note."""
-    return pf.note_counters(_notes(d).where("note_id % 11 <> 0"), _body_without_fm())
+    return pf.note_counters(_notes(d), _body_without_fm())
 
 
 def _body_without_fm():

@@ -264,7 +264,7 @@ def _photo(d: Dialect) -> str:
                AS stock_ref,
            CAST(l_linenumber AS BIGINT) AS sort_order,
            'ph-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS photo_key
-    FROM {d.ref('lineitem')} WHERE l_orderkey % 3 = 0"""
+    FROM {d.ref('lineitem')}"""
 
 
 @binding("sku_request", "part")
@@ -429,7 +429,7 @@ def _enqueue_request(d: Dialect) -> str:
                 ELSE 'followup' END AS kind,
            'c' || CAST(user_id * 50 + {d.idiv('event_id', '190')} AS STRING) AS dedup_key,
            {d.ts(f"{d.secs('ts')} - 3600 + event_id % 5000")} AS run_after
-    FROM {d.ref('events')} WHERE event_id % 3 = 0"""
+    FROM {d.ref('events')}"""
 
 
 @binding("audit_event", "events")

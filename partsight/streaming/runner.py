@@ -26,6 +26,7 @@ class StreamDomain(Domain):
             stream = (
                 spark.readStream.schema(raw)
                 .option("pathGlobFilter", f"{name}.parquet")
+                .option("maxBytesPerTrigger", str(1 << 30))  # bounds what one key can bring at once
                 .parquet(sf_dir)
             )
             self._built[name] = stream.select(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
-
 from partsight.operators import fitment as fit
 from partsight.operators import sets as st
 
