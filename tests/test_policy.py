@@ -89,12 +89,12 @@ def test_verdicts(spark):
 
 @pytest.mark.parametrize(
     "url,ok",
-    [("https://www.avito.ru/item/12", True), ("avito.ru", True), ("https://evil-avito.ru", False),
-     ("https://avito.ru//x", False), ("https://avito.ru/?q=foo.com", False),
-     ("https://avito.ru/12345", False), ("https://avito.ru/telegram", False)],
+    [("https://www.market.example/item/12", True), ("market.example", True), ("https://evil-market.example", False),
+     ("https://market.example//x", False), ("https://market.example/?q=foo.com", False),
+     ("https://market.example/12345", False), ("https://market.example/telegram", False)],
 )
 def test_url_allowlist(spark, url, ok):
-    expr = pol.url_allowed_sql("url", ("avito.ru",))
+    expr = pol.url_allowed_sql("url", ("market.example",))
     assert spark.createDataFrame([(url,)], "url string").selectExpr(f"{expr} AS ok").first().ok is ok
 
 
