@@ -30,7 +30,8 @@ def scan_tree(spark: SparkSession, root: str, max_files: int | None = None) -> D
         name.alias("name"), ext.alias("ext"), F.col("length").alias("size"), "content",
     ).where(~F.exists(F.split("rel", "/"), lambda p: p.startswith(".")))
     if max_files is not None:
-        return tree.withColumn("partial", F.lit(files.count() > max_files)).limit(max_files)
+        found = tree.agg(F.count(F.lit(1))).scalar()
+        return tree.withColumn("partial", found > max_files).limit(max_files)
     return tree
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from partsight.operators import fitment as fit
 from partsight.operators import sets as st
+from partsight.sources import catalog_store as store
 
 NOW = datetime(2024, 1, 1)
 SCHEMA = (
@@ -132,3 +134,25 @@ def test_sets(spark):
         "S3": ("unknown", None, "component_unknown", None), "S4": ("available", 3, None, False),
         "S5": ("unknown", None, "set_has_no_components", None),
     }
+
+
+def test_catalogue_documents(spark, tmp_path):
+    doc = {
+        "dataset": "d", "data_origin": "real", "source": "s", "snapshot_at": "2024-01-01T00:00:00Z",
+        "vehicle_specs": [{"id": "v1", "make": "M", "model": "E", "chassis_code": "W213", "year_from": 2016}],
+        "products": [{"sku": "p1", "title": "t", "oem_numbers": ["A 1", "A 2"]}, {"sku": "p1"}],
+        "fitments": [{"id": "f1", "sku": "p1", "vehicle_spec": "v1", "conditions": {"trim_line": "amg"}},
+                     {"id": "f2", "sku": "nope", "vehicle_spec": "v1", "conditions": {"sunroof": True}}],
+        "set_components": [], "stock": [{"ref": "r", "sku": "p1", "available_qty": 2}],
+    }
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
+    tables = store.read_dataset(spark, str(tmp_path))
+    assert {n: t.count() for n, t in tables.items()} == {
+        "vehicle_specs": 1, "products": 2, "fitments": 2, "set_components": 0, "stock": 1, "prices": 0, "photos": 0}
+    checks = [
+        store.unknown_references(tables["fitments"], "sku", tables["products"], "sku", "unknown_sku"),
+        store.duplicate_keys(tables["products"], ["sku"], "duplicate_sku"),
+    ]
+    assert {(r.rule, r.violations, r.first_item) for r in store.violation_summary(checks).collect()} == {
+        ("unknown_sku", 1, "nope"), ("duplicate_sku", 1, "p1")}
+    assert [r.violation for r in fit.condition_violations(tables["fitments"]).collect()] == ["unknown_key:sunroof"]
