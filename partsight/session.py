@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,12 +52,3 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, what: str) -> str:
     """A fresh sub-folder of the shared folder for one run."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and keeps
-    the rows when executors are lost."""
-    spark = df.sparkSession
-    path = run_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
