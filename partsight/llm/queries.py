@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partsight.llm import byte_bpe, language, licences, packing, quality, secret_scan, topk
+from partsight.llm import byte_bpe, language, licences, packing, quality, repeats, secret_scan, topk
 from partsight.llm.common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,10 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     return quality.train(docs, labels.where(_fold("doc_id", 4) != 2))
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -91,6 +95,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_topk": op2_topk,
     "op3_quality": op3_quality,
     "op5_byte_bpe": op5_byte_bpe,
