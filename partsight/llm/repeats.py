@@ -12,11 +12,12 @@ bucket-pointer refinement, distributed:
    nearly all of them, and only 16 bytes for about 140 windows are shuffled to find them.
 3. Stretches of the rest are refined by all bucket identifiers in them: equal stretches are repeated
    as a whole. A bucket of one kind of stretch is done.
-4. Where stretches of a bucket differ, each kind is refined window by window, on the identifiers of
-   the buckets at the later offsets q, 2q, ... of the window: windows alike in all of them are equal.
+4. Where stretches of a bucket differ, one of each kind is refined: steps 2 and 3 again with longer
+   q-grams, which split it into shorter stretches, and at last window by window, on the identifiers
+   of the buckets at the later offsets q, 2q, ... of the window: windows alike in all are equal.
 
 Groups are counted with partial sums and joined back by key, never gathered; a passage that a third
-of all documents share is one row of each count.
+of all documents share is one row of each count. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partsight.llm.common import mix, stepped, stored
 
-WINDOW, GRAM = 400, 128
+#: Bytes of a repeated string, and of the q-grams of each round of refinement.
+WINDOW, GRAMS = 400, (128, 320, 384)
 #: Bytes of text in one vector step, and of a block of a longer text.
 BLOCK_BYTES = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -39,18 +42,21 @@ _R = (np.uint64(0xA0761D6478BD642F | 1), np.uint64(0xE7037ED1A0B428DB | 1))
 _BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * _A)
 
 
-def gram_names(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """64-bit bucket identifiers of the ``gram``-byte strings at each position (a power of two)."""
+def gram_names(data: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit bucket identifiers of the ``gram``-byte strings at each position."""
+    if len(data) < gram:
+        return np.empty(0, np.uint64)
     names = _BYTE_NAMES[data]
     n = 1
-    while n < gram and len(names) > n:
-        left = names[:-n] * _A
-        left += names[n:]
+    while n < gram:
+        step = min(n, gram - n)  # the last step may overlap: bytes up to n, and the last n bytes
+        left = names[:-step] * _A
+        left += names[step:]
         left ^= left >> np.uint64(29)
         left *= _B
         names = left
-        n *= 2
-    return names if len(data) >= gram else names[:0]
+        n += step
+    return names
 
 
 def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -70,7 +76,7 @@ def _powers(r: np.uint64, n: int) -> np.ndarray:
 class Stretches:
     """Finds the stretches of blocks of text; holds the tables of powers."""
 
-    def __init__(self, window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
         self.powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -146,23 +152,42 @@ def _blocks(texts: list[bytes], window: int, limit: int = BLOCK_BYTES):
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, raw, k, l: the text's bytes (null: empty) and 128 bits that name the row's key and text."""
+    """key, k, l, packed: 128 bits that name the row's key and text, and the text's bytes compressed.
+
+    A null text is empty.
+    """
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     named = F.col(key).cast("string")
-    return docs.select(
-        F.col(key), raw.alias("raw"), F.xxhash64(named, raw).alias("k"), F.xxhash64(F.lit(1), raw, named).alias("l")
+    rows = docs.select(
+        F.col(key), F.xxhash64(named, raw).alias("k"), F.xxhash64(F.lit(1), raw, named).alias("l"), raw.alias("raw")
     )
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("packed", T.BinaryType())])
+
+    def step(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in stepped(batches, "raw"):
+            packed = [press.compress(raw) for raw in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], schema.names)
+
+    return rows.mapInArrow(step, schema)
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(packed) for packed in column.to_pylist()]
+
 
+_STRETCH = "k long, l long, start long, windows long, done boolean, name long, d1 long, d2 long, again boolean"
 
-_STRETCH = "k long, l long, start long, windows long, name long, d1 long, d2 long, again boolean"
 
+def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The stretches of ``texts`` (k, l, packed; and base, done of a part of a text that begins at base)."""
 
-def _stretches(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     def step(batches):
         find = Stretches(window, gram)
-        for batch in stepped(batches, "raw"):
-            k, l = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "l"))
-            for held in _blocks(batch.column("raw").to_pylist(), window):
+        for batch in stepped(batches, "packed", 1 << 20):
+            k, l, base, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "l", "base", "done"))
+            for held in _blocks(_unpacked(batch.column("packed")), window):
                 rows = np.array([h[0] for h in held])
                 offsets = np.array([h[1] for h in held])
                 data = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
@@ -172,83 +197,119 @@ def _stretches(keyed: DataFrame, window: int, gram: int) -> DataFrame:
                     [
                         pa.array(k[at]),
                         pa.array(l[at]),
-                        pa.array(start + offsets[text]),
+                        pa.array(start + offsets[text] + base[at]),
                         pa.array(count),
+                        pa.array(done[at].astype(bool)),
                         *(pa.array(x.view(np.int64)) for x in (name, d1, d2)),
                         pa.array(again),
                     ],
-                    ["k", "l", "start", "windows", "name", "d1", "d2", "again"],
+                    ["k", "l", "start", "windows", "done", "name", "d1", "d2", "again"],
                 )
 
-    return keyed.select("raw", "k", "l").mapInArrow(step, _STRETCH)
+    return texts.select("k", "l", "base", "done", "packed").mapInArrow(step, _STRETCH)
 
 
-def _window_rows(keyed: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
-    """Each window of the ``wanted`` stretches (k, l, start, windows, done): k, l, start, done, w1, w2."""
-    # A document's stretches: bounded by its text, which is one row too.
-    per_doc = wanted.groupBy("k", "l").agg(F.collect_list(F.struct("start", "windows", "done")).alias("stretches"))
-    offsets = [*range(0, window - gram, gram), window - gram]
+def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The parts of ``texts`` that hold the ``wanted`` stretches (k, l, start, windows, done), as texts."""
+    # The stretches of a text: bounded by the text, which is one row too.
+    per_text = wanted.groupBy("k", "l").agg(F.collect_list(F.struct("start", "windows", "done")).alias("stretches"))
 
     def step(batches):
-        for batch in stepped(batches, "raw"):
-            k, l = (batch.column(c).to_pylist() for c in ("k", "l"))
-            for i, (raw, stretches) in enumerate(zip(batch.column("raw").to_pylist(), batch.column("stretches").to_pylist())):
-                parts = []
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in stepped(batches, "packed", 1 << 20):
+            k, l, base = (batch.column(c).to_pylist() for c in ("k", "l", "base"))
+            found = []
+            for i, (raw, stretches) in enumerate(zip(_unpacked(batch.column("packed")), batch.column("stretches").to_pylist())):
                 for s in stretches:
-                    data = np.frombuffer(raw, np.uint8, s["windows"] + window - 1, s["start"])
-                    names = gram_names(data, gram)
-                    w1 = w2 = np.zeros(s["windows"], np.uint64)
-                    for n, offset in enumerate(offsets):
-                        part = names[offset : offset + s["windows"]]
-                        w1 = mix(w1 * _A + part)
-                        w2 = mix(w2 * _B + (part ^ np.uint64(n + 1)))
-                    parts.append((np.arange(s["start"], s["start"] + s["windows"]), np.full(s["windows"], s["done"]), w1, w2))
-                start, done, w1, w2 = (np.concatenate(x) for x in zip(*parts))
-                for at in range(0, len(start), 1 << 16):
-                    cut = slice(at, at + (1 << 16))
-                    n = len(start[cut])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, k[i])),
-                            pa.array(np.full(n, l[i])),
-                            pa.array(start[cut]),
-                            pa.array(done[cut]),
-                            pa.array(w1[cut].view(np.int64)),
-                            pa.array(w2[cut].view(np.int64)),
-                        ],
-                        ["k", "l", "start", "done", "w1", "w2"],
-                    )
-
-    joined = keyed.select("k", "l", "raw").join(per_doc, ["k", "l"]).select("k", "l", "raw", "stretches")
-    return joined.mapInArrow(step, "k long, l long, start long, done boolean, w1 long, w2 long")
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+                    at = s["start"] - base[i]
+                    end = at + s["windows"] + window - 1
+                    if at >= 0 and end <= len(raw):  # the windows of a text's parts are disjoint: one holds it
+                        part = press.compress(raw[at:end])
+                        found.append((k[i], l[i], s["start"], s["done"], part))
+            columns = list(zip(*found)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], ["k", "l", "base", "done", "packed"]
+            )
+
+    joined = texts.join(per_text, ["k", "l"]).select("k", "l", "base", "packed", "stretches")
+    return joined.mapInArrow(step, "k long, l long, base long, done boolean, packed binary")
+
+
+def _windows(parts: DataFrame, window: int, gram: int) -> DataFrame:
+    """Each window of the parts: k, l, start, done, and 128 bits from its buckets at later offsets."""
+    offsets = [*range(0, window - gram, gram), window - gram]
+
+    def step(batches):
+        for batch in stepped(batches, "packed", 1 << 17):
+            k, l, base, done = (batch.column(c).to_pylist() for c in ("k", "l", "base", "done"))
+            for i, raw in enumerate(_unpacked(batch.column("packed"))):
+                names = gram_names(np.frombuffer(raw, np.uint8), gram)
+                n = len(raw) - window + 1
+                w1 = w2 = np.zeros(n, np.uint64)
+                for number, offset in enumerate(offsets):
+                    part = names[offset : offset + n]
+                    w1 = mix(w1 * _A + part)
+                    w2 = mix(w2 * _B + (part ^ np.uint64(number + 1)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, k[i])),
+                        pa.array(np.full(n, l[i])),
+                        pa.array(np.arange(base[i], base[i] + n)),
+                        pa.array(np.full(n, done[i])),
+                        pa.array(w1.view(np.int64)),
+                        pa.array(w2.view(np.int64)),
+                    ],
+                    ["k", "l", "start", "done", "w1", "w2"],
+                )
+
+    return parts.mapInArrow(step, "k long, l long, start long, done boolean, w1 long, w2 long")
+
+
+def repeated_spans(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, grams: tuple[int, ...] = GRAMS
+) -> DataFrame:
     """k, l, spans: per row that holds repeated bytes, the [start, end) runs of windows that repeat.
 
     Spans of a row may overlap and are in no order. Rows equal in key and text share k and l.
     """
-    keyed = _keyed(docs, key, text)
-    found = _stretches(keyed, window, gram)
-    coarse = found.groupBy("name").agg(F.count("*").alias("n"), F.max("again").alias("again"))
-    open_names = coarse.where((F.col("n") > 1) | F.col("again")).select("name")
-    kept = stored(found.join(open_names, "name", "left_semi"), "stretches")
-    kinds = kept.groupBy("name", "d1", "d2").agg(
-        F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("k", "l", "start", "windows")).alias("one")
-    )
-    kinds = stored(kinds, "stretch-kinds")
-    buckets = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max("again").alias("any_again"))
-    mixed = buckets.where((F.col("kinds") > 1) | F.col("any_again")).select("name")
-    wanted = kinds.join(mixed, "name", "left_semi").select("one.*", (F.col("n") > 1).alias("done"))
-    windows = stored(_window_rows(keyed, wanted, window, gram), "windows")
+    texts = _keyed(docs, key, text).withColumns({"base": F.lit(0).cast("long"), "done": F.lit(False)})
+    spans = []
+    for gram in grams:
+        found = _stretches(texts, window, gram)
+        coarse = found.groupBy("name").agg(F.count("*").alias("n"), F.max("again").alias("again"))
+        open_names = coarse.where((F.col("n") > 1) | F.col("again")).select("name")
+        kept = stored(found.join(open_names, "name", "left_semi"), "stretches")
+        one = F.min(F.struct("k", "l", "start", "windows")).alias("one")
+        kinds = stored(
+            kept.groupBy("name", "d1", "d2").agg(
+                F.count("*").alias("n"), F.max("again").alias("again"), F.max("done").alias("done"), one
+            ),
+            "stretch-kinds",
+        )
+        equal = kinds.where("n > 1").select("name", "d1", "d2")
+        spans.append(
+            kept.where(~F.col("done")).join(equal, ["name", "d1", "d2"], "left_semi").select(
+                "k", "l", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("end")
+            )
+        )
+        buckets = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max("again").alias("again"))
+        mixed = buckets.where((F.col("kinds") > 1) | F.col("again")).select("name")
+        wanted = kinds.join(mixed, "name", "left_semi").select(
+            "one.*", (F.col("done") | (F.col("n") > 1)).alias("done")
+        )
+        texts = stored(_cut(texts, wanted, window), "stretch-texts")
+    windows = stored(_windows(texts, window, grams[0]), "windows")
     equal = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    whole = kept.join(kinds.where("n > 1").select("name", "d1", "d2"), ["name", "d1", "d2"], "left_semi")
-    spans = whole.select("k", "l", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("end")).unionByName(
+    spans.append(
         windows.where(~F.col("done")).join(equal, ["w1", "w2"], "left_semi").select(
             "k", "l", "start", (F.col("start") + window).alias("end")
         )
     )
-    return spans.groupBy("k", "l").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    every = spans[0]
+    for part in spans[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("k", "l").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -263,7 +324,7 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, grams: tuple[int, ...] = GRAMS
 ) -> DataFrame:
     """``key``, raw (the bytes of the whole text), runs (array of start, end): bytes that repeat elsewhere.
 
@@ -272,18 +333,17 @@ def remove_repeats(
     shorter than ``window`` have no runs, repeated rows are each other's repeats. Every row of ``docs``
     gives one row.
     """
-    spans = repeated_spans(docs, key, text, window, gram)
-    joined = _keyed(docs, key, text).join(spans, ["k", "l"], "left").select(key, "raw", "spans")
+    spans = repeated_spans(docs, key, text, window, grams)
+    joined = _keyed(docs, key, text).join(spans, ["k", "l"], "left").select(key, "packed", "spans")
     run = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([docs.schema[key], T.StructField("raw", T.BinaryType()), T.StructField("runs", T.ArrayType(run))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def step(batches):
-        for batch in stepped(batches, "raw"):
+        for batch in stepped(batches, "packed", 1 << 20):
             runs = [[{"start": a, "end": b} for a, b in merged(s)] for s in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), batch.column("raw"), pa.array(runs, kind)], [key, "raw", "runs"]
-            )
+            raw = pa.array(_unpacked(batch.column("packed")), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(key), raw, pa.array(runs, kind)], [key, "raw", "runs"])
 
     return joined.mapInArrow(step, schema)
 
