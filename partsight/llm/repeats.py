@@ -177,7 +177,7 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [press.decompress(packed) for packed in column.to_pylist()]
 
 
-_STRETCH = "k long, l long, start long, windows long, done boolean, name long, d1 long, d2 long, again boolean"
+_STRETCH = "k long, l long, base long, start long, windows long, done boolean, name long, d1 long, d2 long, again boolean"
 
 
 def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -197,22 +197,23 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     [
                         pa.array(k[at]),
                         pa.array(l[at]),
+                        pa.array(base[at]),
                         pa.array(start + offsets[text] + base[at]),
                         pa.array(count),
                         pa.array(done[at].astype(bool)),
                         *(pa.array(x.view(np.int64)) for x in (name, d1, d2)),
                         pa.array(again),
                     ],
-                    ["k", "l", "start", "windows", "done", "name", "d1", "d2", "again"],
+                    ["k", "l", "base", "start", "windows", "done", "name", "d1", "d2", "again"],
                 )
 
     return texts.select("k", "l", "base", "done", "packed").mapInArrow(step, _STRETCH)
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The parts of ``texts`` that hold the ``wanted`` stretches (k, l, start, windows, done), as texts."""
+    """The ``wanted`` stretches (k, l, base, start, windows, done) cut out of ``texts``, as texts."""
     # The stretches of a text: bounded by the text, which is one row too.
-    per_text = wanted.groupBy("k", "l").agg(F.collect_list(F.struct("start", "windows", "done")).alias("stretches"))
+    per_text = wanted.groupBy("k", "l", "base").agg(F.collect_list(F.struct("start", "windows", "done")).alias("stretches"))
 
     def step(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -222,17 +223,15 @@ def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             for i, (raw, stretches) in enumerate(zip(_unpacked(batch.column("packed")), batch.column("stretches").to_pylist())):
                 for s in stretches:
                     at = s["start"] - base[i]
-                    end = at + s["windows"] + window - 1
-                    if at >= 0 and end <= len(raw):  # the windows of a text's parts are disjoint: one holds it
-                        part = press.compress(raw[at:end])
-                        found.append((k[i], l[i], s["start"], s["done"], part))
+                    part = press.compress(raw[at : at + s["windows"] + window - 1])
+                    found.append((k[i], l[i], s["start"], s["done"], part))
             columns = list(zip(*found)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)], ["k", "l", "base", "done", "packed"]
             )
 
-    joined = texts.join(per_text, ["k", "l"]).select("k", "l", "base", "packed", "stretches")
+    joined = texts.join(per_text, ["k", "l", "base"]).select("k", "l", "base", "packed", "stretches")
     return joined.mapInArrow(step, "k long, l long, base long, done boolean, packed binary")
 
 
@@ -280,7 +279,7 @@ def repeated_spans(
         coarse = found.groupBy("name").agg(F.count("*").alias("n"), F.max("again").alias("again"))
         open_names = coarse.where((F.col("n") > 1) | F.col("again")).select("name")
         kept = stored(found.join(open_names, "name", "left_semi"), "stretches")
-        one = F.min(F.struct("k", "l", "start", "windows")).alias("one")
+        one = F.min(F.struct("k", "l", "base", "start", "windows")).alias("one")
         kinds = stored(
             kept.groupBy("name", "d1", "d2").agg(
                 F.count("*").alias("n"), F.max("again").alias("again"), F.max("done").alias("done"), one
