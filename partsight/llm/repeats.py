@@ -241,26 +241,30 @@ def _windows(parts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def step(batches):
         for batch in stepped(batches, "packed", 1 << 17):
-            k, l, base, done = (batch.column(c).to_pylist() for c in ("k", "l", "base", "done"))
-            for i, raw in enumerate(_unpacked(batch.column("packed"))):
-                names = gram_names(np.frombuffer(raw, np.uint8), gram)
-                n = len(raw) - window + 1
-                w1 = w2 = np.zeros(n, np.uint64)
-                for number, offset in enumerate(offsets):
-                    part = names[offset : offset + n]
-                    w1 = mix(w1 * _A + part)
-                    w2 = mix(w2 * _B + (part ^ np.uint64(number + 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, k[i])),
-                        pa.array(np.full(n, l[i])),
-                        pa.array(np.arange(base[i], base[i] + n)),
-                        pa.array(np.full(n, done[i])),
-                        pa.array(w1.view(np.int64)),
-                        pa.array(w2.view(np.int64)),
-                    ],
-                    ["k", "l", "start", "done", "w1", "w2"],
-                )
+            k, l, base, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "l", "base", "done"))
+            raws = _unpacked(batch.column("packed"))
+            lengths = np.array([len(raw) for raw in raws])
+            names = gram_names(np.frombuffer(b"".join(raws), np.uint8), gram)
+            counts = lengths - window + 1
+            first = np.cumsum(lengths) - lengths
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = np.repeat(first, counts) + within
+            w1 = w2 = np.zeros(len(at), np.uint64)
+            for number, offset in enumerate(offsets):
+                part = names[at + offset]
+                w1 = mix(w1 * _A + part)
+                w2 = mix(w2 * _B + (part ^ np.uint64(number + 1)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(k, counts)),
+                    pa.array(np.repeat(l, counts)),
+                    pa.array(np.repeat(base, counts) + within),
+                    pa.array(np.repeat(done.astype(bool), counts)),
+                    pa.array(w1.view(np.int64)),
+                    pa.array(w2.view(np.int64)),
+                ],
+                ["k", "l", "start", "done", "w1", "w2"],
+            )
 
     return parts.mapInArrow(step, "k long, l long, start long, done boolean, w1 long, w2 long")
 
