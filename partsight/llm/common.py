@@ -7,7 +7,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from partsight.session import run_dir
 
@@ -85,3 +87,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def binaries(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def compressed(df: DataFrame, raw: str, into: str) -> DataFrame:
+    """``df`` with the binary column ``raw`` replaced by ``into``, zstandard frames: less to shuffle."""
+    kept = [f for f in df.schema.fields if f.name != raw]
+
+    def step(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in stepped(batches, raw):
+            packed = [None if x is None else press.compress(x) for x in batch.column(raw).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in kept), binaries(packed)], [*(f.name for f in kept), into]
+            )
+
+    return df.mapInArrow(step, T.StructType([*kept, T.StructField(into, T.BinaryType())]))
+
+
+def decompressed(column: pa.Array) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if x is None else press.decompress(x) for x in column.to_pylist()]

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partsight.llm.common import mix, stepped, stored, whole_groups
+from partsight.llm.common import compressed, decompressed, mix, stepped, stored, whole_groups
 from partsight.llm.components import components
 
 BANDS, ROWS = 24, 5
 #: Of 120 signature bytes, so many agree at least between likely links (for a similarity of 0.85).
 SIGMAS = 6.2
-BUCKET_BLOCK, SET_BLOCK, PIVOTS = 2048, 512, 8
+BUCKET_BLOCK, SET_BLOCK, PIVOTS = 2048, 1024, 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTES = mix(np.arange(11, 267, dtype=np.uint64) * _A)
 _SPACE = np.zeros(256, bool)
@@ -243,32 +243,31 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, key: str, text: str, nodes: DataFrame, words: int) -> DataFrame:
-    """id, part, n, shingles (sorted 64-bit hashes) of the documents in ``nodes`` (node, component)."""
+    """id, part, size, n, shingles (sorted 64-bit hashes) of the documents in ``nodes`` (id, part, size)."""
 
     def step(batches):
         shingler = Shingler(words)
-        for batch in stepped(batches, text):
-            sets = [shingler(t) for t in batch.column(text).to_pylist()]
+        for batch in stepped(batches, "packed", 1 << 20):
+            sets = [shingler(t.decode()) for t in decompressed(batch.column("packed"))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    batch.column("part"),
+                    *(batch.column(c) for c in ("id", "part", "size")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["id", "part", "n", "shingles"],
+                ["id", "part", "size", "n", "shingles"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), text).join(
-        nodes.select(F.col("node").alias("id"), F.col("component").alias("part")), "id"
+    texts = docs.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(
+        F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("raw")
     )
-    return rows.select("id", "part", text).mapInArrow(step, "id long, part long, n long, shingles binary").where("n > 0")
+    # Merged at every size, so that what is shuffled follows the input.
+    rows = compressed(texts, "raw", "packed").join(nodes.hint("merge"), "id").select("id", "part", "size", "packed")
+    return rows.mapInArrow(step, "id long, part long, size long, n long, shingles binary").where("n > 0")
 
 
-def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _links(rows: DataFrame, percent: int, block: int) -> DataFrame:
     """a, b: confirmed links that join each candidate component's members as far as they are linked."""
-    sizes = sets.groupBy("part").agg(F.count("*").alias("size"))
-    rows = sets.join(sizes, "part")
     small = rows.where(F.col("size") <= block).select(
         F.col("part").alias("g"), "id", "n", "shingles", F.col("id").alias("label"), F.lit(False).alias("leads")
     )
@@ -345,7 +344,8 @@ def near_duplicates(
     share = percent / 100
     least = int(total * share - SIGMAS * (total * share * (1 - share)) ** 0.5) if share < 1 else total
     likely = stored(_likely(_blocked(members, "size", BUCKET_BLOCK, "bucket"), least, percent).distinct(), "likely")
-    parts = stored(components(likely), "parts")
+    found = components(likely).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    parts = stored(found.join(found.groupBy("part").agg(F.count("*").alias("size")), "part"), "parts")
     sets = stored(_shingled(docs, key, text, parts, words), "sets")
     links = _links(sets, percent, SET_BLOCK)
     copies = known.join(classes.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"]).select(F.col("doc_id").alias("a"), "b")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partsight.llm.common import mix, stepped, stored
+from partsight.llm.common import compressed, decompressed, mix, stepped, stored
 
 #: Bytes of a repeated string, and of the q-grams of each round of refinement.
 WINDOW, GRAMS = 400, (128, 320, 384)
@@ -161,20 +161,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(
         F.col(key), F.xxhash64(named, raw).alias("k"), F.xxhash64(F.lit(1), raw, named).alias("l"), raw.alias("raw")
     )
-    schema = T.StructType([*rows.schema.fields[:3], T.StructField("packed", T.BinaryType())])
-
-    def step(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in stepped(batches, "raw"):
-            packed = [press.compress(raw) for raw in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], schema.names)
-
-    return rows.mapInArrow(step, schema)
-
-
-def _unpacked(column: pa.Array) -> list[bytes]:
-    press = zstandard.ZstdDecompressor()
-    return [press.decompress(packed) for packed in column.to_pylist()]
+    return compressed(rows, "raw", "packed")
 
 
 _STRETCH = "k long, l long, base long, start long, windows long, done boolean, name long, d1 long, d2 long, again boolean"
@@ -187,7 +174,7 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
         find = Stretches(window, gram)
         for batch in stepped(batches, "packed", 1 << 20):
             k, l, base, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "l", "base", "done"))
-            for held in _blocks(_unpacked(batch.column("packed")), window):
+            for held in _blocks(decompressed(batch.column("packed")), window):
                 rows = np.array([h[0] for h in held])
                 offsets = np.array([h[1] for h in held])
                 data = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
@@ -220,7 +207,7 @@ def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         for batch in stepped(batches, "packed", 1 << 20):
             k, l, base = (batch.column(c).to_pylist() for c in ("k", "l", "base"))
             found = []
-            for i, (raw, stretches) in enumerate(zip(_unpacked(batch.column("packed")), batch.column("stretches").to_pylist())):
+            for i, (raw, stretches) in enumerate(zip(decompressed(batch.column("packed")), batch.column("stretches").to_pylist())):
                 for s in stretches:
                     at = s["start"] - base[i]
                     part = press.compress(raw[at : at + s["windows"] + window - 1])
@@ -242,7 +229,7 @@ def _windows(parts: DataFrame, window: int, gram: int) -> DataFrame:
     def step(batches):
         for batch in stepped(batches, "packed", 1 << 17):
             k, l, base, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "l", "base", "done"))
-            raws = _unpacked(batch.column("packed"))
+            raws = decompressed(batch.column("packed"))
             lengths = np.array([len(raw) for raw in raws])
             names = gram_names(np.frombuffer(b"".join(raws), np.uint8), gram)
             counts = lengths - window + 1
@@ -345,7 +332,7 @@ def remove_repeats(
     def step(batches):
         for batch in stepped(batches, "packed", 1 << 20):
             runs = [[{"start": a, "end": b} for a, b in merged(s)] for s in batch.column("spans").to_pylist()]
-            raw = pa.array(_unpacked(batch.column("packed")), pa.binary())
+            raw = pa.array(decompressed(batch.column("packed")), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(key), raw, pa.array(runs, kind)], [key, "raw", "runs"])
 
     return joined.mapInArrow(step, schema)
