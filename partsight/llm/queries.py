@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partsight.llm import byte_bpe, language, licences, near_duplicates, packing, quality, repeats, secret_scan, topk
+from partsight.llm import byte_bpe, language, licences, near_duplicates, neighbours, packing, quality, repeats, secret_scan, topk
 from partsight.llm.common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,6 +45,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     ids = byte_bpe.encode(docs, MULTI_RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -102,6 +107,7 @@ QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_topk": op2_topk,
     "op3_quality": op3_quality,
+    "op4_neighbours": op4_neighbours,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
