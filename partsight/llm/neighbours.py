@@ -121,14 +121,15 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.repartition("u").sortWithinPartitions("u").mapInArrow(step, _EDGE)
 
 
-def _meetings(edges: DataFrame, rounded: DataFrame, number: int, meet: int, updates: int) -> DataFrame:
+def _meetings(edges: DataFrame, rounded: DataFrame, k: int, number: int, meet: int, updates: int) -> DataFrame:
     """Better edges found where neighbours of neighbours meet."""
     both = edges.select(F.col("u").alias("at"), F.col("v").alias("id"), "new").unionByName(
         edges.select(F.col("v").alias("at"), F.col("u").alias("id"), "new")
     )
     order = Window.partitionBy("at", "new").orderBy(F.xxhash64("at", "id", F.lit(number)))
     few = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= meet).select("at", "id", "new")
-    worst = edges.groupBy("u").agg(F.min("s").alias("least")).withColumnRenamed("u", "id")
+    least = F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(float("-inf")).cast("float"))
+    worst = edges.groupBy("u").agg(least.alias("least")).withColumnRenamed("u", "id")
     known = rounded.select("id", "q", "scale").join(worst, "id")
     met = few.join(known, "id").select("at", "id", "new", "q", "scale", "least")
 
@@ -166,7 +167,7 @@ def build_graph(rounded: DataFrame, k: int = K, rounds: int = ROUNDS, meet: int
     """Edges u, v, s of the neighbour graph over ``rounded`` (id, dim, q, scale, sides)."""
     edges = stored(_best(_start(rounded, k, block), k), "graph")
     for number in range(rounds):
-        better = _meetings(edges, rounded, number, meet, updates)
+        better = _meetings(edges, rounded, k, number, meet, updates)
         edges = stored(_best(edges.withColumn("new", F.lit(False)).unionByName(better), k), "graph")
     return edges.drop("new")
 
