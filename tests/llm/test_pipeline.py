@@ -36,7 +36,7 @@ def corpus(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string").write.parquet(
         f"{folder}/documents.parquet"
     )
-    labels = [(i, 1, 0) for i in range(30)] + [(i, 0, 0) for i in range(40, 55)]
+    labels = [(i, 1, 0) for i in range(30)] + [(i, 0, 0) for i in range(40, 50)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder, texts
 
