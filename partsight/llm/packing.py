@@ -9,6 +9,8 @@ repeats until every group is certified, ``rounds`` are over, or a round gains no
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ CAPACITY = 2048
 GROUP_PIECES = 20_000
 ROUNDS = 3
 #: Chunks between white space whose ids a task remembers, and the longest of them.
-MEMORY_CHUNKS, MEMORY_CHARS = 300_000, 48
+MEMORY_CHUNKS, MEMORY_CHARS = 800_000, 48
 
 _PIECE = [
     T.StructField("piece", T.IntegerType()),
@@ -33,34 +35,72 @@ _PIECE = [
 ]
 
 
+#: A word of Latin-1 letters and the ASCII punctuation behind it.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizer, chunk between white space by chunk.
 
-    The tokenizer must drop white space and never join what it separates; then the ids of a text are
-    those of its chunks in order, and the ids of a chunk seen before need no work.
+    The tokenizer must drop white space and never join what it separates, lower-case, and part letters
+    from punctuation; then the ids of a text are those of its chunks in order, a chunk of a word and
+    punctuation has the ids of the two, and what was seen before needs no work. New words go to the
+    tokenizer many at a time: each ends with the first id that ends a word.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, code in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            ends[code] = token.endswith("</w>")
+        self.ends = ends
+        self.words: dict[str, bytes] = {}
         self.seen: dict[str, bytes] = {}
 
+    def _learn_words(self, words: list[str]) -> None:
+        for start in range(0, len(words), 2048):
+            part = words[start : start + 2048]
+            code = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(code.ids, "<u4")
+            cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+            assert len(cuts) == len(part) + 1, "a word of letters ends with one id"
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            for word, a, b in zip(part, at, at[1:]):
+                self.words[word] = raw[a:b]
+
+    def _learn(self, new: list[str]) -> None:
+        parted, rest = [], []
+        for chunk in new:
+            m = _WORD.fullmatch(chunk)
+            if m:
+                parted.append((chunk, m[1].lower(), m[2]))
+            else:
+                rest.append(chunk)
+        words = self.words
+        self._learn_words(list({word for _, word, _ in parted if word not in words}))
+        rest += list({tail for _, _, tail in parted if tail and tail not in self.seen})
+        for start in range(0, len(rest), 2048):
+            part = rest[start : start + 2048]
+            for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.seen[chunk] = np.array(code.ids, "<u4").tobytes()
+        for chunk, word, tail in parted:
+            self.seen[chunk] = words[word] + self.seen[tail] if tail else words[word]
+
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, and ``end`` behind them."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.seen) > MEMORY_CHUNKS:
-            self.seen = {}
+        if len(self.seen) + len(self.words) > MEMORY_CHUNKS:
+            self.seen, self.words = {}, {}
         seen = self.seen
         seen[""] = b""
-        new = list({c for chunks in split for c in chunks if c not in seen})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                seen[chunk] = np.array(code.ids, "<u4").tobytes()
-        out = [b"".join([seen[c] for c in chunks]) + end for chunks in split]
+        new = list(set().union(*split) - seen.keys())
+        self._learn(new)
+        out = [b"".join(map(seen.__getitem__, chunks)) + end for chunks in split]
         for chunk in new:
             if len(chunk) > MEMORY_CHARS:
                 del seen[chunk]
+                self.words.pop(chunk.lower(), None)
         return out
 
 

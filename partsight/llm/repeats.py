@@ -36,7 +36,7 @@ from partsight.llm.common import compressed, decompressed, mix, stepped, stored
 #: Bytes of a repeated string, and of the q-grams of each round of refinement.
 WINDOW, GRAMS = 400, (128, 320, 384)
 #: Bytes of text in one vector step, and of a block of a longer text.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _R = (np.uint64(0xA0761D6478BD642F | 1), np.uint64(0xE7037ED1A0B428DB | 1))
 _BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * _A)
@@ -152,29 +152,27 @@ def _blocks(texts: list[bytes], window: int, limit: int = BLOCK_BYTES):
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, k, l, packed: 128 bits that name the row's key and text, and the text's bytes compressed.
-
-    A null text is empty.
-    """
+    """key, k, l, raw: 128 bits that name the row's key and text, and the text's bytes (null: empty)."""
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     named = F.col(key).cast("string")
-    rows = docs.select(
+    return docs.select(
         F.col(key), F.xxhash64(named, raw).alias("k"), F.xxhash64(F.lit(1), raw, named).alias("l"), raw.alias("raw")
     )
-    return compressed(rows, "raw", "packed")
 
 
 _STRETCH = "k long, l long, base long, start long, windows long, done boolean, name long, d1 long, d2 long, again boolean"
 
 
 def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """The stretches of ``texts`` (k, l, packed; and base, done of a part of a text that begins at base)."""
+    """The stretches of ``texts``: k, l, base, done and raw, or packed, of a part of a text that begins at base."""
+    column = "raw" if "raw" in texts.columns else "packed"
 
     def step(batches):
         find = Stretches(window, gram)
-        for batch in stepped(batches, "packed", 1 << 20):
+        for batch in stepped(batches, column, 1 << 20):
             k, l, base, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "l", "base", "done"))
-            for held in _blocks(decompressed(batch.column("packed")), window):
+            raws = batch.column("raw").to_pylist() if column == "raw" else decompressed(batch.column("packed"))
+            for held in _blocks(raws, window):
                 rows = np.array([h[0] for h in held])
                 offsets = np.array([h[1] for h in held])
                 data = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
@@ -194,7 +192,7 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     ["k", "l", "base", "start", "windows", "done", "name", "d1", "d2", "again"],
                 )
 
-    return texts.select("k", "l", "base", "done", "packed").mapInArrow(step, _STRETCH)
+    return texts.select("k", "l", "base", "done", column).mapInArrow(step, _STRETCH)
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -288,6 +286,8 @@ def repeated_spans(
         wanted = kinds.join(mixed, "name", "left_semi").select(
             "one.*", (F.col("done") | (F.col("n") > 1)).alias("done")
         )
+        if "raw" in texts.columns:
+            texts = compressed(texts.select("k", "l", "base", "raw"), "raw", "packed")
         texts = stored(_cut(texts, wanted, window), "stretch-texts")
     windows = stored(_windows(texts, window, grams[0]), "windows")
     equal = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
@@ -316,33 +316,22 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, grams: tuple[int, ...] = GRAMS
 ) -> DataFrame:
-    """``key``, raw (the bytes of the whole text), runs (array of start, end): bytes that repeat elsewhere.
+    """``key``, packed (the text's bytes as a zstandard frame), spans (array of start, end).
 
-    A byte is in a run if a string of ``window`` bytes that covers it starts anywhere else too, in this
-    or another row; overlapping occurrences count, matches never cross rows. Null texts are empty, texts
-    shorter than ``window`` have no runs, repeated rows are each other's repeats. Every row of ``docs``
-    gives one row.
+    The bytes in the spans repeat elsewhere: a string of ``window`` bytes that covers them starts
+    anywhere else too, in this or another row; overlapping occurrences count, matches never cross rows.
+    Spans overlap, ``merged`` makes runs of them. Null texts are empty, texts shorter than ``window``
+    have no spans (null), repeated rows are each other's repeats. Every row of ``docs`` gives one row.
     """
     spans = repeated_spans(docs, key, text, window, grams)
-    joined = _keyed(docs, key, text).join(spans, ["k", "l"], "left").select(key, "packed", "spans")
-    run = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([docs.schema[key], T.StructField("raw", T.BinaryType()), T.StructField("runs", T.ArrayType(run))])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def step(batches):
-        for batch in stepped(batches, "packed", 1 << 20):
-            runs = [[{"start": a, "end": b} for a, b in merged(s)] for s in batch.column("spans").to_pylist()]
-            raw = pa.array(decompressed(batch.column("packed")), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(key), raw, pa.array(runs, kind)], [key, "raw", "runs"])
-
-    return joined.mapInArrow(step, schema)
+    return compressed(_keyed(docs, key, text), "raw", "packed").join(spans, ["k", "l"], "left").select(key, "packed", "spans")
 
 
-def kept_bytes(raw: bytes, runs: list[dict]) -> bytes:
+def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     parts, at = [], 0
-    for run in runs:
-        parts.append(raw[at : run["start"]])
-        at = run["end"]
+    for start, end in runs:
+        parts.append(raw[at:start])
+        at = end
     return b"".join([*parts, raw[at:]])
 
 
@@ -351,13 +340,14 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     schema = T.StructType([found.schema[key], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
     def step(batches):
-        for batch in batches:
-            raws, runs = batch.column("raw").to_pylist(), batch.column("runs").to_pylist()
+        for batch in stepped(batches, "packed", 1 << 20):
+            raws = decompressed(batch.column("packed"))
+            runs = [merged(spans) for spans in batch.column("spans").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
                     pa.array([len(r) for r in raws], pa.int64()),
-                    pa.array([sum(x["end"] - x["start"] for x in r) for r in runs], pa.int64()),
+                    pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()),
                     pa.array([len(r) for r in runs], pa.int64()),
                     pa.array([hashlib.sha256(kept_bytes(a, b)).hexdigest() for a, b in zip(raws, runs)], pa.string()),
                 ],
@@ -374,19 +364,18 @@ def kept_texts(found: DataFrame, key: str = "doc_id", into: str = "text") -> Dat
     """
     schema = T.StructType([found.schema[key], T.StructField(into, T.StringType()), T.StructField("n_removed", T.LongType())])
 
-    def whole(raw: bytes, run: dict) -> dict:
-        start, end = run["start"], run["end"]
+    def whole(raw: bytes, start: int, end: int) -> tuple[int, int]:
         while start < end and raw[start] & 0xC0 == 0x80:
             start += 1
         while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
             end -= 1
-        return {"start": start, "end": end}
+        return start, end
 
     def step(batches):
-        for batch in batches:
+        for batch in stepped(batches, "packed", 1 << 20):
             texts, removed = [], []
-            for raw, runs in zip(batch.column("raw").to_pylist(), batch.column("runs").to_pylist()):
-                rest = kept_bytes(raw, [whole(raw, run) for run in runs])
+            for raw, spans in zip(decompressed(batch.column("packed")), batch.column("spans").to_pylist()):
+                rest = kept_bytes(raw, [whole(raw, *run) for run in merged(spans)])
                 texts.append(rest.decode())
                 removed.append(len(raw) - len(rest))
             yield pa.RecordBatch.from_arrays(
