@@ -42,13 +42,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without strings of 400 bytes that stand anywhere else; documents left empty by it go."""
     docs = docs.select(*COLUMNS)
-    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    cut = repeats.kept_texts(repeats.remove_repeats(numbered, "row"), "row").withColumnRenamed("text", "rest")
+    marked = docs.withColumn("given", F.col("text").isNotNull())
+    cut = repeats.kept_texts(repeats.remove_repeats(marked, carry=("lang", "source", "n_chars", "given")))
+    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return (
-        numbered.join(cut, "row")
-        .where((F.col("n_removed") == 0) | (F.col("rest") != ""))
-        .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("rest")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-        .withColumn("text", F.when(F.col("n_removed") > 0, F.col("rest")).otherwise(F.col("text")))
+        cut.where((F.col("n_removed") == 0) | (F.col("text") != ""))
+        .withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+        .withColumn("text", F.when(F.col("given"), F.col("text")))
         .select(*COLUMNS)
     )
 

@@ -151,12 +151,12 @@ def _blocks(texts: list[bytes], window: int, limit: int = BLOCK_BYTES):
         yield held
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, k, l, raw: 128 bits that name the row's key and text, and the text's bytes (null: empty)."""
+def _keyed(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carry, k, l, raw: 128 bits that name the row's key and text, and the text's bytes (null: empty)."""
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     named = F.col(key).cast("string")
     return docs.select(
-        F.col(key), F.xxhash64(named, raw).alias("k"), F.xxhash64(F.lit(1), raw, named).alias("l"), raw.alias("raw")
+        key, *carry, F.xxhash64(named, raw).alias("k"), F.xxhash64(F.lit(1), raw, named).alias("l"), raw.alias("raw")
     )
 
 
@@ -314,9 +314,14 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, grams: tuple[int, ...] = GRAMS
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    window: int = WINDOW,
+    grams: tuple[int, ...] = GRAMS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key``, packed (the text's bytes as a zstandard frame), spans (array of start, end).
+    """``key``, the columns in ``carry``, packed (the text's bytes as a zstandard frame), spans (start, end).
 
     The bytes in the spans repeat elsewhere: a string of ``window`` bytes that covers them starts
     anywhere else too, in this or another row; overlapping occurrences count, matches never cross rows.
@@ -324,7 +329,8 @@ def remove_repeats(
     have no spans (null), repeated rows are each other's repeats. Every row of ``docs`` gives one row.
     """
     spans = repeated_spans(docs, key, text, window, grams)
-    return compressed(_keyed(docs, key, text), "raw", "packed").join(spans, ["k", "l"], "left").select(key, "packed", "spans")
+    rows = compressed(_keyed(docs, key, text, carry), "raw", "packed").join(spans, ["k", "l"], "left")
+    return rows.select(key, *carry, "packed", "spans")
 
 
 def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -357,12 +363,13 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.mapInArrow(step, schema)
 
 
-def kept_texts(found: DataFrame, key: str = "doc_id", into: str = "text") -> DataFrame:
-    """Of ``remove_repeats``: key, ``into`` (the text without its runs), n_removed.
+def kept_texts(found: DataFrame, into: str = "text") -> DataFrame:
+    """Of ``remove_repeats``: its key and carried columns, ``into`` (the text without its runs), n_removed.
 
     A run that begins or ends inside a character leaves that character, so the rest is valid text.
     """
-    schema = T.StructType([found.schema[key], T.StructField(into, T.StringType()), T.StructField("n_removed", T.LongType())])
+    kept = [f for f in found.schema.fields if f.name not in ("packed", "spans")]
+    schema = T.StructType([*kept, T.StructField(into, T.StringType()), T.StructField("n_removed", T.LongType())])
 
     def whole(raw: bytes, start: int, end: int) -> tuple[int, int]:
         while start < end and raw[start] & 0xC0 == 0x80:
@@ -379,7 +386,8 @@ def kept_texts(found: DataFrame, key: str = "doc_id", into: str = "text") -> Dat
                 texts.append(rest.decode())
                 removed.append(len(raw) - len(rest))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], schema.names
+                [*(batch.column(f.name) for f in kept), pa.array(texts, pa.string()), pa.array(removed, pa.int64())],
+                schema.names,
             )
 
     return found.mapInArrow(step, schema)
