@@ -12,7 +12,12 @@ from partsight.session import run_dir
 from partsight.sources.domain import Domain
 from partsight.sources.tables import read_table
 
-_TIMEOUT_S = 1800
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.getFileStatus(where).isDirectory()
 
 
 class StreamDomain(Domain):
@@ -23,11 +28,15 @@ class StreamDomain(Domain):
         for name in streamed:
             static = read_table(spark, sf_dir, name)
             raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+            path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+            # A stream reads a folder: the table's own, or of a table that is one file the parent.
+            reader = spark.readStream.schema(raw)
+            if not _is_folder(spark, path):
+                reader, path = reader.option("pathGlobFilter", f"{name}.parquet"), sf_dir
             stream = (
-                spark.readStream.schema(raw)
-                .option("pathGlobFilter", f"{name}.parquet")
+                reader
                 .option("maxBytesPerTrigger", str(1 << 30))  # bounds what one key can bring at once
-                .parquet(sf_dir)
+                .parquet(path)
             )
             self._built[name] = stream.select(
                 *[F.col(f.name).cast(f.dataType) for f in static.schema.fields]
@@ -43,9 +52,7 @@ def append_to_table(stream: DataFrame, what: str) -> DataFrame:
         .option("path", out).option("checkpointLocation", run_dir(spark, f"{what}-checkpoint"))
         .trigger(availableNow=True).start()
     )
-    if not query.awaitTermination(_TIMEOUT_S):
-        query.stop()
-        raise TimeoutError(f"stream {what} did not finish")
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -75,6 +82,4 @@ def _run(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None],
         .option("checkpointLocation", run_dir(spark, f"{what}-checkpoint"))
         .trigger(availableNow=True).start()
     )
-    if not query.awaitTermination(_TIMEOUT_S):
-        query.stop()
-        raise TimeoutError(f"stream {what} did not finish")
+    query.awaitTermination()

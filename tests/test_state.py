@@ -122,3 +122,13 @@ def test_enqueue_respects_backoff(spark):
                                 "request_id long, kind string, dedup_key string, run_after timestamp")
     out = {r.dedup_key: (r.action, r.requests) for r in jb.merge_enqueue(queued, req).collect()}
     assert out == {"a": ("in_backoff", 1), "b": ("pulled_forward", 2), "c": ("inserted", 1)}
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    from partsight import plans
+
+    source = "/root/testdata/sf0.001"
+    for name in ("events", "conversations", "orders", "customer", "part", "documents"):
+        spark.read.parquet(f"{source}/{name}.parquet").repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
+    query = plans.queries()["stream_dedup"]
+    assert query(spark, str(tmp_path)).count() == query(spark, source).count() > 0
