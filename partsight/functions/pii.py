@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partsight.functions.spans import (
-    rewrite_sql, rlike_sql, span_sql, spans_sql, trimmed_sql, unicode_regex,
+    head_sql, quote, rewrite_sql, rlike_sql, span_sql, spans_sql, trimmed_sql, unicode_regex,
 )
 from partsight.functions.text import to_original
 from partsight.rules import pii as P
@@ -46,14 +46,34 @@ def _links(view: str) -> list[str]:
     def cut(found: str) -> str:
         return trimmed_sql(view, found, P.TRAILING_PUNCTUATION)
 
+    def head(found: str, pattern: str) -> str:
+        return head_sql(view, found, unicode_regex(pattern))
+
+    value = span_sql(view)
+    host = (
+        f"regexp_replace(substring_index(regexp_replace(lower({value}), '^https?://', ''), '/', 1), "
+        f"{quote(r'^(?:www|m)[.]')}, '')"
+    )
+    hosts = ", ".join(quote(h) for h in P.SOCIAL_HOSTS)
+    longest, shortest = P.HANDLE_LENGTH[1], P.HANDLE_LENGTH[0]
+    # One scan finds the tokens for both kinds of bare hosts.
+    bare = at(P.DOTTED, f"({dotted} OR {dotted_cyr})")
+    named = (
+        f"filter({at(P.KEYWORD_HANDLE, word, before='$1', wrap='$2')}, s -> s.`end` - s.start "
+        f"BETWEEN {shortest} AND {longest} AND NOT rlike({value}, {quote(P.NOT_A_HANDLE)}))"
+    )
+    handles = (
+        f"filter({at(P.HANDLE, sign)}, s -> s.`end` - s.start BETWEEN {shortest + 1} AND {longest + 1} "
+        f"AND {rlike_sql(value, '^@[^0-9_.]')})"
+    )
     return [
-        _typed(at(P.EMAIL, sign), "EMAIL"),
-        _typed(cut(at(P.SOCIAL_LINK, slash)), "SOCIAL"),
-        _typed(cut(at(P.HANDLE, sign)), "SOCIAL"),
-        _typed(cut(at(P.KEYWORD_HANDLE, word, before="$1", wrap="$2")), "SOCIAL"),
+        _typed(head(at(P.MAIL_TOKEN, sign), P.MAIL), "EMAIL"),
+        _typed(cut(f"filter({at(P.LINK_TOKEN, slash)}, s -> {host} IN ({hosts}))"), "SOCIAL"),
+        _typed(cut(handles), "SOCIAL"),
+        _typed(cut(named), "SOCIAL"),
         _typed(cut(at(P.URL_SCHEME, web)), "URL"),
-        _typed(cut(at(P.URL_BARE, dotted)), "URL"),
-        _typed(cut(at(P.URL_BARE_CYRILLIC, dotted_cyr)), "URL"),
+        _typed(cut(head(bare, P.BARE_HOST)), "URL"),
+        _typed(cut(head(bare, P.BARE_HOST_CYRILLIC)), "URL"),
     ]
 
 
@@ -245,31 +265,19 @@ def with_tokens(rows: DataFrame) -> DataFrame:
 
 def masked_text(text: str = "text") -> Column:
     """The text with every span replaced by its token; the rest stays as it is."""
-    t = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, s["token"]).alias("out"))
-
-    whole = F.aggregate(
-        "spans", start, step,
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t) - acc["at"])),
+    pieces = (
+        f"concat(transform(spans, (s, i) -> concat(substring({text}, IF(i = 0, 0, get(spans, i - 1).`end`) "
+        f"+ 1, s.start - IF(i = 0, 0, get(spans, i - 1).`end`)), s.token)), "
+        f"array(substring({text}, get(spans, size(spans) - 1).`end` + 1)))"
     )
-    return F.when(F.size("spans") == 0, t).otherwise(whole)
+    return F.expr(f"IF(size(spans) = 0, {text}, array_join({pieces}, ''))")
 
 
 def token_mapping(text: str = "text") -> Column:
     """Token -> first original value. Restricted: only for an output kept apart."""
-    t = F.col(text)
-    entries = F.transform(
-        "spans", lambda s: F.struct(s["token"].alias("token"), _text_of(text, s).alias("value"))
-    )
-    first = F.aggregate(
-        entries,
-        F.array().cast("array<struct<token:string,value:string>>"),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda k: k["token"] == e["token"]), acc
-        ).otherwise(F.concat(acc, F.array(e))),
+    value = f"substring({text}, s.start + 1, s.`end` - s.start)"
+    tokens = "transform(spans, s -> s.token)"
+    first = f"transform(array_distinct({tokens}), t -> get(spans, array_position({tokens}, t) - 1))"
+    return F.expr(
+        f"map_from_entries(transform({first}, s -> struct(s.token AS token, {value} AS value)))"
     )
-    return F.map_from_entries(first)

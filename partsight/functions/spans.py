@@ -80,14 +80,18 @@ def span_sql(view: str, span: str = "s") -> str:
 
 def rewrite_sql(view: str, pattern: str, change: str, probe: str) -> str:
     """The text with every match ``p`` replaced by the expression ``change``."""
-    found = (
-        f"aggregate({_pieces(view, pattern, '$0', '')}, struct(false AS inside, '' AS out), "
-        f"(acc, p) -> struct(NOT acc.inside AS inside, concat(acc.out, IF(acc.inside, {change}, p)) "
-        "AS out), acc -> acc.out)"
-    )
+    parts = _pieces(view, pattern, "$0", "")
+    found = f"array_join(transform({parts}, (p, i) -> IF(i % 2 = 1, {change}, p)), '')"
     return f"IF({probe}, {found}, {view})"
 
 
+def head_sql(view: str, found: str, pattern: str) -> str:
+    """The spans cut to what the anchored pattern finds at their start; spans without it are gone."""
+    kept = f"length(regexp_extract({span_sql(view)}, {quote(pattern)}, 0))"
+    cut = f"transform({found}, s -> struct(s.start AS start, s.start + {kept} AS `end`))"
+    return f"filter({cut}, s -> s.`end` > s.start)"
+
+
 def trimmed_sql(view: str, found: str, punctuation: str) -> str:
     """The spans without trailing punctuation; spans that were nothing else are gone."""
     kept = f"length(trim(TRAILING {quote(punctuation)} FROM {span_sql(view)}))"

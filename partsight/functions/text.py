@@ -181,7 +181,8 @@ LETTER_RUN = r"[^\W\d_]+"
 _BRAND_WITH_ENDING = (
     "^[A-Za-z]{3,}(?:а|у|е|ом|ой|ы|ов|ам|ами|ах|ский|ская|ское|ские|шный|шная|шное|шные)$"
 )
-_SPACED = r"(?<![^\W\d_])(?:[^\W\d_](?:\s{1,3}|[-._*·/|+~])){3,400}[^\W\d_](?![^\W\d_])"
+_LONE = r"[^\W\d_](?![^\W\d_])"
+_SPACED = rf"(?<![^\W\d_])(?:{_LONE}(?:\s{{1,3}}+|[-._*·/|+~])(?={_LONE})){{3,}}+{_LONE}"
 _CYRILLIC = r"[Ѐ-ԯᲀ-᲏Ꙁ-ꚟ]"
 _LATIN = r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]"
 _GREEK = r"[Ͱ-Ͽἀ-῿]"
@@ -212,9 +213,7 @@ def mixed_script_spans(view: str) -> Column:
 
 
 def spaced_letter_spans(view: str) -> Column:
-    """Words spelled letter by letter: four letters if one is Cyrillic, else six. A word of
-    more than 400 such letters comes out as several spans (deeper matching would overflow the
-    stack of the regex engine)."""
+    """Words spelled letter by letter: four letters if one is Cyrillic, else six."""
     word = span_sql(view)
     letters = f"length(regexp_replace({word}, {quote(chr(92) + 'P{L}')}, ''))"
     found = spans_sql(view, unicode_regex(_SPACED, ignore_case=False))

@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from partsight.functions import pii
 from partsight.functions.spans import explode_rows, spans_sql, unicode_regex
 from partsight.functions.text import to_original, with_views
-from partsight.rules.pii import MAX_MASK_INPUT
 
 
-def route_oversize(
-    rows: DataFrame, text: str = "text", limit: int = MAX_MASK_INPUT
-) -> tuple[DataFrame, DataFrame]:
-    """(maskable, too long). A text beyond the limit is left out whole, never masked in part."""
+def route_oversize(rows: DataFrame, limit: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(up to the limit, longer), for a caller whose sink bounds its texts. Masking itself has
+    no limit."""
     long = F.length(text) > limit
-    return rows.where(~long), rows.where(long)
+    return rows.where(~F.coalesce(long, F.lit(False))), rows.where(long)
 
 
 def detect(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -24,20 +22,13 @@ def detect(rows: DataFrame, text: str = "text") -> DataFrame:
     return pii.with_detections(with_views(rows, text))
 
 
-def mask_texts(
-    rows: DataFrame, text: str = "text", *, limit: int = MAX_MASK_INPUT
-) -> DataFrame:
-    """``masked`` and ``spans`` per row. Rows beyond the limit keep both NULL and say so in
-    ``mask_status``."""
-    long = F.length(text) > limit
-    # Oversize rows enter the detectors as NULL, so nothing of them is scanned.
-    staged = rows.withColumn("__t", F.when(~long, F.col(text)))
-    found = pii.with_tokens(detect(staged, "__t"))
+def mask_texts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``masked``, ``spans`` and ``mask_status`` per row, for texts of any length."""
+    found = pii.with_tokens(detect(rows, text))
     return found.withColumns(
         {
-            "masked": F.when(~long, pii.masked_text("__t")),
-            "mask_status": F.when(F.col(text).isNull(), "no_text")
-            .when(long, "too_long").otherwise("masked"),
+            "masked": pii.masked_text(text),
+            "mask_status": F.when(F.col(text).isNull(), "no_text").otherwise("masked"),
         }
     ).select(*rows.columns, "masked", "spans", "mask_status")
 
@@ -65,7 +56,8 @@ def detection_stats(detected: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- A11 -----------------------------------------------------------------------------------------
 
-_RUN = r"(?<![^\W_])[A-Za-z0-9]+(?:[ \-./][A-Za-z0-9]+){0,15}(?![^\W_])"
+_GROUP = r"[A-Za-z0-9]++(?![^\W_])"
+_RUN = rf"(?<![^\W_]){_GROUP}(?:[ ./-]{_GROUP})*+"
 _MAX_GROUPS = 6
 
 

@@ -2,8 +2,8 @@
 
 ``find`` judges every part in its own row (no shuffle) and yields one row per finding. Literals and
 template spans then lift findings by equi-joins on (draft, part) with a containment condition, and
-the verdicts are two levels of ``groupBy``. A part far over the size limit is only measured: it is
-blocked in any case.
+the verdicts are two levels of ``groupBy``. A part over the size limit is scanned like any
+other; its length is one more finding.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from partsight.functions import pii
 from partsight.functions import text as tx
 from partsight.functions.literals import literal_pattern
 from partsight.functions.spans import (
-    CLOSE, NO_SPANS, OPEN, explode_rows, inside_sql, quote, rlike_sql, span_sql, spans_sql,
+    CLOSE, NO_SPANS, OPEN, explode_rows, head_sql, inside_sql, quote, rlike_sql, span_sql, spans_sql,
     trimmed_sql, unicode_regex,
 )
 from partsight.rules import policy as R
@@ -212,6 +212,11 @@ def split_stems_sql() -> list[str]:
     return out
 
 
+def _url_spans(token: str, part: str | None, probe: str) -> str:
+    found = spans_sql("nt", unicode_regex(token), probe=rlike_sql("nt", probe))
+    return found if part is None else head_sql("nt", found, unicode_regex(part))
+
+
 def url_allowed_sql(url: str, allowlist: tuple[str, ...]) -> str:
     """A clean http(s) URL on an allowed host, without a domain in the query, five digits in a
     row or a channel name."""
@@ -238,8 +243,7 @@ def url_allowed_sql(url: str, allowlist: tuple[str, ...]) -> str:
 
 
 def basic_findings(parts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``basic`` (empty, invalid, hidden, too long; original offsets) and ``scan`` (is the
-    part worth scanning?). Expects the view columns."""
+    """Adds ``basic`` (empty, invalid, hidden, too long; original offsets). Expects the view columns."""
     t = F.col(text)
 
     def coded(found: str, code: str) -> Column:
@@ -259,16 +263,13 @@ def basic_findings(parts: DataFrame, text: str = "text") -> DataFrame:
     )
     none = F.expr(_NONE)
     empty = F.col("nt").rlike(r"^(?U)\s*$")
-    limit = R.SCAN_LIMIT_FACTOR * max(R.MAX_UTF16_UNITS, R.MAX_UTF8_BYTES)
-    return parts.withColumns(
-        {
-            "basic": F.concat(
-                coded("invalid", "INVALID_TEXT"), coded("hidden", "OBFUSCATION"),
-                F.when(empty, whole).otherwise(none),
-                F.when(~empty & ~fits, long).otherwise(none),
-            ),
-            "scan": ~empty & (F.length(t) <= limit),
-        }
+    return parts.withColumn(
+        "basic",
+        F.concat(
+            coded("invalid", "INVALID_TEXT"), coded("hidden", "OBFUSCATION"),
+            F.when(empty, whole).otherwise(none),
+            F.when(~empty & ~fits, long).otherwise(none),
+        ),
     )
 
 
@@ -284,17 +285,12 @@ def find(
     """
     keep = [*PART, *[c for c in ("fitment_verified",) if c in parts.columns]]
     basic = basic_findings(tx.with_views(parts.select(*keep, text), text), text)
-    # Parts that are only measured enter the detectors as empty texts.
-    views = {v: F.when(F.col("scan"), F.col(v)).otherwise("") for v in ("nt", "cyr", "lat")}
-    staged = pii.with_detections(basic.withColumns(views)).withColumns(
-        {f"low_{v}": F.lower(v) for v in views}
-    )
+    staged = pii.with_detections(basic).withColumns({f"low_{v}": F.lower(v) for v in ("nt", "cyr", "lat")})
 
     url = trimmed_sql(
         "nt",
         "array_distinct(concat(" + ", ".join(
-            spans_sql("nt", unicode_regex(p), probe=rlike_sql("nt", probe))
-            for p, probe in zip(R.URL_GENERIC, R.URL_GENERIC_PROBES, strict=True)
+            _url_spans(token, part, probe) for token, part, probe in R.URL_GENERIC
         ) + "))",
         TRAILING_PUNCTUATION,
     )

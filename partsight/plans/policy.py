@@ -104,13 +104,12 @@ def text_segments(d: Domain) -> DataFrame:
 
 @query("policy_basic", """
     SELECT doc_id, CASE WHEN trim(text) = '' THEN 'EMPTY_PART' WHEN strlen(text) > 1000
-      THEN 'PART_TOO_LONG' ELSE '' END AS code,
-      trim(text) <> '' AND length(text) <= 4000 AS scan FROM documents""")
+      THEN 'PART_TOO_LONG' ELSE '' END AS code FROM documents""")
 def policy_basic(d: Domain) -> DataFrame:
     """B03."""
     basic = pol.basic_findings(tx.with_views(d["documents"].select("doc_id", "text")))
     size_codes = F.filter("basic", lambda f: f["code"].isin("EMPTY_PART", "PART_TOO_LONG"))
-    return basic.select("doc_id", F.coalesce(F.get(size_codes, 0)["code"], F.lit("")).alias("code"), "scan")
+    return basic.select("doc_id", F.coalesce(F.get(size_codes, 0)["code"], F.lit("")).alias("code"))
 
 
 _WORDS = (
@@ -122,7 +121,7 @@ _WORDS = (
 
 
 @query("policy_findings", with_domain("part_text", """,
-    t AS (SELECT draft_id, part_index, text FROM part_text WHERE length(text) <= 4000),
+    t AS (SELECT draft_id, part_index, text FROM part_text),
     f AS (SELECT draft_id, part_index, 'W_THE' AS code,
         len(regexp_extract_all(text, '(?i)the[a-z]*')) AS n FROM t
       UNION ALL SELECT draft_id, part_index, 'W_AND', len(regexp_extract_all(text, '(?i)and')) FROM t

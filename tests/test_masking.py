@@ -51,12 +51,22 @@ def test_spans_point_at_the_original(spark):
     assert found == {"PHONE": "８９００１２３４５６７", "EMAIL": "ivan@mail.ru"}
 
 
-def test_oversize_is_not_masked_in_part(spark):
-    df = spark.createDataFrame([("ivan@mail.ru " * 10,), ("ivan@mail.ru",)], "text string")
-    rows = {r.mask_status: r.masked for r in mk.mask_texts(df, limit=50).collect()}
-    assert rows == {"too_long": None, "masked": "[EMAIL_1]"}
+def test_long_texts_are_masked_whole(spark):
+    text = "а б " * 20_000 + "ivan@mail.ru " * 500 + "x" * 60_000 + " 89001234567"
+    df = spark.createDataFrame([(text,), ("ivan@mail.ru",), (None,)], "text string")
+    rows = {r.text: (r.masked, r.mask_status) for r in mk.mask_texts(df).collect()}
+    want = text.replace("ivan@mail.ru", "[EMAIL_1]").replace("89001234567", "[PHONE_1]")
+    assert rows == {text: (want, "masked"), "ivan@mail.ru": ("[EMAIL_1]", "masked"), None: (None, "no_text")}
     fits, long = mk.route_oversize(df, limit=50)
-    assert (fits.count(), long.count()) == (1, 1)
+    assert (fits.count(), long.count()) == (2, 1)
+
+
+def test_addresses_of_many_labels(spark):
+    host = "a." * 300 + "ru"
+    df = spark.createDataFrame([(t,) for t in (f"u@{host}", host, "x.ru.1", "a@b.ru.12", "г.Москва")], "text string")
+    got = {r.text: r.masked for r in mk.mask_texts(df).collect()}
+    assert got == {f"u@{host}": "[EMAIL_1]", host: "[URL_1]", "x.ru.1": "[URL_1].1", "a@b.ru.12": "[EMAIL_1].12",
+                   "г.Москва": "г.Москва"}
 
 
 def test_mapping_keeps_the_first_value(spark):

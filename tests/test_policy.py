@@ -28,6 +28,19 @@ CASES = [
     ("a\u0007b", {"INVALID_TEXT"}), ("х" * 600, {"PART_TOO_LONG"}),
     ("т е л е г р а м", {"CONTACT_CHANNEL", "OBFUSCATION"}), ("ѕcript", {"OBFUSCATION"}),
     ("Mercedesа", set()), ("гарантия год", {"PROMISE_WARRANTY"}),
+    ("Бронирую для вас", {"COMPLETION_CLAIM"}), ("Никому не продам", {"COMPLETION_CLAIM"}),
+    ("деталь ваша", {"COMPLETION_CLAIM"}), ("снял с продажи", {"COMPLETION_CLAIM"}),
+    ("посылка едет", {"COMPLETION_CLAIM"}), ("Платёж поступил", {"PAYMENT_RECEIVED_CLAIM"}),
+    ("Оплатите на киви", {"PAYMENT_OFF_PLATFORM"}), ("Юкасса", {"PAYMENT_OFF_PLATFORM"}),
+    ("Иван на связи", {"HUMAN_CLAIM"}), ("с уважением, Иван", {"HUMAN_CLAIM"}), ("Ivan here", {"HUMAN_CLAIM"}),
+    ("иван на связи", set()), ("обсудим цену", {"PROMISE_DISCOUNT"}),
+    ("Kargo yarın teslim", {"PROMISE_DELIVERY_DATE"}), ("Пишите в личку", {"CONTACT_CHANNEL", "CONTACT_REDIRECT"}),
+    ("номер детали", set()), ("отправлю фото завтра", set()), ("Оплата картой при получении", {"PAYMENT_TERMS_OUTSIDE_RULE"}),
+    ("Я бот-помощник", set()), ("Меня зовут помощник", set()), ("меня зовут Олег", {"HUMAN_CLAIM"}),
+    ("привезём через неделю", {"PROMISE_DELIVERY_DATE"}), ("Спасибо за оплату", {"PAYMENT_RECEIVED_CLAIM"}),
+    ("foo.ru.1", {"URL_NOT_ALLOWED", "DIGITS_NOT_ALLOWED"}), ("foo (dot) ru", {"URL_NOT_ALLOWED", "CONTACT_EMAIL"}),
+    ("ok", set()), ("нал", {"PAYMENT_TERMS_OUTSIDE_RULE"}), ("refund", {"PROMISE_RETURN"}), ("two lira", {"NUMBER_WORD", "CURRENCY"}),
+    ("х" * 5000 + " позвоните мне", {"PART_TOO_LONG", "CONTACT_REDIRECT"}), (" ".join("абвг" * 300), {"OBFUSCATION", "PART_TOO_LONG"}),
 ]
 
 
