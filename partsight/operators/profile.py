@@ -324,4 +324,4 @@ def image_folders(files: DataFrame, depth: int, top: int = 8) -> DataFrame:
 
 def redact(name: Column, salt: str, prefix: str = "K") -> Column:
     """A salted hash label. The salt is a job parameter; take a new one for every report."""
-    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat(F.lit(salt), name), 256), 1, 6))
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat(F.lit(salt), name), 256), 1, 32))

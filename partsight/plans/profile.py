@@ -449,7 +449,7 @@ def image_folders(d: Domain) -> DataFrame:
 
 
 @query("redact_names", """
-    SELECT DISTINCT source, 'K-' || sha256('salt-1' || source)[1:6] AS label FROM documents""")
+    SELECT DISTINCT source, 'K-' || sha256('salt-1' || source)[1:32] AS label FROM documents""")
 def redact_names(d: Domain) -> DataFrame:
     """G22 with a fixed salt."""
     return d["documents"].select("source").distinct().withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partsight.plans.registry import query
 from partsight.sources.domain import DUCK, Domain, with_domain
 from partsight.streaming import state as st
-from partsight.streaming.runner import StreamDomain, append_to_table, upsert_to_table
+from partsight.streaming.runner import StreamDomain, append_to_table
 
 
 def _live(d: Domain, *tables: str) -> StreamDomain:
@@ -20,8 +20,7 @@ def _live(d: Domain, *tables: str) -> StreamDomain:
 def stream_dedup(d: Domain) -> DataFrame:
     """S01."""
     live = _live(d, "conversations")["inbound_message"]
-    once = st.dedup(live).select("message_id", "conversation_id", "author_role")
-    return append_to_table(once, "stream-dedup")
+    return st.dedup(live.select("message_id", "conversation_id", "author_role"), "stream-dedup")
 
 
 @query("stream_seq", with_domain("inbound_message", """,
@@ -29,7 +28,7 @@ def stream_dedup(d: Domain) -> DataFrame:
     n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, message_id)
           AS seq FROM m)
     SELECT message_id, conversation_id, seq, coalesce(max(CASE WHEN author_role = 'customer'
-      THEN seq END) OVER (PARTITION BY conversation_id), 0) AS last_inbound_seq FROM n"""))
+      THEN seq END) OVER (PARTITION BY conversation_id ORDER BY seq), 0) AS last_inbound_seq FROM n"""))
 def stream_seq(d: Domain) -> DataFrame:
     """S02 on the messages without their copies."""
     live = _live(d, "conversations")["inbound_message"].where("source = 'webhook'")
@@ -81,8 +80,7 @@ _KIND = """CASE WHEN status IS NULL AND transport LIKE '%timeout%' THEN 'timeout
       count(*) AS attempts FROM attempt GROUP BY ALL"""))
 def stream_attempts(d: Domain) -> DataFrame:
     """S05."""
-    live = st.attempt_metrics(_live(d, "events")["attempt"])
-    return upsert_to_table(live, ["window_s", "endpoint", "outcome"], "stream-attempts")
+    return st.attempt_metrics(_live(d, "events")["attempt"], what="stream-attempts")
 
 
 @query("stream_rate", with_domain("attempt", f""",
@@ -91,8 +89,7 @@ def stream_attempts(d: Domain) -> DataFrame:
     SELECT window_s, endpoint, count(*) AS attempts, count(*) > 5 AS over FROM w GROUP BY ALL"""))
 def stream_rate(d: Domain) -> DataFrame:
     """S06."""
-    live = st.rate_check(_live(d, "events")["attempt"], F.lit(5))
-    return upsert_to_table(live, ["window_s", "endpoint"], "stream-rate")
+    return st.rate_check(_live(d, "events")["attempt"], F.lit(5), what="stream-rate")
 
 
 @query("stream_mask")

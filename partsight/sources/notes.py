@@ -16,23 +16,19 @@ from partsight.functions.values import safe_label, strip, unquote
 from partsight.rules import profile as R
 
 
-def scan_tree(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: relative folder, name, extension, size, content. Hidden files
-    and folders are left out. With ``max_files`` the flag ``partial`` says that there are more."""
+    and folders are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{base}/", "")
     parts = F.split(rel, "/")
     name = F.element_at(parts, -1)
     ext = F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
-    tree = files.select(
+    return files.select(
         rel.alias("rel"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("folder"),
         name.alias("name"), ext.alias("ext"), F.col("length").alias("size"), "content",
     ).where(~F.exists(F.split("rel", "/"), lambda p: p.startswith(".")))
-    if max_files is not None:
-        found = tree.agg(F.count(F.lit(1))).scalar()
-        return tree.withColumn("partial", found > max_files).limit(max_files)
-    return tree
 
 
 # Spark decodes no cp1251: read as Latin-1, then move the upper half.
@@ -47,11 +43,11 @@ def _decode_utf16(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else bytes(b).decode("utf-16", errors="replace"))
 
 
-def decode(files: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
-    """UTF-16 by its mark, UTF-8 with or without one, else cp1251; ``cut`` when longer than
-    ``max_bytes``. A UTF-8 character cut at the end does not make the file cp1251."""
-    data = F.substring("content", 1, max_bytes)
-    cut = F.length("content") > max_bytes
+def decode(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """UTF-16 by its mark, UTF-8 with or without one, else cp1251. Whole files, unless the
+    caller gives ``max_bytes``: then ``cut`` says that a file is longer. A UTF-8 character cut at the end does not make the file cp1251."""
+    data = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
+    cut = F.lit(False) if max_bytes is None else F.length("content") > max_bytes
     head = F.hex(F.substring(data, 1, 3))
     utf16 = head.startswith("FFFE") | head.startswith("FEFF")
     bom = head == "EFBBBF"

@@ -23,7 +23,9 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 class StreamDomain(Domain):
     """The derived tables with the named driver tables read as streams."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, streamed: set[str]) -> None:
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, streamed: set[str], files: int | None = None
+    ) -> None:
         super().__init__(spark, sf_dir)
         for name in streamed:
             static = read_table(spark, sf_dir, name)
@@ -33,53 +35,53 @@ class StreamDomain(Domain):
             reader = spark.readStream.schema(raw)
             if not _is_folder(spark, path):
                 reader, path = reader.option("pathGlobFilter", f"{name}.parquet"), sf_dir
-            stream = (
-                reader
-                .option("maxBytesPerTrigger", str(1 << 30))  # bounds what one key can bring at once
-                .parquet(path)
-            )
+            # Bounds what one key can bring at once; Spark takes one of the two limits.
+            if files is None:
+                reader = reader.option("maxBytesPerTrigger", str(1 << 30))
+            else:
+                reader = reader.option("maxFilesPerTrigger", files)
+            stream = reader.parquet(path)
             self._built[name] = stream.select(
                 *[F.col(f.name).cast(f.dataType) for f in static.schema.fields]
             )
 
 
-def append_to_table(stream: DataFrame, what: str) -> DataFrame:
-    """Append-mode stream into a Parquet table (exactly once through the sink's log)."""
+def append_to_table(stream: DataFrame, what: str, folder: str | None = None) -> DataFrame:
+    """Append-mode stream into a Parquet table (exactly once through the sink's log). A job that goes
+    on after a stop names the same ``folder`` again; it holds the table and the checkpoint."""
     spark = stream.sparkSession
-    out = run_dir(spark, what)
+    folder = folder or run_dir(spark, what)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", run_dir(spark, f"{what}-checkpoint"))
+        .option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+
 
+def merge_to_table(
+    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], what: str, folder: str | None = None
+) -> DataFrame:
+    """The rows ``partial`` makes of each batch, which the reader merges (sums, minima, distinct keys).
 
-def upsert_to_table(stream: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Update-mode stream: every batch writes its changed rows under its own id (a repeated batch
-    overwrites itself); reading takes the latest row of each key."""
+    A batch overwrites its own rows when it is repeated, and there is no watermark, so no row is late:
+    the merged result does not depend on how the input was cut into batches, nor on its order."""
     spark = stream.sparkSession
-    out = run_dir(spark, what)
+    folder = folder or run_dir(spark, what)
+    empty = spark.createDataFrame([], partial(stream).schema)
+    empty.write.mode("ignore").parquet(f"{folder}/table/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    _run(stream, "update", write, what)
-    values = [c for c in stream.columns if c not in keys]
-    rows = spark.read.parquet(out)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+        partial(batch).write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id}")
 
+    for_each_batch(stream, write, folder)
+    return spark.read.parquet(f"{folder}/table").drop("batch")
 
-def for_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], what: str) -> None:
-    _run(stream, "append", write, what)
 
-
-def _run(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], what: str) -> None:
-    spark = stream.sparkSession
+def for_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str) -> None:
     query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", run_dir(spark, f"{what}-checkpoint"))
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -13,12 +13,19 @@ from partsight.operators.jobs import BACKOFF_BASE_S, BACKOFF_MAX_S, KEY, merge_e
 from partsight.operators.masking import mask_texts
 from partsight.operators.traffic import classify_attempts
 from partsight.session import run_dir
-from partsight.streaming.runner import for_each_batch
+from partsight.streaming.runner import for_each_batch, merge_to_table
 
 
-def dedup(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One message per id within the watermark; the state of an id is dropped after ``delay``."""
-    return messages.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["message_id"])
+def dedup(messages: DataFrame, what: str = "dedup", folder: str | None = None) -> DataFrame:
+    """One message per id, whichever batches its copies came in. Every batch stores its distinct
+    ids, the reader takes the smallest row of each."""
+    rest = [c for c in messages.columns if c != "message_id"]
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("message_id").agg(F.min(F.struct(*rest)).alias("row"))
+
+    found = merge_to_table(messages, once, what, folder)
+    return found.groupBy("message_id").agg(F.min("row").alias("row")).select("message_id", "row.*")
 
 
 def _number(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,15 +34,16 @@ def _number(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
     # A micro-batch brings the few new messages of the conversation.
     batch = pd.concat(list(rows)).sort_values(["created_at", "message_id"])
     batch["seq"] = range(seq + 1, seq + 1 + len(batch))
-    customer = batch.loc[batch["author_role"] == "customer", "seq"]
-    inbound = int(customer.max()) if len(customer) else inbound
-    state.update((int(seq + len(batch)), int(inbound)))
-    batch["last_inbound_seq"] = inbound
+    pointer = batch["seq"].where(batch["author_role"] == "customer").ffill().fillna(inbound)
+    batch["last_inbound_seq"] = pointer.astype("int64")
+    state.update((int(seq + len(batch)), int(pointer.iloc[-1])))
     yield batch[["message_id", "conversation_id", "seq", "last_inbound_seq"]]
 
 
 def sequence(messages: DataFrame) -> DataFrame:
-    """Gap-free numbers per conversation and the pointer to its newest customer message."""
+    """Gap-free numbers per conversation, in the order of arrival, and at each message the pointer
+    to the newest customer message so far. For messages that arrive in order it is the same however
+    they are cut into batches."""
     return (
         messages.select("message_id", "conversation_id", "author_role", "created_at")
         .groupBy("conversation_id")
@@ -50,14 +58,17 @@ def sequence(messages: DataFrame) -> DataFrame:
     )
 
 
-def pending_table(requests: DataFrame, start: DataFrame, what: str = "pending") -> DataFrame:
+def pending_table(
+    requests: DataFrame, start: DataFrame, what: str = "pending", folder: str | None = None
+) -> DataFrame:
     """The queue as a versioned table; every batch merges its requests (E07) into the version
-    before it and writes the next one, so a repeated batch gives the same table."""
+    before it and writes the next one, so a repeated batch gives the same table. A job that goes on
+    after a stop names its ``folder`` again."""
     spark = requests.sparkSession
-    out = run_dir(spark, what)
+    folder = folder or run_dir(spark, what)
+    out = f"{folder}/table"
     columns = [*KEY, "job_id", "run_after", "last_error_code"]
-    start.select(*columns).write.parquet(f"{out}/version=0")
-    done: list[int] = [0]
+    start.select(*columns).write.mode("ignore").parquet(f"{out}/version=0")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         before = batch.sparkSession.read.parquet(f"{out}/version={batch_id}")
@@ -65,10 +76,10 @@ def pending_table(requests: DataFrame, start: DataFrame, what: str = "pending")
             before.select(*KEY, "last_error_code"), KEY, "left"
         )
         merged.select(*columns).write.mode("overwrite").parquet(f"{out}/version={batch_id + 1}")
-        done[0] = batch_id + 1
 
-    for_each_batch(requests, write, what)
-    return spark.read.parquet(f"{out}/version={done[0]}")
+    for_each_batch(requests, write, folder)
+    versions = spark.read.parquet(out)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 
 def retries(outcomes: DataFrame, max_attempts: int = 12) -> DataFrame:
@@ -99,31 +110,36 @@ def retries(outcomes: DataFrame, max_attempts: int = 12) -> DataFrame:
     )
 
 
-def attempt_metrics(attempts: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+def attempt_metrics(
+    attempts: DataFrame, width: str = "1 hour", what: str = "attempts", folder: str | None = None
+) -> DataFrame:
     """Attempts per endpoint and outcome in tumbling windows."""
-    return (
-        classify_attempts(attempts)
-        .withWatermark("started_at", delay)
-        .groupBy(
-            F.window("started_at", width).alias("w"), "endpoint",
+    keys = ["window_s", "endpoint", "outcome"]
+
+    def count(rows: DataFrame) -> DataFrame:
+        return classify_attempts(rows).groupBy(
+            F.unix_seconds(F.window("started_at", width)["start"]).alias("window_s"), "endpoint",
             F.coalesce("error_kind", F.lit("ok")).alias("outcome"),
-        )
-        .agg(F.count(F.lit(1)).alias("attempts"))
-        .select(F.unix_seconds("w.start").alias("window_s"), "endpoint", "outcome", "attempts")
-    )
+        ).agg(F.count(F.lit(1)).alias("attempts"))
+
+    found = merge_to_table(attempts, count, what, folder)
+    return found.groupBy(*keys).agg(F.sum("attempts").alias("attempts"))
 
 
 def rate_check(
     attempts: DataFrame, allowed: Column, width: str = "1 hour", slide: str = "30 minutes",
-    delay: str = "2 hours",
+    what: str = "rate", folder: str | None = None,
 ) -> DataFrame:
     """Attempts per endpoint in sliding windows against what is allowed in one."""
-    return (
-        attempts.withWatermark("started_at", delay)
-        .groupBy(F.window("started_at", width, slide).alias("w"), "endpoint")
-        .agg(F.count(F.lit(1)).alias("attempts"))
-        .select(F.unix_seconds("w.start").alias("window_s"), "endpoint", "attempts",
-                (F.col("attempts") > allowed).alias("over"))
+
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.window("started_at", width, slide).alias("w"), "endpoint").agg(
+            F.count(F.lit(1)).alias("attempts")
+        ).select(F.unix_seconds("w.start").alias("window_s"), "endpoint", "attempts")
+
+    found = merge_to_table(attempts, count, what, folder)
+    return found.groupBy("window_s", "endpoint").agg(F.sum("attempts").alias("attempts")).withColumn(
+        "over", F.col("attempts") > allowed
     )
 
 
