@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from all labels."""
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    scored = quality.score(docs.withColumn("body", F.col("text")), model, text="body")
+    scored = quality.score(docs, model, keep_text=True)
     return scored.where(F.col("score") >= PREDICT_AT).select(*COLUMNS)
 
 

@@ -88,8 +88,11 @@ def scores(features: np.ndarray, prior: float, weights: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _measured(docs: DataFrame, good: bytes, bad: bytes, text: str, curve: tuple[float, np.ndarray] | None) -> DataFrame:
-    kept = [f for f in docs.schema.fields if f.name not in (text, "features", "score")]
+def _measured(
+    docs: DataFrame, good: bytes, bad: bytes, text: str, curve: tuple[float, np.ndarray] | None, keep_text: bool = False
+) -> DataFrame:
+    gone = ("features", "score") if keep_text else (text, "features", "score")
+    kept = [f for f in docs.schema.fields if f.name not in gone]
     added = T.StructField("score", T.DoubleType()) if curve else T.StructField("features", T.ArrayType(T.DoubleType()))
 
     def step(batches):
@@ -162,9 +165,9 @@ def _dictionary(samples: list[bytes]) -> bytes:
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8, f=18, steps=1, level=LEVEL).as_bytes()
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with score (0 to 1). Null and empty texts get the share of good labels.
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with score (0 to 1), and without the text unless ``keep_text``.
 
-    An input column called ``score`` is replaced. Rows are independent: no shuffle.
+    Null and empty texts get the share of good labels. An input column called ``score`` or ``features`` is replaced. Rows are independent: no shuffle.
     """
-    return _measured(docs, model.good, model.bad, text, (model.prior, model.weights))
+    return _measured(docs, model.good, model.bad, text, (model.prior, model.weights), keep_text)
