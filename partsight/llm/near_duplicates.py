@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partsight.llm.common import compressed, decompressed, mix, stepped, stored, whole_groups
+from partsight.llm.common import compressed, decompressed, lean, mix, stepped, stored, whole_groups
 from partsight.llm.components import components
 
 BANDS, ROWS = 24, 5
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 ["doc_id", "n", "s1", "s2", "bands", "sig"],
             )
 
-    return docs.select(key, text).mapInArrow(step, f"doc_id {kind}, n long, s1 long, s2 long, bands array<long>, sig binary")
+    return docs.select(key, text).mapInArrow(lean(step), f"doc_id {kind}, n long, s1 long, s2 long, bands array<long>, sig binary")
 
 
 def _alike(n: np.ndarray, m, percent: int) -> np.ndarray:
@@ -162,7 +162,7 @@ def _likely(members: DataFrame, least: int, percent: int) -> DataFrame:
                     links.append(tuple(np.array(found, np.int64).T))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*links)], ["a", "b"])
 
-    return members.repartition("g").sortWithinPartitions("g", "id").mapInArrow(step, "a long, b long")
+    return members.repartition("g").sortWithinPartitions("g", "id").mapInArrow(lean(step), "a long, b long")
 
 
 def _blocked(rows: DataFrame, size: str, block: int, group: str) -> DataFrame:
@@ -238,7 +238,7 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     return members.select("g", "id", "n", "shingles", "label", "leads").repartition("g").sortWithinPartitions("g", "id").mapInArrow(
-        step, "a long, b long"
+        lean(step), "a long, b long"
     )
 
 
@@ -263,7 +263,7 @@ def _shingled(docs: DataFrame, key: str, text: str, nodes: DataFrame, words: int
     )
     # Merged at every size, so that what is shuffled follows the input.
     rows = compressed(texts, "raw", "packed").join(nodes.hint("merge"), "id").select("id", "part", "size", "packed")
-    return rows.mapInArrow(step, "id long, part long, size long, n long, shingles binary").where("n > 0")
+    return rows.mapInArrow(lean(step), "id long, part long, size long, n long, shingles binary").where("n > 0")
 
 
 def _links(rows: DataFrame, percent: int, block: int) -> DataFrame:

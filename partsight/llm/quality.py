@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partsight.llm.common import stepped
+from partsight.llm.common import lean, stepped
 
 #: Bounds of training: documents of a class for its dictionary and for the curve.
 DICTIONARY_DOCS, CURVE_DOCS = 3000, 3000
@@ -106,7 +106,7 @@ def _measured(
             arrays = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, column], [*(f.name for f in kept), added.name])
 
-    return docs.mapInArrow(step, T.StructType([*kept, added]))
+    return docs.mapInArrow(lean(step), T.StructType([*kept, added]))
 
 
 def train(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partsight.llm.common import compressed, decompressed, mix, stepped, stored
+from partsight.llm.common import compressed, decompressed, lean, mix, stepped, stored
 
 #: Bytes of a repeated string, and of the q-grams of each round of refinement.
 WINDOW, GRAMS = 400, (128, 320, 384)
@@ -192,7 +192,7 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     ["k", "l", "base", "start", "windows", "done", "name", "d1", "d2", "again"],
                 )
 
-    return texts.select("k", "l", "base", "done", column).mapInArrow(step, _STRETCH)
+    return texts.select("k", "l", "base", "done", column).mapInArrow(lean(step), _STRETCH)
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -217,7 +217,7 @@ def _cut(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             )
 
     joined = texts.join(per_text, ["k", "l", "base"]).select("k", "l", "base", "packed", "stretches")
-    return joined.mapInArrow(step, "k long, l long, base long, done boolean, packed binary")
+    return joined.mapInArrow(lean(step), "k long, l long, base long, done boolean, packed binary")
 
 
 def _windows(parts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -251,7 +251,7 @@ def _windows(parts: DataFrame, window: int, gram: int) -> DataFrame:
                 ["k", "l", "start", "done", "w1", "w2"],
             )
 
-    return parts.mapInArrow(step, "k long, l long, start long, done boolean, w1 long, w2 long")
+    return parts.mapInArrow(lean(step), "k long, l long, start long, done boolean, w1 long, w2 long")
 
 
 def repeated_spans(
@@ -360,7 +360,7 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
                 schema.names,
             )
 
-    return found.mapInArrow(step, schema)
+    return found.mapInArrow(lean(step), schema)
 
 
 def kept_texts(found: DataFrame, into: str = "text") -> DataFrame:
@@ -390,4 +390,4 @@ def kept_texts(found: DataFrame, into: str = "text") -> DataFrame:
                 schema.names,
             )
 
-    return found.mapInArrow(step, schema)
+    return found.mapInArrow(lean(step), schema)

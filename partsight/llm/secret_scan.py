@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from partsight.llm.byte_bpe import encode_text, encoding
-from partsight.llm.common import stepped
+from partsight.llm.common import lean, stepped
 
 #: The base patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -112,7 +112,7 @@ def scan(
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(rows, kind)], names)
 
-    return docs.mapInArrow(step, schema)
+    return docs.mapInArrow(lean(step), schema)
 
 
 def redact(docs: DataFrame, secrets: str = "secrets", text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -133,4 +133,4 @@ def redact(docs: DataFrame, secrets: str = "secrets", text: str = "text", mark:
             where = batch.schema.get_field_index(text)
             yield batch.set_column(where, text, pa.array(out, pa.string()))
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(lean(step), docs.schema)
