@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partsight.llm import near_duplicates, packing, quality, repeats, secret_scan
-from partsight.llm.common import stored, table
+from partsight.llm.common import small_batches, stored, table
 from partsight.llm.queries import BYTE_RANKS, PREDICT_AT, WORD_TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,9 +22,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WORDS, PERCENT = 5, 80
 
 
+def _begun(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """What a stage reads of its input; texts go to Python in small batches."""
+    small_batches(spark)
+    return docs.select(*COLUMNS)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from all labels."""
-    docs = docs.select(*COLUMNS)
+    docs = _begun(spark, docs)
     model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     scored = quality.score(docs, model, keep_text=True)
     return scored.where(F.col("score") >= PREDICT_AT).select(*COLUMNS)
@@ -32,7 +38,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id (of repeated rows, one)."""
-    docs = docs.select(*COLUMNS)
+    docs = _begun(spark, docs)
     found = near_duplicates.near_duplicates(docs, words=WORDS, percent=PERCENT)
     kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
@@ -41,7 +47,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without strings of 400 bytes that stand anywhere else; documents left empty by it go."""
-    docs = docs.select(*COLUMNS)
+    docs = _begun(spark, docs)
     marked = docs.withColumn("given", F.col("text").isNotNull())
     cut = repeats.kept_texts(repeats.remove_repeats(marked, carry=("lang", "source", "n_chars", "given")))
     chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -55,7 +61,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts with secrets replaced by a mark."""
-    docs = docs.select(*COLUMNS)
+    docs = _begun(spark, docs)
     found = secret_scan.redact(secret_scan.scan(docs, BYTE_RANKS, public_tokenizers.PATTERN))
     changed = F.size("secrets") > 0
     chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -64,7 +70,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces in sequences of at most 2048."""
-    return packing.pack_documents(docs, WORD_TOKENIZER)
+    return packing.pack_documents(_begun(spark, docs), WORD_TOKENIZER)
 
 
 STAGES = [

@@ -17,6 +17,19 @@ from partsight.session import run_dir
 #: Bytes of text that an Arrow step works on at a time (a longer text is a step of its own).
 STEP_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch on its way to Python, and the setting of the session that bounds it with Spark's default.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to ``BATCH_BYTES`` where nobody has set another bound.
+
+    Executors hold a batch once in the JVM and once in Python for each step of each task.
+    """
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; other columns, of whatever name, are not read."""
