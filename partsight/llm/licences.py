@@ -7,6 +7,8 @@ the whole document, or a whole line of it.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,74 @@ KNOWN_TEXTS = {
     ],
 }
 
+for _name, _notices in {
+    "GPL-2.0": ["Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "Unlicense": ["SPDX-License-Identifier: Unlicense"],
+    "BSL-1.0": ["SPDX-License-Identifier: BSL-1.0", "Distributed under the Boost Software License, Version 1.0"],
+}.items():
+    KNOWN_TEXTS[_name] = [*_notices]
+    if "GPL" in _name:
+        KNOWN_TEXTS[_name] += [f"SPDX-License-Identifier: {_name}-{_which}" for _which in ("only", "or-later")]
+
+#: Titles that stand over a body which does not hold its own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)", "Licensed under the MIT License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD License", "The BSD License", "License"],
+    "BSD-3-Clause": [
+        "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License",
+        "New BSD License", "The New BSD License", "Modified BSD License", "BSD License", "The BSD License", "License",
+    ],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+#: Whole texts by licence, as files beside this module.
+_TEXTS = Path(__file__).parent / "licence_texts"
+
+
+def _forms(name: str, body: str) -> list[str]:
+    """The forms in which a whole text goes round, without titles of its own."""
+    forms = [body]
+    if name == "Apache-2.0":  # the owner of the notice filled in; without the appendix
+        forms.append(body.replace("Copyright [yyyy] [name of copyright owner]", ""))
+        forms.append(body[: body.index("APPENDIX: How to apply")])
+    if "END OF TERMS AND CONDITIONS" in body and "How to Apply These Terms" in body:  # without the last part
+        forms.append(body[: body.index("END OF TERMS AND CONDITIONS")] + "END OF TERMS AND CONDITIONS")
+        forms.append(body[: body.index("END OF TERMS AND CONDITIONS")])
+    if name == "MPL-2.0":
+        forms.append(body[: body.index("Exhibit A - Source Code Form License Notice")])
+    if name == "MIT":
+        forms.append(body.replace("this permission notice shall", "this permission notice (including the next paragraph) shall"))
+    if name == "Unlicense":
+        forms.append(body[: body.index("For more information")])
+    if name.startswith("BSD-"):  # numbered or not; persons named in other ways
+        parts = body.replace("* Redistributions", "Redistributions").replace("1. R", "R").replace("2. R", "R").replace("3. N", "N")
+        numbered = parts.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+        forms = [parts, numbered.replace("Neither the", "3. Neither the")]
+        for old, new in (("COPYRIGHT\nOWNER", "COPYRIGHT HOLDER"), ("COPYRIGHT\nHOLDER", "COPYRIGHT OWNER")):
+            forms += [f.replace(old, new) for f in forms if old in f]
+        forms += [f.replace("copyright holder nor", f"{who} nor") for f in forms for who in ("author", "University") if "copyright holder nor" in f]
+        forms += [f.replace("name of the copyright holder", "names of the copyright holders") for f in forms]
+    return forms
+
+
+def _whole_texts() -> dict[str, list[str]]:
+    bodies = {name: texts[0] for name, texts in KNOWN_TEXTS.items() if name in ("MIT", "ISC", "Zlib")}
+    bodies |= {path.stem: path.read_text(encoding="utf-8") for path in sorted(_TEXTS.glob("*.txt"))}
+    return {
+        name: [f"{title}\n\n{form}" for form in _forms(name, body) for title in ("", *TITLES.get(name, ()))]
+        for name, body in bodies.items()
+    }
+
+
+for _name, _texts in _whole_texts().items():
+    KNOWN_TEXTS[_name] = [*KNOWN_TEXTS.get(_name, []), *_texts]
+
 #: Rewrites in order, on lower-cased text: (pattern, replacement). The same in Java and RE2 syntax.
 #: First whole copyright lines go, then spellings become one, then all that is no letter or digit a space.
 REWRITES = (
@@ -88,7 +158,7 @@ REWRITES = (
     (r"\bversion ([0-9])", "v ${1}"),
     (r"\bv([0-9])", "v ${1}"),
 )
-#: A line is looked up only if one of these stands in it; each known text has one (a test holds it).
+#: Each text of ``KNOWN_TEXTS`` has one of these (a test holds it); other tables are looked up without them.
 HINTS = ("licen", "permission", "as-is", "as is", "free software", "mozilla", "waived")
 
 
@@ -107,22 +177,25 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """licence, digest: one row for each known text; a fixed table of a few dozen rows by default."""
+    """licence, digest: one row for each known text; a fixed table of a few hundred rows by default."""
     rows = [(name, t) for name, kinds in (texts or KNOWN_TEXTS).items() for t in kinds]
     found = spark.createDataFrame(rows, "licence string, known string")
     return found.groupBy(digest(F.col("known")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", hints: tuple[str, ...] | None = None
+) -> DataFrame:
     """The entire texts that are a known licence text: ``key``, whole boolean, licence, n.
 
     whole: the document itself; otherwise one of its lines, n times. Null and empty texts match
-    nothing. Rows of one key count together. The known side is joined by hash; Spark's own size check
+    nothing. With ``hints`` only units that hold one of them (lower case) are looked up, which saves time
+    where each known text has one; without, all. Rows of one key count together. The known side is joined by hash; Spark's own size check
     decides whether it is sent to all.
     """
     lines = F.explode(F.split(F.col(text), r"\r\n|\n|\r"))
-    hint = F.lit(False)
-    for word in HINTS:
+    hint = F.lit(hints is None)
+    for word in hints or ():
         hint = hint | F.lower("unit").contains(word)
     # A document of one line is looked up as a whole only.
     several = F.col(text).rlike(r"[\r\n]")

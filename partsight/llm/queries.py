@@ -100,7 +100,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return licences.summary(docs, licences.scan(docs, licences.known_digests(spark)))
+    return licences.summary(docs, licences.scan(docs, licences.known_digests(spark), hints=licences.HINTS))
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -367,6 +368,36 @@ def test_licence_texts(spark):
     assert all(any(h in t.lower() for h in licences.HINTS) for kinds in licences.KNOWN_TEXTS.values() for t in kinds)
 
 
+def test_whole_licence_files(spark):
+    mit = licences.KNOWN_TEXTS["MIT"][0]
+    at = mit.index("The above"), mit.index("THE SOFTWARE IS")
+    wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 78)) for p in (mit[: at[0]], mit[at[0] : at[1]], mit[at[1] :]))
+    bodies = {p.stem: p.read_text() for p in licences._TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(bodies)
+    owner = "Copyright (c) 2024 Some Body\nAll rights reserved.\n\n"
+    files = [
+        ("MIT", f"MIT License\n\nCopyright (c) 2024 Some Body\n\n{wrapped}\n"),
+        ("MIT", f"The MIT License (MIT)\r\n\r\n{wrapped}".replace("\n", "\r\n")),
+        ("BSD-3-Clause", f"BSD 3-Clause License\n\n{owner}{bodies['BSD-3-Clause']}"),
+        ("BSD-3-Clause", owner + bodies["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\n{owner}{bodies['BSD-2-Clause']}"),
+        ("Unlicense", f"The Unlicense\n\n{bodies['Unlicense']}"),
+        ("Apache-2.0", bodies["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2024 Some Body")),
+        ("ISC", f"ISC License\n\n{owner}{licences.KNOWN_TEXTS['ISC'][0]}"),
+        *bodies.items(),
+    ]
+    frame = docs(spark, [text for _, text in files])
+    found = licences.scan(frame, licences.known_digests(spark), hints=licences.HINTS)
+    rows = {r["doc_id"]: r["whole_licence"] for r in licences.summary(frame, found).collect()}
+    assert [rows[i] for i in range(len(files))] == [name for name, _ in files]
+
+
+def test_licences_of_another_table_need_no_hints(spark):
+    frame = docs(spark, ["Beer-ware, revision 42.", "x\nbeer ware revision 42\ny"])
+    found = licences.summary(frame, licences.scan(frame, licences.known_digests(spark, {"Beerware": ["Beer-ware, revision 42"]})))
+    assert {tuple(r) for r in found.collect()} == {(0, "Beerware", 0, "Beerware"), (1, None, 1, "Beerware")}
+
+
 # 9 ---------------------------------------------------------------------------------------------------
 
 
