@@ -168,6 +168,24 @@ def test_neighbours_reach_nine_tenths(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+@pytest.mark.parametrize("noise", [0.003, 0.0003])
+def test_neighbours_among_near_copies(spark, noise):
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((6, 64))
+    spread = centres[r.integers(0, 6, 1200)] + 0.6 * r.standard_normal((1200, 64))
+    copies = r.standard_normal(64) * (1 + noise * r.standard_normal((2400, 64)))
+    x = np.concatenate((spread, copies))[r.permutation(3600)].astype(np.float32).astype(np.float64)
+    found = neighbours.nearest(vectors(spark, [(i, v.tolist(), 0, 0) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0).collect()
+    hits = 0
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -scores))[:20]
+        hits += len({row["vec_id"] for row in found if row["query_id"] == q} & set(best.tolist()))
+    print("recall", noise, hits / 20 / 180)
+    assert hits >= 0.9 * 20 * 180
+
+
 # 3 and 6 ---------------------------------------------------------------------------------------------
 
 
