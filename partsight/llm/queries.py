@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partsight.llm import byte_bpe, language, licences, near_duplicates, neighbours, packing, quality, repeats, secret_scan, topk
+from partsight.llm import alignment, byte_bpe, language, licences, near_duplicates, neighbours, packing, quality, repeats, secret_scan, topk
 from partsight.llm.common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PREDICT_AT = 0.7
 
@@ -103,6 +105,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(docs, licences.scan(docs, licences.known_digests(spark), hints=licences.HINTS))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_TOKENIZER, PIECE_MODEL)
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_topk": op2_topk,
@@ -114,6 +120,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_licences": op10_licences,
+    "op11_alignment": op11_alignment,
 }
 
 #: Licence lookup in SQL: the same rewrites and the same digests, of lines and of whole texts.
