@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partsight.llm import alignment, byte_bpe, language, licences, near_duplicates, neighbours, packing, quality, repeats, secret_scan, topk
+from partsight.llm import alignment, byte_bpe, conversation_repair, language, licences, near_duplicates, neighbours, packing, quality, repeats, secret_scan, topk
 from partsight.llm.common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -109,6 +109,28 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_TOKENIZER, PIECE_MODEL)
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """One turn in 20 each: dropped, emptied, without sentence ends, repeated, given to the user."""
+    space = F.lit(" ")
+    named = (F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn"))
+    damage = F.crc32(F.concat_ws(":", *named).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), space) for c in ("role", "text"))
+    return turns.withColumn("damage", damage).select(
+        "conv_id",
+        "turn",
+        (F.col("damage") != 0).alias("left"),
+        F.when(F.col("damage") == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(F.col("damage") == 1, F.lit("")).when(F.col("damage") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    rows = conversation_repair.prepared(_damaged(turns), present=F.col("left"))
+    return conversation_repair.repair(rows, turns.schema["conv_id"].dataType)
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_topk": op2_topk,
@@ -121,6 +143,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_licences": op10_licences,
     "op11_alignment": op11_alignment,
+    "op13_conversations": op13_conversations,
 }
 
 #: Licence lookup in SQL: the same rewrites and the same digests, of lines and of whole texts.
