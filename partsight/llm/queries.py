@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partsight.llm import alignment, byte_bpe, conversation_repair, language, licences, near_duplicates, neighbours, packing, quality, repeats, secret_scan, topk
+from partsight.llm import (
+    alignment, byte_bpe, conversation_repair, language, licences, near_duplicates, neighbours, packing, quality, quality_rules, repeats,
+    secret_scan, topk,
+)
 from partsight.llm.common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -109,6 +112,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_TOKENIZER, PIECE_MODEL)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).drop("n_lines", "failed")
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """One turn in 20 each: dropped, emptied, without sentence ends, repeated, given to the user."""
     space = F.lit(" ")
@@ -143,6 +150,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_licences": op10_licences,
     "op11_alignment": op11_alignment,
+    "op12_quality_rules": op12_quality_rules,
     "op13_conversations": op13_conversations,
 }
 
@@ -207,7 +215,64 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM least LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLES = {"op2_topk": _OP2_SQL, "op9_near_duplicates": _OP9_SQL, "op10_licences": _OP10_SQL}
+_BUCKET = "(v >> greatest(length(bin(v)) - 6, 0)) + 32 * greatest(length(bin(v)) - 6, 0)"
+_FENCE = (
+    "max(CASE WHEN measure = '{0}' THEN q3 + {2} * greatest(q3 - q1, {1}) END) AS {0}_most, "
+    "max(CASE WHEN measure = '{0}' THEN {3} END) AS {0}_least"
+)
+_FENCES = ", ".join(
+    _FENCE.format(m, d, quality_rules.REACH, f"q1 - {quality_rules.REACH} * greatest(q3 - q1, {d})" if low else "-1")
+    for m, d, low in quality_rules.MEASURES
+)
+_CHOSEN = ", ".join(
+    f"CASE WHEN o.docs >= {quality_rules.LEAST_DOCS} THEN o.{c} WHEN l.docs >= {quality_rules.LEAST_DOCS} THEN l.{c} ELSE e.{c} END AS {c}"
+    for m, _, _ in quality_rules.MEASURES
+    for c in (f"{m}_most", f"{m}_least")
+)
+_BEYOND = " OR ".join(f"{m} > {m}_most OR {m} < {m}_least" for m, _, _ in quality_rules.MEASURES)
+_OP12_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+         [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS w
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (
+    SELECT doc_id, i, unnest(range(8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, words) AS times FROM windows) WHERE times > 1
+  ) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS again
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(l.again, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
+  FROM words LEFT JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+), based AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * word_chars // n_words AS word_length,
+         1000 * n_symbols // n_words AS symbol_rate, 1000 * n_dup_lines // n_lines AS line_repeats,
+         1000 * n_repeat_words // n_words AS word_repeats
+  FROM measured
+), sketch AS (
+  SELECT lang, source, measure, {_BUCKET} AS bucket, count(*) AS n FROM (
+    UNPIVOT (SELECT lang, source, word_length, symbol_rate, line_repeats, word_repeats FROM based WHERE NOT base_failed)
+    ON word_length, symbol_rate, line_repeats, word_repeats INTO NAME measure VALUE v)
+  GROUP BY ALL
+), of_language AS (SELECT lang, measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL
+), of_all AS (SELECT measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL
+), o AS (SELECT lang, source, max(docs) AS docs, {_FENCES} FROM ({quality_rules.quartiles_sql("sketch", "lang, source")}) GROUP BY lang, source
+), l AS (SELECT lang, max(docs) AS docs, {_FENCES} FROM ({quality_rules.quartiles_sql("of_language", "lang")}) GROUP BY lang
+), e AS (SELECT {_FENCES} FROM ({quality_rules.quartiles_sql("of_all", "")})
+), fences AS (SELECT o.lang, o.source, {_CHOSEN} FROM o JOIN l ON o.lang = l.lang CROSS JOIN e)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce({_BEYOND}, FALSE) AS kept
+FROM based LEFT JOIN fences USING (lang, source)
+"""
+
+ORACLES = {"op12_quality_rules": _OP12_SQL, "op2_topk": _OP2_SQL, "op9_near_duplicates": _OP9_SQL, "op10_licences": _OP10_SQL}
 
 
 def queries():
