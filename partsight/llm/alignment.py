@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from partsight.llm.common import lean, stepped, stored, whole_groups
+from partsight.llm.common import give_back, lean, small_batches, stepped, stored, whole_groups
 
 #: A block of documents: bytes of text (a longer text is a block of its own) and documents.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 14
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 1 << 14
 #: Bytes of text that are encoded at a time.
 PART_BYTES = 1 << 20
 #: Chunks that a task remembers between blocks, and their characters.
-MEMORY_CHUNKS, MEMORY_CHARS = 400_000, 8_000_000
+MEMORY_CHUNKS, MEMORY_CHARS = 200_000, 4_000_000
 #: Chunks that go to A as one text.
 _LOT = 256
 #: Where a chunk begins, and what a text has where its chunks are not what stands between blanks.
@@ -217,13 +217,16 @@ class _Block:
         chunks = np.concatenate([x for _, x in held])
         key, times = np.unique(docs * len(sums) + chunks, return_counts=True)
         docs, chunks = np.divmod(key, len(sums))
+        del key, held
         counts = sums[chunks, 3]
         starts = (np.cumsum(sums[:, 3]) - sums[:, 3])[chunks]
         at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         pairs, code = np.unique(links, return_inverse=True)
         key = code[at] * self.docs + np.repeat(docs, counts)
+        del at, docs, chunks, starts
         order = np.argsort(key)
         key, times = key[order], np.repeat(times, counts)[order]
+        del order
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         times = np.add.reduceat(times, first)
         code, docs = np.divmod(key[first], self.docs)
@@ -295,6 +298,7 @@ def index(docs: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text:
     and texts whose token bytes differ from blank and text, have no tokens. No other column is read.
     """
     schema = _index_schema(docs.schema[key])
+    small_batches(docs.sparkSession)
 
     def step(batches):
         aligner = Aligner(a_file, b_file)
@@ -379,6 +383,7 @@ def index(docs: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text:
             block = _Block()
             if len(aligner.number) > MEMORY_CHUNKS or aligner.chars > MEMORY_CHARS:
                 aligner.forget()
+            give_back()
 
         for batch in batches:
             for part in stepped([batch], "text", PART_BYTES):

@@ -43,7 +43,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns what this process has freed to the system (where the C library can: glibc)."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -59,11 +59,11 @@ def lean(step: Callable) -> Callable:
     """
 
     def run(batches):
-        _give_back()
+        give_back()
         try:
             yield from step(batches)
         finally:
-            _give_back()
+            give_back()
 
     return run
 
