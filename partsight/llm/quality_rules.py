@@ -205,10 +205,9 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source")
     per_source = _fences(quartiles(sketch, (lang, source)), (lang, source), "own")
     per_language = _fences(quartiles(merged, (lang,)), (lang,), "of_language")
     of_all = _fences(quartiles(every, ()), (), "of_all")
-    # One row, joined without a key: the least sketch there is.
     chosen = F.when(F.col("own.docs") >= LEAST_DOCS, F.col("own")).when(F.col("of_language.docs") >= LEAST_DOCS, F.col("of_language"))
-    joined = per_source.join(per_language, lang).withColumn("one", F.lit(1)).join(of_all.withColumn("one", F.lit(1)), "one")
-    return joined.select(lang, source, chosen.otherwise(F.col("of_all")).alias("fences"))
+    # The fences of all are one row: a scalar subquery.
+    return per_source.join(per_language, lang).select(lang, source, chosen.otherwise(of_all.scalar()).alias("fences"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
