@@ -10,6 +10,8 @@ repeats until every group is certified, ``rounds`` are over, or a round gains no
 from __future__ import annotations
 
 import re
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,13 @@ CAPACITY = 2048
 #: Pieces of a group: a task's memory is bounded by it, whatever the number of documents.
 GROUP_PIECES = 20_000
 ROUNDS = 3
-#: Chunks between white space whose ids a task remembers, and the longest of them.
-MEMORY_CHUNKS, MEMORY_CHARS = 800_000, 48
+#: Chunks between white space whose ids a Python worker remembers from task to task, and the longest of them.
+MEMORY_CHUNKS, MEMORY_CHARS = 500_000, 48
 
 _PIECE = [
     T.StructField("piece", T.IntegerType()),
     T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()),
-    T.StructField("ids", T.BinaryType()),
 ]
 
 
@@ -39,10 +40,18 @@ _PIECE = [
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
+def _split(text: str) -> list[str]:
+    """What stands between white space. \\x1c to \\x1f are white space to Python but not to the tokenizer."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return text.split()
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizer, chunk between white space by chunk.
 
-    The tokenizer must drop white space and never join what it separates, lower-case, and part letters
+    Special tokens of the file that stand in a text are their own ids, as the library gives them; the
+    rest of the text is encoded around them. The tokenizer must drop white space and never join what it separates, lower-case, and part letters
     from punctuation; then the ids of a text are those of its chunks in order, a chunk of a word and
     punctuation has the ids of the two, and what was seen before needs no work. New words go to the
     tokenizer many at a time: each ends with the first id that ends a word.
@@ -50,13 +59,25 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        self.special = {token.content: np.array([code], "<u4").tobytes() for code, token in added}
+        self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, code in self.tokenizer.get_vocab(with_added_tokens=False).items():
             ends[code] = token.endswith("</w>")
         self.ends = ends
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, bytes] = {}
-        self.seen: dict[str, bytes] = {}
+        #: A chunk never holds a special token, so those can be looked up among the chunks.
+        self.seen: dict[str, bytes] = {"": b"", **self.special}
+
+    def _chunks(self, text: str) -> list[str]:
+        if self.parted and any(s in text for s in self.special):
+            parts = self.parted.split(text)
+            return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else _split(part))]
+        return _split(text)
 
     def _learn_words(self, words: list[str]) -> None:
         for start in range(0, len(words), 2048):
@@ -89,11 +110,10 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, and ``end`` behind them."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self._chunks(t) for t in texts]
         if len(self.seen) + len(self.words) > MEMORY_CHUNKS:
-            self.seen, self.words = {}, {}
+            self.forget()
         seen = self.seen
-        seen[""] = b""
         new = list(set().union(*split) - seen.keys())
         self._learn(new)
         out = [b"".join(map(seen.__getitem__, chunks)) + end for chunks in split]
@@ -104,19 +124,31 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_file: str) -> ChunkEncoder:
+    return ChunkEncoder(tokenizer_file)
+
+
 def pieces(
-    docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0
+    docs: DataFrame,
+    tokenizer_file: str,
+    key: str = "doc_id",
+    text: str = "text",
+    capacity: int = CAPACITY,
+    end_id: int = 0,
+    checksums: bool = False,
 ) -> DataFrame:
-    """The token pieces of each document: ``key``, piece (from 0), start, length, ids.
+    """The token pieces of each document: ``key``, piece (from 0), start, length, ids or their CRC-32 as ids_crc32.
 
     A document is its ids and then ``end_id``; only longer ones than ``capacity`` are cut. ids are
     little-endian unsigned 32-bit values. Null and empty texts are one piece of ``end_id`` alone;
     repeated rows give repeated pieces; no other column is read.
     """
-    schema = T.StructType([docs.schema[key], *_PIECE])
+    what = T.StructField("ids_crc32", T.LongType()) if checksums else T.StructField("ids", T.BinaryType())
+    schema = T.StructType([docs.schema[key], *_PIECE, what])
 
     def step(batches):
-        encoder, end = ChunkEncoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for batch in stepped(batches, text, 1 << 20):
             rows, numbers, starts, lengths, parts = [], [], [], [], []
             for i, ids in enumerate(encoder([t or "" for t in batch.column(text).to_pylist()], end)):
@@ -126,16 +158,16 @@ def pieces(
                     numbers.append(n)
                     starts.append(at // 4)
                     lengths.append(len(part) // 4)
-                    parts.append(part)
+                    parts.append(zlib.crc32(part) if checksums else part)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key).take(pa.array(rows, pa.int64())),
                     pa.array(numbers, pa.int32()),
                     pa.array(starts, pa.int64()),
                     pa.array(lengths, pa.int64()),
-                    pa.array(parts, pa.binary()),
+                    pa.array(parts, pa.int64() if checksums else pa.binary()),
                 ],
-                [key, "piece", "start", "length", "ids"],
+                schema.names,
             )
 
     return docs.select(key, text).mapInArrow(step, schema)
@@ -289,13 +321,8 @@ def pack_documents(
     The pieces are tokenised once and their keys and checksums written to the shared folder; packing
     moves numbers only.
     """
-    cut = pieces(docs, tokenizer_file, key, text, capacity)
-    cut = stored(
-        cut.select(
-            F.monotonically_increasing_id().alias("uid"), key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
-        ),
-        "pieces",
-    )
+    cut = pieces(docs, tokenizer_file, key, text, capacity, checksums=True)
+    cut = stored(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     plan = pack(cut.select("uid", "length"), capacity)
     return cut.join(plan.drop("length"), "uid").select(
         key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
