@@ -3,6 +3,8 @@
 A long text is cut before it is encoded. A cut is *safe* where every match of the pattern ends: in
 front of white space that follows a letter or digit, and between a letter and a digit. So the ids
 are those of the whole text, while the library never sees more than about ``PIECE_CHARS`` at once.
+Where no cut comes in time, and where white space runs so long that the library's pattern would
+exhaust its stack, the matches of the pattern are found one by one and each is encoded by its bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 from partsight.llm.common import binaries, stepped
 
 PIECE_CHARS = 1 << 18
+#: A run of white space that the library's pattern is not given.
+LONG_SPACE = 50_000
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \t\r\n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
 
@@ -42,33 +46,48 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _match_by_match(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of ``text``, each match of the pattern by itself."""
+    ids: list[int] = []
+    for m in regex.finditer(enc._pat_str, text):
+        ids += enc._encode_single_piece(m[0])
+    return ids
+
+
 def encode_text(enc: tiktoken.Encoding, text: str | None, size: int = PIECE_CHARS) -> np.ndarray:
     if not text:
         return np.empty(0, np.int32)
-    if len(text) <= size:
+    if len(text) <= min(size, LONG_SPACE):
         return np.array(enc.encode_ordinary(text), np.int32)
-    return np.concatenate([np.array(enc.encode_ordinary(p), np.int32) for p in safe_pieces(text, size)])
+    parts = []
+    for piece in safe_pieces(text, size):
+        alone = len(piece) > 2 * size or regex.search(r"\s{%d}" % LONG_SPACE, piece)
+        parts.append(np.array(_match_by_match(enc, piece) if alone else enc.encode_ordinary(piece), np.int32))
+    return np.concatenate(parts)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Adds ``into`` (array<int>), the token ids of the whole ``text``.
+def encode(
+    docs: DataFrame, rank_file: str, pattern: str, text: str = "text", into: str = "ids", decoded: str | None = None, keep_text: bool = True
+) -> DataFrame:
+    """Adds ``into`` (array<int>), the token ids of the whole ``text``; ``decoded`` names a column for their bytes.
 
     Null and empty texts give an empty array. Rows are independent: no shuffle, repeated rows stay.
-    An input column that is already called ``into`` is replaced.
+    An input column that is already called ``into`` or ``decoded`` is replaced.
     """
-    kept = [f for f in docs.schema.fields if f.name != into]
-    schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    kept = [f for f in docs.schema.fields if f.name not in (into, decoded) and (keep_text or f.name != text)]
+    added = [T.StructField(into, T.ArrayType(T.IntegerType()))]
+    added += [T.StructField(decoded, T.BinaryType())] if decoded else []
+    schema = T.StructType([*kept, *added])
 
     def step(batches):
         enc = encoding(rank_file, pattern)
         for batch in stepped(batches, text):
             ids = [encode_text(enc, s) for s in batch.column(text).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            values = pa.array(np.concatenate(ids))
-            arrays = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.ListArray.from_arrays(offsets, values)], [*(f.name for f in kept), into]
-            )
+            arrays = [*(batch.column(f.name) for f in kept), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))]
+            if decoded:
+                arrays.append(binaries([enc.decode_bytes(x.tolist()) for x in ids]))
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return docs.mapInArrow(step, schema)
 

@@ -57,8 +57,7 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    ids = byte_bpe.encode(docs, MULTI_RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return byte_bpe.decode(ids, MULTI_RANKS, public_tokenizers.PATTERN).select(
+    return byte_bpe.encode(docs, MULTI_RANKS, public_tokenizers.PATTERN, decoded="raw", keep_text=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

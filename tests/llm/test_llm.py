@@ -244,11 +244,22 @@ def test_byte_bpe_round_trip_and_safe_pieces(spark):
     assert isinstance(enc, tiktoken.Encoding)
 
 
+def test_byte_bpe_of_texts_without_a_cut():
+    enc = byte_bpe.encoding(queries.MULTI_RANKS, public_tokenizers.PATTERN)
+    n = 1_000_000
+    for text in (" " * n, "\n" * n, " \n\t" * (n // 3), "a b" + " " * n + "word", "word" + "\n" * n, "x" + " \n" * (n // 2) + "\ny", "^" * n, "a" * n, "\x1c" * n):
+        ids = byte_bpe.encode_text(enc, text)
+        assert enc.decode_bytes(ids.tolist()).decode() == text
+    for text in ("a b" + " " * 4000 + "word", "\n" * 4000 + " word" + " " * 4000, "^" * 9000 + " \u3000\x1c\x85 x", " \t" * 3000 + "1's", "é " * 40):
+        whole = enc.encode_ordinary(text)
+        assert byte_bpe._match_by_match(enc, text) == whole and byte_bpe.encode_text(enc, text, 50).tolist() == whole
+
+
 def test_pieces_equal_the_tokenizer(spark):
     whole = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    whole.encode_special_tokens = True
     odd = "ΣΑΣ Σ. é Á\n\tİ ﬁ it's DON'T 12 3,4 <|endoftext|> \x1c 　x y ́ a"
-    texts = [*EDGES, odd, odd * 40, "x" * 5000]
+    texts = [*EDGES, odd, odd * 40, "x" * 5000, "a\x85b\xa0c\u2028d\u3000e", "x <|startoftext|>Y<|endoftext|><|endoftext|> é", "<|endoftext|>"]
+    texts += ["<|endoftext|", "<|ENDOFTEXT|>", "e<|endoftext|>\u0301 a<|startoftext|>\u0301", " <|endoftext|>\x1f b <|endoftext|>"]
     rows = packing.pieces(docs(spark, texts), queries.WORD_TOKENIZER, capacity=64).orderBy("doc_id", "piece").collect()
     by: dict[int, list] = {}
     for r in rows:
