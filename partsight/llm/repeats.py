@@ -15,6 +15,8 @@ bucket-pointer refinement, distributed:
 4. Where stretches of a bucket differ, one of each kind is refined: steps 2 and 3 again with longer
    q-grams, which split it into shorter stretches, and at last window by window, on the identifiers
    of the buckets at the later offsets q, 2q, ... of the window: windows alike in all are equal.
+   The last q-grams are nearly as long as a window, so that only the two or three windows next to a
+   place where texts begin to differ become rows, however many documents share the text before it.
 
 Groups are counted with partial sums and joined back by key, never gathered; a passage that a third
 of all documents share is one row of each count. Texts travel compressed.
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from partsight.llm.common import compressed, decompressed, lean, mix, stepped, stored
 
 #: Bytes of a repeated string, and of the q-grams of each round of refinement.
-WINDOW, GRAMS = 400, (128, 320, 384)
+WINDOW, GRAMS = 400, (128, 320, 376, 392, 398)
 #: Bytes of text in one vector step, and of a block of a longer text.
 BLOCK_BYTES = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

@@ -77,7 +77,7 @@ def brute_repeats(raws, window):
     return out
 
 
-@pytest.mark.parametrize("window, grams", [(400, (128, 320, 384)), (40, (16, 32)), (12, (4,))])
+@pytest.mark.parametrize("window, grams", [(400, (128, 320, 384)), (400, repeats.GRAMS), (40, (16, 32)), (12, (4,))])
 def test_repeats_equal_brute_force(spark, window, grams):
     shared = words(7, 120)
     texts = [*EDGES, words(3, 40) + shared + words(4, 50), shared[30:] + words(5, 9), "ab" * 900, "c" * 700, "ü" * 300]

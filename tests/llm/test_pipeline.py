@@ -24,6 +24,8 @@ def junk(seed: int, n: int) -> str:
 
 
 PASSAGE = words(900, 90)
+#: A passage of a little over 50 words.
+SHORT = words(901, 52)
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,7 @@ def corpus(spark, tmp_path_factory):
     texts = {i: words(i, 150) for i in range(40)} | {i: junk(i, 150) for i in range(40, 60)}
     texts |= {60: texts[5], 61: texts[6] + " tail", 62: words(62, 80) + " " + PASSAGE + " " + words(63, 80)}
     texts |= {63: PASSAGE + " " + words(64, 120), 64: words(65, 90) + ' token = "abcdef0123456789" ' + words(66, 20), 65: None, 66: ""}
+    texts |= {67: words(67, 90) + " " + SHORT + " " + words(68, 70), 68: words(69, 100) + " " + SHORT + " " + words(70, 60)}
     rows = [(i, t, "en", "s", None if t is None else len(t), "more") for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string").write.parquet(
         f"{folder}/documents.parquet"
@@ -56,6 +59,7 @@ def test_stages_take_effect(spark, corpus):
     cut = rows["repeats"]
     assert PASSAGE not in cut[62]["text"] + cut[63]["text"] and cut[62]["text"].startswith(words(62, 80))
     assert all(cut[i]["text"] == texts[i] for i in range(40))
+    assert len(SHORT.encode()) >= corpus_pipeline.PASSAGE_BYTES and SHORT not in cut[67]["text"] + cut[68]["text"]
     assert cut[62]["n_chars"] == len(cut[62]["text"])
     assert "abcdef0123456789" not in rows["secrets"][64]["text"] and "[secret]" in rows["secrets"][64]["text"]
     assert set(rows["secrets"]) == set(cut)
