@@ -18,6 +18,8 @@ from partsight.llm.common import small_batches, stored, table
 from partsight.llm.queries import BYTE_RANKS, PREDICT_AT, WORD_TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a repeated passage: 50 words of English are longer. And the q-grams that find it.
+PASSAGE_BYTES, PASSAGE_GRAMS = 250, (64, 160, 224, 240, 247)
 #: Near-duplicates here: five words a shingle, a similarity of 0.8.
 WORDS, PERCENT = 5, 80
 
@@ -37,19 +39,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id (of repeated rows, one)."""
+    """Of each component of near-duplicates the document with the smallest id; of rows equal in id and text, one."""
     docs = _begun(spark, docs)
     found = near_duplicates.near_duplicates(docs, words=WORDS, percent=PERCENT)
     kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).join(kept, "doc_id", "left_semi")
     return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without strings of 400 bytes that stand anywhere else; documents left empty by it go."""
+    """The texts without strings of ``PASSAGE_BYTES`` that stand anywhere else; documents left empty by it go."""
     docs = _begun(spark, docs)
     marked = docs.withColumn("given", F.col("text").isNotNull())
-    cut = repeats.kept_texts(repeats.remove_repeats(marked, carry=("lang", "source", "n_chars", "given")))
+    found = repeats.remove_repeats(
+        marked, window=PASSAGE_BYTES, grams=PASSAGE_GRAMS, carry=("lang", "source", "n_chars", "given")
+    )
+    cut = repeats.kept_texts(found)
     chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return (
         cut.where((F.col("n_removed") == 0) | (F.col("text") != ""))
