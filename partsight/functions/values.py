@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from partsight.functions import markdown as M
+from partsight.functions.markdown import strip
 from partsight.rules import profile as R
 
 
-def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-
-
 def unquote(value: Column) -> Column:
     s = strip(value)
     quoted = s.rlike(r"(?s)^(\"|').*\1$") & (F.length(s) >= 2)
@@ -40,14 +38,16 @@ def id_key(value: Column) -> Column:
 
 def is_idlike(value: Column) -> Column:
     """A code rather than a price, a date or a word."""
-    s = strip(value)
+    return M.let(strip(value), _is_idlike)
+
+
+def _is_idlike(s: Column) -> Column:
     digits = F.length(F.regexp_replace(s, r"\P{Nd}", ""))
     alnum = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
     blanks = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    return (
-        s.rlike(R.ID_CHARS) & (blanks <= 4) & ~s.rlike(R.DATE) & (digits >= 3)
-        & (digits >= alnum * 0.4) & ~s.rlike(R.LETTER_RUN) & ~(s.rlike(R.NUMBER) & (digits < 7))
-    )
+    plain = ~s.rlike("[^0-9A-Za-zА-Яа-яЁё _/.-]") & ~F.substring(s, 1, 1).isin("-", ".", "/", " ", "_")
+    plain = plain & F.length(s).between(4, 35) & (blanks <= 4) & (digits >= 3) & (digits >= alnum * 0.4)
+    return F.when(plain, ~s.rlike(r"\p{L}{5}") & ~M.is_date(s) & ~(M.is_number(s) & (digits < 7))).otherwise(False)
 
 
 def target_name(target: Column) -> Column:
@@ -62,25 +62,35 @@ def is_image_target(target: Column) -> Column:
 
 def value_type(value: Column) -> Column:
     """The first type that fits, in a fixed order."""
-    s = strip(unquote(value))
+    return M.let(strip(unquote(value)), _type_of)
+
+
+def _type_of(s: Column) -> Column:
     low = F.lower(s)
-    targets = F.concat(
-        F.regexp_extract_all(s, F.lit(R.WIKILINK), F.lit(2)),
-        F.regexp_extract_all(s, F.lit(R.MDLINK), F.lit(2)),
-    )
-    rest = F.regexp_replace(F.regexp_replace(s, R.WIKILINK, ""), R.MDLINK, "")
-    links_only = s.contains("[") & (F.size(targets) > 0) & rest.rlike(r"^[ ,;\t]*$")
-    money = s.rlike(R.CURRENCY) & strip(F.regexp_replace(s, R.CURRENCY, "")).rlike(R.NUMBER)
+    # What a value of links alone is: 2 for an image among them, 1 for others, 0 for none.
+    linked = F.when(
+        s.contains("["),
+        M.let(
+            F.transform(M.links(s), lambda x: x["target"]),
+            lambda t: F.when((F.size(t) == 0) | (F.translate(M.without_links(s), " ,;\t", "") != ""), 0)
+            .when(F.exists(t, is_image_target), 2)
+            .otherwise(1),
+        ),
+    ).otherwise(0)
+    return M.let(linked, lambda kind: _type_by(s, low, kind))
+
+
+def _type_by(s: Column, low: Column, linked: Column) -> Column:
     return (
         F.when((s == "") | low.isin("null", "~"), R.T_EMPTY)
         .when(low.isin(*R.BOOL_WORDS), R.T_BOOL)
-        .when(links_only & F.exists(targets, is_image_target), R.T_IMAGE)
-        .when(links_only, R.T_LINK)
-        .when(s.rlike(R.URL), R.T_URL)
-        .when(s.rlike(R.DATE), R.T_DATE)
-        .when(money, R.T_MONEY)
+        .when(linked == 2, R.T_IMAGE)
+        .when(linked == 1, R.T_LINK)
+        .when(M.is_url(s), R.T_URL)
+        .when(M.is_date(s), R.T_DATE)
+        .when(M.is_money(s, R.CURRENCY_WORDS, R.CURRENCY_SIGNS), R.T_MONEY)
         .when(is_idlike(s), R.T_CODE)
-        .when(s.rlike(R.NUMBER), R.T_NUMBER)
+        .when(M.is_number(s), R.T_NUMBER)
         .otherwise(R.T_TEXT)
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partsight.functions import markdown as M
 from partsight.functions import values as V
 from partsight.functions.spans import explode_rows
 from partsight.rules import profile as R
@@ -129,21 +130,14 @@ def table_groups(tables: DataFrame) -> DataFrame:
 
 def headings(notes: DataFrame, body: Column) -> DataFrame:
     """Headings outside fenced code, one row each."""
-    levels = F.regexp_extract_all("b", F.lit(R.HEADING), F.lit(1))
-    names = F.regexp_extract_all("b", F.lit(R.HEADING), F.lit(2))
-    pairs = F.arrays_zip(levels.alias("level"), names.alias("name"))
-    return explode_rows(notes.withColumn("b", body), pairs, "h", "note_id").select(
-        "note_id", F.length("h.level").alias("level"),
-        V.strip(F.regexp_replace("h.name", r"\s+", " ")).alias("heading"),
+    return explode_rows(notes, M.headings(body), "h", "note_id").select(
+        "note_id", "h.level", F.regexp_replace("h.name", r"\s+", " ").alias("heading")
     )
 
 
 def note_counters(notes: DataFrame, body: Column) -> DataFrame:
     """Per note: inline queries, tags, template markers, fences by language."""
-    plain = F.regexp_replace(F.regexp_replace("b", R.MDLINK, ""), R.WIKILINK, "")
-    tags = F.regexp_count(
-        F.regexp_replace(plain, r"(?m)^#{1,6}[ \t].*$", ""), F.lit(R.TAG)
-    )
+    tags = M.tag_count(M.without_headings(M.without_links(F.col("b"))))
     return notes.withColumn("b", body).select(
         "note_id",
         F.regexp_count("b", F.lit(r"(?m)^.*(?:`=|`\$=).*$")).alias("inline_queries"),
@@ -153,13 +147,10 @@ def note_counters(notes: DataFrame, body: Column) -> DataFrame:
 
 
 def fence_languages(notes: DataFrame) -> DataFrame:
-    """Fenced blocks by language; only known languages are named. Opening and closing fences
-    alternate, so every second fence line opens a block."""
-    marks = F.regexp_extract_all("text", F.lit(R.FENCE), F.lit(1))
-    opening = F.filter(marks, lambda m, i: (i % 2 == 0) & (m != ""))
+    """Fenced blocks by language; only known languages are named."""
     lang = F.lower(F.col("lang"))
     return (
-        explode_rows(notes.where(F.col("text").rlike(R.FENCE)), opening, "lang", "note_id")
+        explode_rows(notes, M.fence_words(F.col("text")), "lang", "note_id")
         .groupBy(F.when(lang.isin(*R.KNOWN_CODE_LANGUAGES), lang).otherwise(R.OTHER).alias("language"))
         .agg(F.count(F.lit(1)).alias("blocks"))
     )
@@ -175,18 +166,8 @@ def suppress_rare(counts: DataFrame, name: str, n: str, k: int, placeholder: str
 
 def links(notes: DataFrame, body: Column) -> DataFrame:
     """Every link with its kind, target file and whether it is an image."""
-    def pairs(pattern: str, style: str) -> Column:
-        marks = F.regexp_extract_all("b", F.lit(pattern), F.lit(1))
-        targets = F.regexp_extract_all("b", F.lit(pattern), F.lit(2))
-        return F.transform(
-            F.arrays_zip(marks.alias("m"), targets.alias("t")),
-            lambda x: F.struct(F.lit(style).alias("style"), (x["m"] == "!").alias("embed"),
-                               x["t"].alias("target")),
-        )
-
-    both = F.concat(pairs(R.WIKILINK, "wiki"), pairs(R.MDLINK, "md"))
     long = explode_rows(
-        notes.withColumn("b", body).where(F.col("b").contains("[")), both, "l", "note_id"
+        notes.withColumn("b", body).where(F.col("b").contains("[")), M.links(F.col("b")), "l", "note_id"
     ).select("note_id", "l.style", "l.embed", "l.target")
     image = V.is_image_target(F.col("target"))
     url = F.col("target").rlike("(?i)^[a-z]+://")

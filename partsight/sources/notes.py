@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partsight.functions.spans import explode_rows
+from partsight.functions import markdown as M
 from partsight.functions.values import safe_label, strip, unquote
-from partsight.rules import profile as R
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -93,10 +93,23 @@ def split_frontmatter(notes: DataFrame) -> DataFrame:
     )
 
 
-_KEY = (
-    r"^(\"(?:[^\"\\]|\\.)*+\"|'[^']*+'|[^\s#'\"\-{}\[\]][^:\n]*?|-[^\s:][^:\n]*?)[ \t]*:"
-    r"(?:[ \t]+([^\n]*)|[ \t]*)(?:\n|\z)"
-)
+def _key_value(line: Column) -> Column:
+    """(key, rest) of a line ``key: rest``; null where the line is none. A key may be quoted."""
+    sign = F.substring(line, 1, 1)
+    inside = F.substring(line, F.lit(2), F.length(line))
+    closed = F.replace(inside, F.lit('\\"'), F.lit("\u0003\u0003"))
+    quoted = sign.isin('"', "'") & F.when(sign == '"', closed.contains('"')).otherwise(inside.contains("'"))
+    length = F.when(sign == '"', F.instr(closed, '"') + 1).otherwise(F.instr(inside, "'") + 1)
+    key = F.when(quoted, F.substring(line, F.lit(1), length)).otherwise(F.substring_index(line, ":", 1))
+    behind = F.substring(line, F.length(key) + 1, F.length(line))
+    colon = F.ltrim(behind).startswith(":")
+    rest = F.substring(F.ltrim(behind), F.lit(2), F.length(behind))
+    second = F.substring(line, 2, 1)
+    begins = F.when(sign == "-", ~second.isin("", " ", "\t", ":")).otherwise(~sign.rlike(r"[\s#{}\[\]:'\"]"))
+    good = colon & (key != "") & (quoted | begins) & ((rest == "") | rest.startswith(" ") | rest.startswith("\t"))
+    return F.when(good, F.struct(key.alias("key"), F.ltrim(F.translate(rest, "\t", " ")).alias("rest")))
+
+
 # An item ends at a comma outside quotes and brackets; an unclosed one takes the rest.
 _ITEM = (
     r"(?s)(?:\"[^\"]*+\"|'[^']*+'|\[\[[^\]]*+\]\]|\[[^\]]*+\]|\{[^}]*+\}|[^,\"'\[\]{}]"
@@ -124,10 +137,11 @@ def frontmatter_fields(notes: DataFrame, *keep: str) -> DataFrame:
                     lambda c, i: F.struct(i.alias("i"), c.alias("c"))),
         "x", *keep,
     ).select(*keep, F.col("x.i").alias("i"), F.col("x.c").alias("chunk"))
-    keyed = chunks.where(chunk.rlike(_KEY)).select(
+    head = _key_value(F.substring_index(chunk, "\n", 1))
+    keyed = chunks.withColumn("head", head).where("head IS NOT NULL").select(
         *keep, "i",
-        strip(unquote(F.regexp_extract(chunk, _KEY, 1))).alias("key"),
-        strip(_no_comment(strip(F.regexp_extract(chunk, _KEY, 2)))).alias("rest"),
+        strip(unquote(F.col("head.key"))).alias("key"),
+        strip(_no_comment(strip(F.col("head.rest")))).alias("rest"),
         F.filter(
             F.slice(F.split(chunk, "\n"), 2, 100_000_000),
             lambda line: (F.length(F.trim(line)) > 0) & line.rlike(r"^[ \t-]"),
@@ -161,14 +175,11 @@ def frontmatter_fields(notes: DataFrame, *keep: str) -> DataFrame:
     )
     indent = F.array_min(F.transform(block, lambda b: F.length(b) - F.length(F.ltrim(b))))
     own = F.filter(
-        block, lambda b: (F.length(b) - F.length(F.ltrim(b)) == indent) & F.trim(b).rlike(_KEY)
+        F.transform(F.filter(block, lambda b: F.length(b) - F.length(F.ltrim(b)) == indent), lambda b: _key_value(F.trim(b))),
+        lambda x: x.isNotNull(),
     )
     child_of_block = F.transform(
-        own,
-        lambda b: F.struct(
-            strip(unquote(F.regexp_extract(F.trim(b), _KEY, 1))).alias("k"),
-            _no_comment(F.trim(F.regexp_extract(F.trim(b), _KEY, 2))).alias("v"),
-        ),
+        own, lambda x: F.struct(strip(unquote(x["key"])).alias("k"), _no_comment(F.trim(x["rest"])).alias("v"))
     )
     child_of_flow = F.filter(
         F.transform(
@@ -201,7 +212,7 @@ def frontmatter_fields(notes: DataFrame, *keep: str) -> DataFrame:
 
 def without_fences(body: Column) -> Column:
     """The body without fenced code."""
-    return F.regexp_replace(body, R.FENCED, "")
+    return M.without_fences(body)
 
 
 def inline_fields(notes: DataFrame, *keep: str) -> DataFrame:
@@ -209,14 +220,8 @@ def inline_fields(notes: DataFrame, *keep: str) -> DataFrame:
     note with its values in order."""
     body = without_fences(F.regexp_replace("text", r"\r\n?", "\n"))
 
-    def pairs(pattern: str) -> Column:
-        keys = F.regexp_extract_all("b", F.lit(pattern), F.lit(1))
-        values = F.regexp_extract_all("b", F.lit(pattern), F.lit(2))
-        return F.arrays_zip(keys.alias("k"), values.alias("v"))
-
-    lines = F.filter(pairs(R.INLINE_LINE), lambda p: ~p["k"].contains("://"))
     every = F.transform(
-        F.concat(lines, pairs(R.INLINE_BRACKET)),
+        M.inline_fields(F.col("b")),
         lambda p: F.struct(safe_label(F.trim(p["k"], F.lit("*_ "))).alias("key"), p["v"].alias("value")),
     )
     rows = notes.withColumn("b", body).where(F.col("b").contains("::"))
@@ -228,21 +233,11 @@ def table_rows(notes: DataFrame, *keep: str) -> DataFrame:
     ``rows`` (cells). Escaped pipes and links keep their pipe."""
     body = without_fences(F.regexp_replace("text", r"\r\n?", "\n"))
     rows = notes.withColumn("b", body).where(F.col("b").contains("|"))
-    heads = F.regexp_extract_all("b", F.lit(R.TABLE), F.lit(1))
-    bodies = F.regexp_extract_all("b", F.lit(R.TABLE), F.lit(2))
-    zipped = F.transform(
-        F.sequence(F.lit(0), F.size("heads") - 1),
-        lambda i: F.struct(i.alias("table_no"), F.get("heads", i).alias("head"),
-                           F.get("bodies", i).alias("lines")),
-    )
-    found = rows.withColumns({"heads": heads, "bodies": bodies}).where(F.size("heads") > 0)
-    long = explode_rows(found, zipped, "t", *keep)
-    return long.select(
-        *keep, "t.table_no",
-        F.transform(split_cells(F.col("t.head")), lambda c: safe_label(c)).alias("header"),
-        F.transform(
-            F.filter(F.split("t.lines", "\n"), lambda line: F.length(F.trim(line)) > 0), split_cells
-        ).alias("rows"),
+    numbered = F.transform(M.tables(F.col("b")), lambda t, i: F.struct(i.alias("table_no"), t.alias("t")))
+    return explode_rows(rows, numbered, "x", *keep).select(
+        *keep, "x.table_no",
+        F.transform(split_cells(F.col("x.t.head")), lambda c: safe_label(c)).alias("header"),
+        F.transform("x.t.lines", split_cells).alias("rows"),
     )
 
 
