@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partsight.functions.spans import (
-    head_sql, quote, rewrite_sql, rlike_sql, span_sql, spans_sql, trimmed_sql, unicode_regex,
+    head_sql, quote, rlike_sql, span_sql, spans_sql, trimmed_sql, unicode_regex,
 )
 from partsight.functions.text import to_original
 from partsight.rules import pii as P
@@ -106,62 +106,149 @@ def _is_phone_sql(value: str) -> str:
     return f"IF({is_mobile}, {mobile}, {city} OR {short})"
 
 
-def phone_view_sql(view: str) -> str:
-    """The letter O read as zero inside phone-like runs that have at least two digits."""
-    change = f"IF(length({_digits_sql('p')}) >= 2, translate(p, '{P.O_LETTERS}', '0000'), p)"
-    pattern = unicode_regex(P.PHONE_WITH_O, ignore_case=False)
-    return rewrite_sql(view, pattern, change, rlike_sql(view, P.PHONE_PROBE))
+_WINDOW = (
+    "struct<start:int,end:int,n:int,gap:int,four:boolean,groups:int,first:boolean,text:string,before:string,after:string>"
+)
+_CARD_GAPS, _GROUPED_GAPS, _PHONE_GAPS, _APART = range(4)
 
 
-def _phones(view: str) -> list[str]:
-    value = span_sql(view)
-    lone = f"CAST(startswith({value}, '(') AND NOT contains({value}, ')') AS INT)"
-    home = (
-        f"transform({spans_sql(view, P.PHONE)}, "
-        f"s -> struct(s.start + {lone} AS start, s.`end` AS `end`))"
+def _gap_sql(gap: str) -> str:
+    """The narrowest kind of number that allows what stands between two digit groups."""
+
+    def of(characters: str, most: int) -> str:
+        return f"length({gap}) <= {most} AND translate({gap}, {quote(characters)}, '') = ''"
+
+    return (
+        f"CASE WHEN {of(P.CARD_GAP, 1)} THEN {_CARD_GAPS} WHEN {of(P.GROUPED_CARD_GAP, 2)} THEN {_GROUPED_GAPS} "
+        f"WHEN {of(P.PHONE_GAP, 3)} THEN {_PHONE_GAPS} ELSE {_APART} END"
     )
-    # A lone Latin letter and a blank before a ten-digit number: a part number.
-    head = (
-        f"IF(s.start > 1, substring({view}, greatest(s.start - 2, 1), least(s.start, 3)), '')"
+
+
+def windows_sql(view: str) -> str:
+    """Runs of neighbouring digit groups (the letter O counts as a digit) that a number may be: n digits,
+    the widest gap, whether all groups have four, whether no group stands before at a card's gap, the
+    text, three characters before and one after.
+
+    Groups and what stands between them come from splits, so nothing is cut out of the text by position.
+    """
+    digits = rf"[0-9{P.O_LETTERS}]"
+    near = rf"(?s)(?:{digits}.{{0,3}}){{9}}{digits}"
+    groups = spans_sql(view, f"{digits}+", probe=rlike_sql(view, near), with_text=True)
+    most = P.CARD_DIGITS[1]
+    same = "acc.n AS n, acc.gap AS gap, acc.four AS four, acc.text AS text, acc.out AS out"
+    may_be = (
+        f"w.n >= 10 AND ((w.n <= {P.FOREIGN_DIGITS[1]} AND (contains(before, '+') OR (w.n <= {P.PHONE_DIGITS[1]} AND rlike(a.text, '^[789]')))) "
+        f"OR (w.n >= {P.CARD_DIGITS[0]} AND (w.four OR get(kinds, i) > {_CARD_GAPS} OR i = 0)))"
     )
-    after_letter = rlike_sql(head, r"(?:^|[^\p{L}\p{N}])[A-Za-z][ \t]$")
-    part_number = (
-        f"(NOT startswith({value}, '+') AND length({_digits_sql(value)}) = 10 AND {after_letter})"
+    window = (
+        "struct(a.start AS start, get(g, i + k).`end` AS `end`, w.n AS n, w.gap AS gap, w.four AS four, k + 1 AS groups, "
+        f"i = 0 OR get(kinds, i) > {_CARD_GAPS} AS first, w.text AS text, before, left(get(p, i + k + 1), 1) AS after)"
+    )
+    step = (
+        f"IF(NOT acc.ok OR get(g, i + k) IS NULL, struct(false AS ok, {same}), "
+        "get(transform(array(struct(acc.n + length(get(g, i + k).text) AS n, greatest(acc.gap, IF(k = 0, 0, get(kinds, i + k))) AS gap, "
+        f"acc.four AND length(get(g, i + k).text) = {P.CARD_GROUP} AS four, "
+        "concat(acc.text, IF(k = 0, '', get(p, i + k)), get(g, i + k).text) AS text)), "
+        f"w -> IF(w.n > {most} OR w.gap = {_APART}, struct(false AS ok, {same}), "
+        f"struct(true AS ok, w.n AS n, w.gap AS gap, w.four AS four, w.text AS text, IF({may_be}, concat(acc.out, array({window})), acc.out) AS out))), 0))"
+    )
+    none = f"CAST(array() AS array<{_WINDOW}>)"
+    each = (
+        f"aggregate(sequence(0, {most - 1}), struct(true AS ok, 0 AS n, 0 AS gap, true AS four, '' AS text, {none} AS out), "
+        f"(acc, k) -> {step}, acc -> acc.out)"
+    )
+    each = f"get(transform(array(right(get(p, i), 3)), before -> {each}), 0)"
+    found = f"flatten(transform(g, (a, i) -> {each}))"
+    found = f"get(transform(array(transform(p, x -> {_gap_sql('x')})), kinds -> {found}), 0)"
+    found = f"get(transform(array(split({view}, {quote(digits + '+')}, -1)), p -> {found}), 0)"
+    return f"get(transform(array({groups}), g -> IF(size(g) = 0, {none}, {found})), 0)"
+
+
+def _leftmost(found: str) -> str:
+    """Of overlapping spans the one that begins first, of those the longest."""
+    order = f"array_sort(transform({found}, s -> struct(s.start AS start, -s.`end` AS stop)))"
+    kept = (
+        f"aggregate({order}, struct(0 AS top, '' AS out), (acc, s) -> IF(s.start >= acc.top, "
+        "struct(-s.stop AS top, concat(acc.out, s.start, ',', -s.stop, ';') AS out), acc), acc -> acc.out)"
+    )
+    return (
+        f"transform(filter(split({kept}, ';'), x -> x <> ''), x -> struct("
+        "CAST(split_part(x, ',', 1) AS INT) AS start, CAST(split_part(x, ',', 2) AS INT) AS `end`))"
+    )
+
+
+def _cards() -> str:
+    run = f"s.first AND s.gap = {_CARD_GAPS}"
+    grouped = f"s.gap <= {_GROUPED_GAPS} AND s.four AND s.groups = {P.CARD_GROUPS}"
+    free = f"NOT {rlike_sql('s.before', '[0-9A-Za-z]$')} AND NOT {rlike_sql('s.after', '[0-9A-Za-z]')}"
+    return f"filter(windows, s -> s.n >= {P.CARD_DIGITS[0]} AND ({run} OR {grouped}) AND {free} AND {_is_card_sql('s.text')})"
+
+
+#: What may stand in front of a dialled number.
+_LEAD = r"\+?[ \t]?[(]?$"
+
+
+def _phones() -> str:
+    """Numbers as they are dialled at home or abroad; a plus and a bracket in front belong to them."""
+    head = f"regexp_extract(s.before, {quote(_LEAD)}, 0)"
+    # A blank belongs to the number only behind a plus; a bracket only if it is closed inside.
+    bracket = "IF(endswith(h, '(') AND contains(s.text, ')'), '(', '')"
+    lead = f"IF(startswith(h, '+'), IF(endswith(h, '(') AND {bracket} = '', left(h, length(h) - 1), h), {bracket})"
+    lead = f"get(transform(array({head}), h -> {lead}), 0)"
+    digits_enough = "length(regexp_replace(s.text, '[^0-9]', '')) >= 2"
+    found = (
+        f"transform(filter(windows, s -> s.n <= {P.FOREIGN_DIGITS[1]} AND {digits_enough}), s -> get(transform(array({lead}), l -> struct("
+        "s.start - length(l) AS start, s.`end` AS `end`, s.n AS n, left(s.before, length(s.before) - length(l)) AS before, s.after AS after, "
+        f"concat(l, translate(s.text, '{P.O_LETTERS}', '0000')) AS text)), 0))"
     )
+    before_plus, after_digit = r"[\p{L}0-9+]$", r"[\p{L}0-9]"
+    free = f"NOT {rlike_sql('s.before', before_plus)} AND NOT {rlike_sql('s.after', after_digit)}"
+    # A lone Latin letter and a blank before a ten-digit number: a part number.
+    after_letter = rlike_sql("s.before", r"(?:^|[^\p{L}\p{N}])[A-Za-z][ \t]$")
+    part_number = f"(NOT startswith(s.text, '+') AND s.n = 10 AND {after_letter})"
+    home = f"s.n <= {P.PHONE_DIGITS[1]} AND NOT {part_number} AND {_is_phone_sql('s.text')}"
+    foreign = f"startswith(s.text, '+') AND NOT startswith({_digits_sql('s.text')}, '7')"
+    return f"filter({found}, s -> {free} AND (({home}) OR ({foreign})))"
+
+
+def _vins(view: str) -> str:
+    """Whole words of 17 characters of the set that end in four digits and have a letter."""
+    words = spans_sql(view, unicode_regex(rf"(?<!\w)\w{{{P.VIN_LENGTH}}}(?!\w)"), probe=rlike_sql(view, f"[0-9]{{{P.VIN_LAST_DIGITS}}}"))
+    value = span_sql(view)
+    only = f"translate(upper({value}), '{P.VIN_LETTERS}0123456789', '') = ''"
+    ends = rlike_sql(value, f"[0-9]{{{P.VIN_LAST_DIGITS}}}$")
+    return f"filter({words}, s -> {only} AND {ends} AND {rlike_sql(value, chr(92) + 'p{L}')})"
+
+
+def _plates(view: str) -> str:
+    """What has the form of a plate, if number and region are given out; with blanks only in capitals."""
+    of = {"L": f"[{P.PLATE_LETTERS}]", "d": "[0-9]", "r": "[0-9]"}
+    form = r"[ 	]?".join("".join(of[c] for c in part) for part in P.PLATE_FORM.removesuffix(" ?r").split()) + "[0-9]?"
+    words = spans_sql(view, unicode_regex(rf"(?<!\w){form}(?!\w)"), probe=rlike_sql(view, "[0-9]{3}"))
+    value = span_sql(view)
     digits = _digits_sql(value)
-    return [
-        _typed(f"filter({home}, s -> NOT {part_number} AND {_is_phone_sql(value)})", "PHONE"),
-        _typed(
-            f"filter({spans_sql(view, P.PHONE_FOREIGN)}, s -> length({digits}) BETWEEN 10 AND 13 "
-            f"AND NOT startswith({digits}, '7'))",
-            "PHONE",
-        ),
-    ]
+    region = f"substring({digits}, 4)"
+    issued = (
+        f"left({digits}, 3) <> '000' AND IF(length({region}) = 3, contains('{P.PLATE_LONG_REGIONS}', left({region}, 1)), {region} <> '00')"
+    )
+    blank = rlike_sql(value, r"[ 	]")
+    return f"filter({words}, s -> {issued} AND (NOT {blank} OR {value} = upper({value})))"
 
 
 def with_candidates(rows: DataFrame) -> DataFrame:
     """Adds ``candidates``, all hits of all detectors (they may overlap)."""
-    value = span_sql("nt")
-    cards = [
-        _typed(f"filter({spans_sql('nt', p)}, s -> {_is_card_sql(value)})", "CARD")
-        for p in (P.CARD_RUN, P.CARD_GROUPED)
-    ]
-    letters = rlike_sql(value, r"\p{L}")
-    blank = rlike_sql(value, r"[ \t]")
-    vins = spans_sql("nt", unicode_regex(P.VIN), probe=rlike_sql("nt", "[0-9]{4}"))
-    plates = spans_sql("nt", unicode_regex(P.PLATE), probe=rlike_sql("nt", "[0-9]{3}"))
     every = [
         *_links("nt"),
         f"IF(lat <> nt, concat({', '.join(_links('lat'))}), CAST(array() AS {CANDIDATE}))",
-        *cards,
-        *_phones("phones"),
-        _typed(f"filter({vins}, s -> {letters})", "VIN"),
-        _typed(f"filter({plates}, s -> NOT {blank} OR {value} = upper({value}))", "PLATE"),
+        _typed(_leftmost(_cards()), "CARD"),
+        _typed(_leftmost(_phones()), "PHONE"),
+        _typed(_vins("nt"), "VIN"),
+        _typed(_plates("nt"), "PLATE"),
     ]
     return (
-        rows.withColumn("phones", F.expr(phone_view_sql("nt")))
+        rows.withColumn("windows", F.expr(windows_sql("nt")))
         .withColumn("candidates", F.expr(f"array_distinct(concat({', '.join(every)}))"))
-        .drop("phones")
+        .drop("windows")
     )
 
 

@@ -78,13 +78,6 @@ def span_sql(view: str, span: str = "s") -> str:
     return f"substring({view}, {span}.start + 1, {span}.`end` - {span}.start)"
 
 
-def rewrite_sql(view: str, pattern: str, change: str, probe: str) -> str:
-    """The text with every match ``p`` replaced by the expression ``change``."""
-    parts = _pieces(view, pattern, "$0", "")
-    found = f"array_join(transform({parts}, (p, i) -> IF(i % 2 = 1, {change}, p)), '')"
-    return f"IF({probe}, {found}, {view})"
-
-
 def head_sql(view: str, found: str, pattern: str) -> str:
     """The spans cut to what the anchored pattern finds at their start; spans without it are gone."""
     kept = f"length(regexp_extract({span_sql(view)}, {quote(pattern)}, 0))"
