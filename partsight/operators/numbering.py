@@ -65,3 +65,38 @@ def trailing_count(
     return (
         twice.withColumn(name, F.count(F.lit(1)).over(w)).where("__own").drop("__own", _BUCKET)
     )
+
+
+def last_at_or_before(
+    asks: DataFrame, offers: DataFrame, keys: list[str], at: str, value: str, seconds: int = 86_400
+) -> DataFrame:
+    """``asks`` with the ``value`` of the last of the ``offers`` (keys, at, value) at or before ``at``; asks
+    without one are left out. Of offers at one time the largest value counts.
+
+    The last offer of each bucket is carried over the buckets that follow; rows meet only within one.
+    """
+    held = [c for c in asks.columns if c not in (*keys, at)]
+    rows = with_bucket(
+        asks.select(*keys, at, F.struct(*held).alias("__ask")).unionByName(
+            offers.select(*keys, at, F.struct(F.col(at).alias("at"), F.col(value).alias("value")).alias("__offer")), allowMissingColumns=True
+        ),
+        hour_of(at, seconds),
+    )
+    carried = (
+        rows.groupBy(*keys, _BUCKET)
+        .agg(F.max("__offer").alias("__last"))
+        .withColumn("__carried", F.last("__last", ignorenulls=True).over(_before(keys)))
+        .drop("__last")
+    )
+    local = (
+        Window.partitionBy(*keys, _BUCKET)
+        .orderBy(at, F.col("__ask").isNotNull(), "__offer")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found = rows.withColumn("__here", F.last("__offer", ignorenulls=True).over(local)).where("__ask IS NOT NULL")
+    return (
+        found.join(carried, [*keys, _BUCKET])
+        .withColumn("__found", F.coalesce("__here", "__carried"))
+        .where("__found IS NOT NULL")
+        .select(*keys, at, "__ask.*", F.col("__found.value").alias(value))
+    )
