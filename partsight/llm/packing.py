@@ -26,8 +26,9 @@ CAPACITY = 2048
 #: Pieces of a group: a task's memory is bounded by it, whatever the number of documents.
 GROUP_PIECES = 20_000
 ROUNDS = 3
-#: Chunks between white space whose ids a Python worker remembers from task to task, and the longest of them.
-MEMORY_CHUNKS, MEMORY_CHARS = 500_000, 48
+#: Chunks between white space and words in them whose ids a Python worker remembers from task to task, and
+#: the longest of them. When there are more, only chunks met more than once stay.
+MEMORY_CHUNKS, MEMORY_CHARS = 800_000, 48
 
 _PIECE = [
     T.StructField("piece", T.IntegerType()),
@@ -57,8 +58,8 @@ class ChunkEncoder:
     tokenizer many at a time: each ends with the first id that ends a word.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, memory: int = MEMORY_CHUNKS):
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         added = self.tokenizer.get_added_tokens_decoder().items()
         self.special = {token.content: np.array([code], "<u4").tobytes() for code, token in added}
         self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -66,12 +67,17 @@ class ChunkEncoder:
         for token, code in self.tokenizer.get_vocab(with_added_tokens=False).items():
             ends[code] = token.endswith("</w>")
         self.ends = ends
+        self.words: dict[str, bytes] = {}
+        #: A chunk never holds a special token, so those can be looked up among the chunks.
+        self.seen: dict[str, bytes] = dict(self.special)
+        self.met_again: set[str] = set()
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, bytes] = {}
-        #: A chunk never holds a special token, so those can be looked up among the chunks.
-        self.seen: dict[str, bytes] = {"": b"", **self.special}
+        """Forgets words, and chunks that were met once; all of them if half would stay."""
+        kept = self.met_again if 2 * len(self.met_again) < self.memory else ()
+        self.seen = {c: self.seen[c] for c in kept if c in self.seen} | {"": b"", **self.special}
+        self.words, self.met_again = {}, set()
 
     def _chunks(self, text: str) -> list[str]:
         if self.parted and any(s in text for s in self.special):
@@ -93,8 +99,9 @@ class ChunkEncoder:
     def _learn(self, new: list[str]) -> None:
         parted, rest = [], []
         for chunk in new:
-            m = _WORD.fullmatch(chunk)
-            if m:
+            if chunk.isascii() and chunk.isalpha():
+                parted.append((chunk, chunk.lower(), ""))
+            elif m := _WORD.fullmatch(chunk):
                 parted.append((chunk, m[1].lower(), m[2]))
             else:
                 rest.append(chunk)
@@ -111,10 +118,11 @@ class ChunkEncoder:
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, and ``end`` behind them."""
         split = [self._chunks(t) for t in texts]
-        if len(self.seen) + len(self.words) > MEMORY_CHUNKS:
+        if len(self.seen) + len(self.words) > self.memory:
             self.forget()
-        seen = self.seen
-        new = list(set().union(*split) - seen.keys())
+        seen, here = self.seen, set().union(*split)
+        new = [chunk for chunk in here if chunk not in seen]
+        self.met_again.update(here.difference(new))
         self._learn(new)
         out = [b"".join(map(seen.__getitem__, chunks)) + end for chunks in split]
         for chunk in new:
@@ -125,8 +133,8 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(tokenizer_file: str) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer_file)
+def encoder_of(tokenizer_file: str, memory: int) -> ChunkEncoder:
+    return ChunkEncoder(tokenizer_file, memory)
 
 
 def pieces(
@@ -137,6 +145,7 @@ def pieces(
     capacity: int = CAPACITY,
     end_id: int = 0,
     checksums: bool = False,
+    memory: int = MEMORY_CHUNKS,
 ) -> DataFrame:
     """The token pieces of each document: ``key``, piece (from 0), start, length, ids or their CRC-32 as ids_crc32.
 
@@ -148,7 +157,7 @@ def pieces(
     schema = T.StructType([docs.schema[key], *_PIECE, what])
 
     def step(batches):
-        encoder, end = encoder_of(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_file, memory), np.array([end_id], "<u4").tobytes()
         for batch in stepped(batches, text, 1 << 20):
             rows, numbers, starts, lengths, parts = [], [], [], [], []
             for i, ids in enumerate(encoder([t or "" for t in batch.column(text).to_pylist()], end)):
@@ -314,14 +323,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY
+    docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, memory: int = MEMORY_CHUNKS
 ) -> DataFrame:
     """The pieces of ``docs`` with ids_crc32, sequence_id and offset.
 
     The pieces are tokenised once and their keys and checksums written to the shared folder; packing
     moves numbers only.
     """
-    cut = pieces(docs, tokenizer_file, key, text, capacity, checksums=True)
+    cut = pieces(docs, tokenizer_file, key, text, capacity, checksums=True, memory=memory)
     cut = stored(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     plan = pack(cut.select("uid", "length"), capacity)
     return cut.join(plan.drop("length"), "uid").select(
