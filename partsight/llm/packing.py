@@ -28,7 +28,7 @@ GROUP_PIECES = 20_000
 ROUNDS = 3
 #: Chunks between white space and words in them whose ids a Python worker remembers from task to task, and
 #: the longest of them. When there are more, only chunks met more than once stay.
-MEMORY_CHUNKS, MEMORY_CHARS = 800_000, 48
+MEMORY_CHUNKS, MEMORY_CHARS = 1_500_000, 48
 
 _PIECE = [
     T.StructField("piece", T.IntegerType()),
