@@ -20,7 +20,7 @@ from partsight.llm.queries import BYTE_RANKS, PREDICT_AT, WORD_TOKENIZER
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of a repeated passage: 50 words of English are longer. And the q-grams that find it.
 PASSAGE_BYTES, PASSAGE_GRAMS = 250, (64, 160, 224, 240, 247)
-#: Chunks that a worker of the packing stage remembers: half the usual, as the stages before left their memory used.
+#: Chunks that a worker of the packing stage remembers: fewer than usual, as the stages before left their memory used.
 PACKING_MEMORY = 400_000
 #: Near-duplicates here: five words a shingle, a similarity of 0.8.
 WORDS, PERCENT = 5, 80
