@@ -95,9 +95,12 @@ def key_candidates(observed: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def template_groups(fields: DataFrame, notes: DataFrame, top: int = 12) -> DataFrame:
-    """Notes grouped by their sorted set of keys: count, share of all notes, notes with images;
-    the ``top`` groups with at least two notes. ``fields``: ``note_id, key`` (labels); ``notes``:
-    ``note_id, has_image``. A note has few keys, so its key set is a small array."""
+    """Notes grouped by their sorted set of keys: templates, singletons, notes, with_image, share of all notes.
+
+    The ``top`` templates with at least two notes are rows of their own (templates = 1), all others one row
+    named "other". ``fields``: ``note_id, key`` (labels); ``notes``: ``note_id, has_image``. A note has few
+    keys, so its key set is a small array.
+    """
     signature = fields.groupBy("note_id").agg(
         F.array_join(F.array_sort(F.collect_set("key")), ", ").alias("signature")
     )
@@ -106,11 +109,12 @@ def template_groups(fields: DataFrame, notes: DataFrame, top: int = 12) -> DataF
     groups = per_note.groupBy("signature").agg(
         F.count(F.lit(1)).alias("notes"), F.count_if("has_image").alias("with_image")
     )
-    return (
-        groups.where("notes >= 2")
-        .withColumn("share_percent", F.round(100 * F.col("notes") / total).cast("bigint"))
-        .orderBy(F.desc("notes"), "signature")
-        .limit(top)
+    named = groups.where("notes >= 2").orderBy(F.desc("notes"), "signature").limit(top).select("signature", F.lit(True).alias("named"))
+    marked = groups.join(named, "signature", "left")
+    return marked.groupBy(F.when(F.col("named"), F.col("signature")).otherwise(R.OTHER).alias("signature")).agg(
+        F.count(F.lit(1)).alias("templates"), F.count_if(F.col("notes") == 1).alias("singletons"),
+        F.sum("notes").alias("notes"), F.sum("with_image").alias("with_image"),
+        F.round(100 * F.sum("notes") / total).cast("bigint").alias("share_percent"),
     )
 
 

@@ -1,26 +1,13 @@
-"""token-bucket compliance of an attempt log.
-
-One attempt maps a token count x to clamp(x + a, lo, hi): refill up to the capacity, take one, or
-empty after a 429. Such maps stay closed under composition, so the replay runs in three steps
-without ever holding one endpoint in one task: every (endpoint, time bucket) is reduced to one map,
-the few maps of an endpoint are chained to give each bucket its entry state, and every bucket is
-replayed from there. All three give exactly the sequential result.
-"""
+"""an attempt log against rate limits and pauses, in windows that survive hot endpoints."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partsight.operators.numbering import hour_of, trailing_count, with_bucket
 from partsight.rules import traffic as R
 
-_KEY = ["endpoint", "__bucket"]
-_START = -1.0  # no earlier attempt
-
 
 def _limits(attempts: DataFrame) -> DataFrame:
     """Rate (per second) and capacity per endpoint as columns, from the fixed table."""
@@ -32,132 +19,26 @@ def _limits(attempts: DataFrame) -> DataFrame:
     return attempts.withColumns({"rate": of(0, 30.0) / 60, "capacity": of(1, 2.0)})
 
 
-def _step(elapsed, rate, capacity, takes, empties):
-    """(a, lo, hi) of one attempt for one token class."""
-    grow = elapsed * rate
-    if empties:
-        return 0.0, 0.0, 0.0
-    if takes:
-        return grow - 1.0, 0.0, capacity - 1.0
-    return grow, 0.0, capacity
-
-
-def _chain(f, g):
-    """First ``f``, then ``g``."""
-    a, lo, hi = f
-    b, lo2, hi2 = g
-    clamp = lambda x: min(hi2, max(lo2, x))
-    return a + b, clamp(lo + b), clamp(hi + b)
-
-
-def _walk(pdf: pd.DataFrame, share: float):
-    """Elapsed refill time and 429 pauses per attempt of one bucket, in order."""
-    pdf = pdf.sort_values(["t", "attempt_id"], kind="stable")
-    last, blocked = float(pdf["prev_t"].iloc[0]), float(pdf["prev_block"].iloc[0])
-    for t, ban, bulk, rate, cap in zip(
-        pdf["t"], pdf["ban"], pdf["bulk"], pdf["rate"], pdf["capacity"], strict=True
-    ):
-        elapsed = 0.0 if last == _START else max(0.0, t - max(last, blocked))
-        yield elapsed, t < blocked, bool(bulk), ban >= 0, rate, cap, rate * share, max(1.0, cap * share)
-        last = max(last, t)
-        if ban >= 0:
-            blocked = max(blocked, t + ban)
-
-
-def replay_rate(
-    attempts: DataFrame, *, bucket_seconds: int = 3600, bulk_share: float = R.BULK_SHARE
-) -> DataFrame:
-    """Per attempt: tokens of both classes before it, whether a 429 pause was on, and whether the
-    limiter would have let it pass. Input: ``attempt_id, endpoint, priority, started_at, status,
-    retry_after_s``."""
-    banned = F.when(
-        F.col("status") == 429, F.coalesce("retry_after_s", F.lit(float(R.DEFAULT_429_COOLDOWN_S)))
-    ).otherwise(-1.0)
-    rows = with_bucket(
-        _limits(attempts).select(
-            "attempt_id", "endpoint", "rate", "capacity", "started_at",
-            (F.unix_micros("started_at") / 1e6).alias("t"),
-            (F.col("priority") == "bulk").alias("bulk"),
-            banned.alias("ban"),
-        ),
-        hour_of("started_at", bucket_seconds),
-    ).drop("started_at")
-    before = Window.partitionBy("endpoint").orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = (
-        rows.groupBy(*_KEY)
-        .agg(
-            F.max("t").alias("last_t"),
-            F.max(F.when(F.col("ban") >= 0, F.col("t") + F.col("ban"))).alias("last_block"),
-            F.max("capacity").alias("cap"),
-        )
-        .select(
-            *_KEY, "cap",
-            F.coalesce(F.max("last_t").over(before), F.lit(_START)).alias("prev_t"),
-            F.coalesce(F.max("last_block").over(before), F.lit(0.0)).alias("prev_block"),
-        )
-    )
-    ready = rows.join(carried, _KEY)
-
-    def reduce_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        live, bulk = (0.0, 0.0, float("inf")), (0.0, 0.0, float("inf"))
-        for e, _, is_bulk, empties, rate, cap, brate, bcap in _walk(pdf, bulk_share):
-            live = _chain(live, _step(e, rate, cap, True, empties))
-            bulk = _chain(bulk, _step(e, brate, bcap, is_bulk, empties))
-        head = pdf.iloc[0]
-        return pd.DataFrame(
-            [(head["endpoint"], head["__bucket"], head["cap"], *live, *bulk)],
-            columns=["endpoint", "__bucket", "cap", "a", "lo", "hi", "ba", "blo", "bhi"],
-        )
-
-    maps = ready.groupBy(*_KEY).applyInPandas(
-        reduce_bucket,
-        "endpoint string, __bucket bigint, cap double, a double, lo double, hi double, "
-        "ba double, blo double, bhi double",
-    )
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One row per time bucket of an endpoint: some thousands for years of log.
-        pdf = pdf.sort_values("__bucket")
-        cap = float(pdf["cap"].iloc[0])
-        x, b, out = cap, max(1.0, cap * bulk_share), []
-        for r in pdf.itertuples(index=False):
-            out.append((r[0], r[1], x, b))
-            x = min(r.hi, max(r.lo, x + r.a))
-            b = min(r.bhi, max(r.blo, b + r.ba))
-        return pd.DataFrame(out, columns=["endpoint", "__bucket", "x0", "b0"])
-
-    start = maps.groupBy("endpoint").applyInPandas(
-        entries, "endpoint string, __bucket bigint, x0 double, b0 double"
-    )
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, b = float(pdf["x0"].iloc[0]), float(pdf["b0"].iloc[0])
-        pdf = pdf.sort_values(["t", "attempt_id"], kind="stable")
-        out = []
-        steps: Iterator = _walk(pdf, bulk_share)
-        for aid, (e, paused, is_bulk, empties, rate, cap, brate, bcap) in zip(
-            pdf["attempt_id"], steps, strict=True
-        ):
-            x, b = min(cap, x + e * rate), min(bcap, b + e * brate)
-            # The chained and the direct sum may differ in the last bits of a double.
-            ok = not paused and x >= 1 - 1e-9 and (not is_bulk or b >= 1 - 1e-9)
-            out.append((aid, x, b, paused, ok))
-            x = 0.0 if empties else max(0.0, x - 1)
-            b = 0.0 if empties else (max(0.0, b - 1) if is_bulk else b)
-        frame = pd.DataFrame(out, columns=["attempt_id", "tokens", "bulk_tokens", "paused", "compliant"])
-        frame.insert(0, "endpoint", pdf["endpoint"].iloc[0])
-        return frame
-
+def with_pauses(attempts: DataFrame, *, bucket_seconds: int = 3600) -> DataFrame:
+    """Adds ``paused``: an earlier attempt of the endpoint was answered 429, and its pause still holds.
+
+    Input: ``attempt_id, endpoint, started_at, status, retry_after_s``. The end of the longest pause so far
+    is a running maximum: within a time bucket by a window, over the buckets before it by their maxima.
+    """
+    pause = F.coalesce("retry_after_s", F.lit(float(R.DEFAULT_429_COOLDOWN_S)))
+    at = F.unix_micros("started_at")
+    ends = F.when(F.col("status") == 429, at + (pause * 1_000_000).cast("long"))
+    rows = with_bucket(attempts.withColumns({"__at": at, "__ends": ends}), hour_of("started_at", bucket_seconds))
+    key = ["endpoint", "__bucket"]
+    before = Window.partitionBy("endpoint").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*key).agg(F.max("__ends").alias("__last")).withColumn("__carried", F.max("__last").over(before)).drop("__last")
+    within = Window.partitionBy(*key).orderBy("__at", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
+    until = F.greatest("__carried", "__here")
     return (
-        ready.join(start, _KEY)
-        .groupBy(*_KEY)
-        .applyInPandas(
-            replay,
-            "endpoint string, attempt_id bigint, tokens double, bulk_tokens double, "
-            "paused boolean, compliant boolean",
-        )
+        rows.withColumn("__here", F.max("__ends").over(within))
+        .join(carried, key)
+        .withColumn("paused", F.coalesce(F.col("__at") < until, F.lit(False)))
+        .drop("__at", "__ends", "__here", "__carried", "__bucket")
     )
 
 

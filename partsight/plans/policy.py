@@ -15,11 +15,10 @@ from partsight.operators import policy as pol
 from partsight.plans.registry import query
 from partsight.rules import policy as R
 from partsight.sources.domain import Domain, with_domain
-from partsight.sources.tables import spread
 
 
 def _parts(d: Domain) -> DataFrame:
-    return spread(d["part_text"])
+    return d["part_text"]
 
 
 def _said(d: Domain, *sentences: str) -> DataFrame:
@@ -29,7 +28,7 @@ def _said(d: Domain, *sentences: str) -> DataFrame:
         head, _, tail = sentence.partition("{}")
         said = F.concat(F.lit(head), F.col("p_name"), F.lit(tail)) if "{}" in sentence else F.lit(sentence)
         text = F.when(F.col("p_partkey") % len(sentences) == i, said).otherwise(text)
-    return spread(d["part"].select("p_partkey", "p_name")).select(
+    return d["part"].select("p_partkey", "p_name").select(
         F.col("p_partkey").alias("draft_id"), F.lit(0).alias("part_index"), text.alias("text"),
         (F.col("p_partkey") % 2 == 0).alias("is_owner_edit"),
         (F.col("p_partkey") % 4 < 2).alias("completion_confirmed"),
@@ -71,16 +70,14 @@ def part_size(d: Domain) -> DataFrame:
     )
 
 
-@query("part_overflow", """
-    SELECT doc_id, CAST(CASE WHEN strlen(text) = length(text) THEN least(length(text), 1000)
-      ELSE -1 END AS BIGINT) AS first_beyond FROM documents""")
+#: Characters in front of the first one beyond 1000 bytes (UTF-16 units are never more than bytes).
+_FITTING = "len([k FOR k IN range(1, least(length({0}), 1000) + 1) IF strlen(left({0}, k)) <= 1000])"
+
+
+@query("part_overflow", f"SELECT doc_id, {_FITTING.format('text')} AS first_beyond FROM documents")
 def part_overflow(d: Domain) -> DataFrame:
-    """B02; the oracle knows the answer for ASCII texts, the others show -1 on both sides."""
-    t = F.col("text")
-    ascii_only = F.octet_length(t) == F.length(t)
-    return d["documents"].select(
-        "doc_id", F.when(ascii_only, tx.first_index_beyond(t)).otherwise(-1).alias("first_beyond")
-    )
+    """B02."""
+    return d["documents"].select("doc_id", tx.first_index_beyond(F.col("text")).alias("first_beyond"))
 
 
 @query("text_segments", """
@@ -102,14 +99,23 @@ def text_segments(d: Domain) -> DataFrame:
 # -- findings ----------------------------------------------------------------------------------------
 
 
-@query("policy_basic", """
-    SELECT doc_id, CASE WHEN trim(text) = '' THEN 'EMPTY_PART' WHEN strlen(text) > 1000
-      THEN 'PART_TOO_LONG' ELSE '' END AS code FROM documents""")
+@query("policy_basic", f"""
+    WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN left(text, 9) || chr(7) || substr(text, 10)
+        WHEN 2 THEN left(text, 9) || chr(8203) || substr(text, 10) WHEN 3 THEN ' ' ELSE text END AS text FROM documents)
+    SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'INVALID_TEXT:9:10' WHEN 2 THEN 'OBFUSCATION:9:10' WHEN 3 THEN 'EMPTY_PART:0:1' ELSE '' END
+      || CASE WHEN strlen(text) > 1000 THEN CASE WHEN doc_id % 5 IN (1, 2) THEN ',' ELSE '' END || 'PART_TOO_LONG:' ||
+        {_FITTING.format('text')} || ':' || length(text) ELSE '' END AS codes FROM t""")
 def policy_basic(d: Domain) -> DataFrame:
-    """B03."""
-    basic = pol.basic_findings(tx.with_views(d["documents"].select("doc_id", "text")))
-    size_codes = F.filter("basic", lambda f: f["code"].isin("EMPTY_PART", "PART_TOO_LONG"))
-    return basic.select("doc_id", F.coalesce(F.get(size_codes, 0)["code"], F.lit("")).alias("code"))
+    """All codes with their places; documents with a control character, a hidden one, or nothing but a blank among them."""
+    t, k = F.col("text"), F.col("doc_id") % 5
+
+    def with_sign(sign: str) -> F.Column:
+        return F.concat(F.left(t, F.lit(9)), F.lit(sign), F.substring(t, F.lit(10), F.length(t)))
+
+    text = F.when(k == 1, with_sign("\u0007")).when(k == 2, with_sign("\u200b")).when(k == 3, F.lit(" ")).otherwise(t)
+    basic = pol.basic_findings(tx.with_views(d["documents"].select("doc_id", text.alias("text"))))
+    codes = F.transform("basic", lambda f: F.concat_ws(":", f["code"], f["start"], f["end"]))
+    return basic.select("doc_id", F.array_join(codes, ",").alias("codes"))
 
 
 _WORDS = (
@@ -345,7 +351,8 @@ def policy_draft_verdict(d: Domain) -> DataFrame:
 def policy_check(d: Domain) -> DataFrame:
     """B01-B20 end to end over the corpus, with literals and template spans."""
     parts = _parts(d)
-    literals = parts.select("draft_id", F.regexp_extract("text", "[0-9]{2,6}", 0).alias("literal"))
+    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{2,6}"), F.lit(0)))
+    literals = parts.select("draft_id", F.explode(numbers).alias("literal")).distinct()
     spans = parts.select(
         "draft_id", "part_index", F.lit("rule_generic").alias("kind"), F.lit(0).alias("s_start"),
         F.lit(200).alias("s_end"),
@@ -374,7 +381,7 @@ def policy_pii_codes(d: Domain) -> DataFrame:
         .when(k == 5, F.concat(F.lit("WDB2130421A12"), n))
         .otherwise(F.lit("А123ВС77"))
     )
-    parts = spread(d["events"].select("event_id")).select(
+    parts = d["events"].select("event_id").select(
         F.col("event_id").alias("draft_id"), F.lit(0).alias("part_index"),
         F.concat(F.lit("See: "), value, F.lit(" .")).alias("text"),
     )

@@ -11,7 +11,6 @@ from partsight.plans.registry import query
 from partsight.session import run_dir
 from partsight.sources import notes as nt
 from partsight.sources.domain import Domain, with_domain
-from partsight.sources.tables import spread
 
 
 def _notes(d: Domain) -> DataFrame:
@@ -39,7 +38,7 @@ def _notes(d: Domain) -> DataFrame:
         F.concat(F.lit("\n![["), F.when(k % 4 == 0, sku).otherwise(F.lit("misc")), F.lit(".png]] [[Other|alias]] [site](https://example.com/a)")),
         F.lit("```dataview\nx:: hidden\n| no | table |\n|---|---|\n```"),
     )
-    return spread(d["part"]).select(k.alias("note_id"), lines.alias("text"), sku.alias("sku"),
+    return d["part"].select(k.alias("note_id"), lines.alias("text"), sku.alias("sku"),
                             F.array("p_type", "p_brand").alias("folder"))
 
 
@@ -150,23 +149,22 @@ def file_scan(d: Domain) -> DataFrame:
 
 @query("decode_stats", """
     SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-bom' WHEN 2 THEN 'utf-16'
-      ELSE 'cp1251' END AS encoding,
-      CASE WHEN doc_id % 4 = 3 THEN length('Скидка ') + 20 ELSE length(text) END AS chars
-    FROM documents""")
+      ELSE 'cp1251' END AS encoding, length(t) AS chars, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'Скидка ' || regexp_replace(text, '[^\x00-\x7F]', '?', 'g') ELSE text END AS t FROM documents)""")
 def decode_stats(d: Domain) -> DataFrame:
-    """The documents in four encodings."""
+    """The documents in four encodings; cp1251 has no other letters than its own, so there they are question marks."""
     t = F.col("text")
     k = F.col("doc_id") % 4
-    russian = F.concat(F.lit("Скидка "), F.lpad(F.col("doc_id").cast("string"), 20, "0"))
+    ascii_only = F.regexp_replace(t, r"[^\x00-\x7F]", "?")
     content = (
         F.when(k == 0, F.encode(t, "UTF-8"))
         .when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(t, "UTF-8")))
         .when(k == 2, F.encode(t, "UTF-16"))
-        .otherwise(F.encode(F.translate(russian, "Скида", "\xd1\xea\xe8\xe4\xe0"), "ISO-8859-1"))
+        .otherwise(F.encode(F.concat(F.lit("\xd1\xea\xe8\xe4\xea\xe0 "), ascii_only), "ISO-8859-1"))
     )
     files = d["documents"].select("doc_id", content.alias("content"))
     return nt.decode(files).select(
-        "doc_id", "encoding", F.length("text").cast("bigint").alias("chars")
+        "doc_id", "encoding", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("text_sha256")
     )
 
 
@@ -247,36 +245,39 @@ def safe_label(d: Domain) -> DataFrame:
 # -- fields and groups -------------------------------------------------------------------------------
 
 
-@query("field_stats", """
-    WITH k AS (SELECT * FROM part WHERE p_partkey % 11 <> 0)
-    SELECT 'frontmatter' AS source, 'sku' AS key, count(*) AS present, count(*) AS filled,
-      count(*) AS scalars, count(*) AS idlike, count(*) AS distinct_ids FROM k
-    UNION ALL SELECT 'frontmatter', 'price', count(*), count(*), count(*), 0, 0 FROM k
-      WHERE p_partkey % 3 = 0
-    UNION ALL SELECT 'frontmatter', 'tags', count(*), count(*), 3 * count(*), 0, 0 FROM k
-      WHERE p_partkey % 2 = 0
-    UNION ALL SELECT 'frontmatter', 'notes', count(*), count(*), 0, 0, 0 FROM k WHERE p_partkey % 7 = 0
-    UNION ALL SELECT 'inline', 'size', count(*), count(*), count(*), 0, 0 FROM part""")
+#: The keys of the notes: which notes have one, its scalars, and its type and those of its items.
+_KEYS = """
+    k AS (SELECT * FROM part WHERE p_partkey % 11 <> 0),
+    f AS (SELECT 'frontmatter' AS source, 'sku' AS key, count(*) AS n, 1 AS scalars, 1 AS ids, 'kod' AS type, NULL AS item FROM k
+      UNION ALL SELECT 'frontmatter', 'brand', count(*), 1, 0, 'metin', NULL FROM k
+      UNION ALL SELECT 'frontmatter', 'price', count(*), 1, 0, 'para', NULL FROM k WHERE p_partkey % 3 = 0
+      UNION ALL SELECT 'frontmatter', 'tags', count(*), 3, 0, 'liste', 'metin' FROM k WHERE p_partkey % 2 = 0
+      UNION ALL SELECT 'frontmatter', 'dims', count(*), 0, 0, 'nesne', NULL FROM k WHERE p_partkey % 5 = 0
+      UNION ALL SELECT 'frontmatter', 'dims.width', count(*), 1, 0, 'sayı', NULL FROM k WHERE p_partkey % 5 = 0
+      UNION ALL SELECT 'frontmatter', 'dims.height', count(*), 1, 0, 'sayı', NULL FROM k WHERE p_partkey % 5 = 0
+      UNION ALL SELECT 'frontmatter', 'notes', count(*), 0, 0, 'metin', NULL FROM k WHERE p_partkey % 7 = 0
+      UNION ALL SELECT 'frontmatter', 'aliases', count(*), 2, 0, 'liste', 'metin' FROM k WHERE p_partkey % 4 = 0
+      UNION ALL SELECT 'inline', 'size', count(*), 1, 0, 'sayı', NULL FROM part
+      UNION ALL SELECT 'inline', 'state', count(*), 1, 0, 'metin', NULL FROM part WHERE p_partkey % 3 = 1)"""
+
+
+@query("field_stats", f"""
+    WITH {_KEYS}
+    SELECT source, key, n AS present, n AS filled, scalars * n AS scalars, ids * n AS idlike, ids * n AS distinct_ids,
+      CAST(0 AS BIGINT) AS images, CAST(100 AS BIGINT) AS filled_percent FROM f WHERE n > 0""")
 def field_stats(d: Domain) -> DataFrame:
-    """G08 + G23."""
-    stats = pf.field_stats(pf.observe(_fields(d)))
-    return stats.where(F.col("key").isin("sku", "price", "tags", "notes", "size")).select(
-        "source", "key", "present", "filled", "scalars", "idlike", "distinct_ids"
-    )
+    """G08 + G23: every key."""
+    return pf.field_stats(pf.observe(_fields(d)))
 
 
-@query("field_types", """
-    WITH k AS (SELECT * FROM part WHERE p_partkey % 11 <> 0)
-    SELECT 'sku' AS key, 'value' AS level, 'kod' AS value_type, count(*) AS n FROM k
-    UNION ALL SELECT 'price', 'value', 'para', count(*) FROM k WHERE p_partkey % 3 = 0
-    UNION ALL SELECT 'tags', 'value', 'liste', count(*) FROM k WHERE p_partkey % 2 = 0
-    UNION ALL SELECT 'tags', 'item', 'metin', 3 * count(*) FROM k WHERE p_partkey % 2 = 0
-    UNION ALL SELECT 'dims', 'value', 'nesne', count(*) FROM k WHERE p_partkey % 5 = 0""")
+@query("field_types", f"""
+    WITH {_KEYS}
+    SELECT source, key, 'value' AS level, type AS value_type, n FROM f WHERE n > 0
+    UNION ALL SELECT source, key, 'item', item, scalars * n FROM f WHERE item IS NOT NULL AND n > 0""")
 def field_types(d: Domain) -> DataFrame:
     """Types and item types. The closing brackets of a list are all cut, so a link that ends the
     list is text."""
-    types = pf.type_counts(pf.observe(_fields(d)))
-    return types.where(F.col("key").isin("sku", "price", "tags", "dims")).drop("source")
+    return pf.type_counts(pf.observe(_fields(d)))
 
 
 @query("key_candidates", """
@@ -289,9 +290,24 @@ def key_candidates(d: Domain) -> DataFrame:
     return pf.key_candidates(observed, pf.field_stats(observed))
 
 
-@query("template_groups")
+_IS_KEY = ", ".join(
+    f"CASE WHEN {'p_partkey % 11 <> 0 AND ' if fm else ''}p_partkey % {k} = {r} THEN '{key}' END"
+    for key, fm, k, r in (
+        ("aliases", 1, 4, 0), ("brand", 1, 1, 0), ("dims", 1, 5, 0), ("dims.height", 1, 5, 0), ("dims.width", 1, 5, 0), ("notes", 1, 7, 0),
+        ("price", 1, 3, 0), ("size", 0, 1, 0), ("sku", 1, 1, 0), ("state", 0, 3, 1), ("tags", 1, 2, 0),
+    )
+)
+
+
+@query("template_groups", f"""
+    WITH n AS (SELECT p_partkey % 4 = 0 AS has_image, concat_ws(', ', {_IS_KEY}) AS signature FROM part),
+    g AS (SELECT signature, count(*) AS notes, count(*) FILTER (has_image) AS with_image FROM n GROUP BY signature),
+    r AS (SELECT *, row_number() OVER (ORDER BY notes DESC, signature) AS place, sum(notes) OVER () AS total FROM g)
+    SELECT CASE WHEN place <= 12 AND notes > 1 THEN signature ELSE '(diğer)' END AS signature, count(*) AS templates,
+      count(*) FILTER (notes = 1) AS singletons, CAST(sum(notes) AS BIGINT) AS notes, CAST(sum(with_image) AS BIGINT) AS with_image,
+      CAST(round(100 * sum(notes) / max(total)) AS BIGINT) AS share_percent FROM r GROUP BY 1""")
 def template_groups(d: Domain) -> DataFrame:
-    """G13 (a top-k report)."""
+    """The most frequent templates, and all others in one row."""
     notes = _notes(d).select("note_id", (F.col("note_id") % 4 == 0).alias("has_image"))
     return pf.template_groups(_fields(d).select("note_id", "key"), notes)
 

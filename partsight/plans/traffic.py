@@ -286,15 +286,11 @@ def _rated(d: Domain) -> DataFrame:
 
 @query("rate_replay")
 def rate_replay(d: Domain) -> DataFrame:
-    """exact replay, summed up per endpoint."""
-    return (
-        rate.replay_rate(_rated(d))
-        .groupBy("endpoint")
-        .agg(
-            F.count(F.lit(1)).alias("attempts"), F.count_if("compliant").alias("compliant"),
-            F.count_if("paused").alias("paused"),
-            F.round(F.min("tokens"), 3).alias("min_tokens"),
-        )
+    """attempts within their minute's allowance and outside of pauses, per endpoint."""
+    judged = rate.window_rate(rate.with_pauses(_rated(d)))
+    return judged.groupBy("endpoint").agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(~F.col("over") & ~F.col("paused")).alias("compliant"),
+        F.count_if("paused").alias("paused"), F.max("in_window").alias("busiest"),
     )
 
 

@@ -21,14 +21,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that is too small to fill the cluster, spread over all cores.
-
-    For work that costs far more per row than moving the row does (text scanning). A table with at
-    least one partition per core, that is every large one, is left as it is: no shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
