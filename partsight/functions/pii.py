@@ -138,7 +138,7 @@ def windows_sql(view: str) -> str:
     same = "acc.n AS n, acc.gap AS gap, acc.four AS four, acc.text AS text, acc.out AS out"
     may_be = (
         f"w.n >= 10 AND ((w.n <= {P.FOREIGN_DIGITS[1]} AND (contains(before, '+') OR (w.n <= {P.PHONE_DIGITS[1]} AND rlike(a.text, '^[789]')))) "
-        f"OR (w.n >= {P.CARD_DIGITS[0]} AND (w.four OR get(kinds, i) > {_CARD_GAPS} OR i = 0)))"
+        f"OR (w.n >= {P.CARD_DIGITS[0]} AND (w.four OR k = 0 OR i = 0 OR get(kinds, i) > {_CARD_GAPS})))"
     )
     window = (
         "struct(a.start AS start, get(g, i + k).`end` AS `end`, w.n AS n, w.gap AS gap, w.four AS four, k + 1 AS groups, "
@@ -178,7 +178,7 @@ def _leftmost(found: str) -> str:
 
 
 def _cards() -> str:
-    run = f"s.first AND s.gap = {_CARD_GAPS}"
+    run = f"(s.first OR s.groups = 1) AND s.gap = {_CARD_GAPS}"
     grouped = f"s.gap <= {_GROUPED_GAPS} AND s.four AND s.groups = {P.CARD_GROUPS}"
     free = f"NOT {rlike_sql('s.before', '[0-9A-Za-z]$')} AND NOT {rlike_sql('s.after', '[0-9A-Za-z]')}"
     return f"filter(windows, s -> s.n >= {P.CARD_DIGITS[0]} AND ({run} OR {grouped}) AND {free} AND {_is_card_sql('s.text')})"

@@ -17,6 +17,8 @@ MASKED = [
     ("+7 (900) 123-45-67 и 89001234567", "[PHONE_1] и [PHONE_1]"),
     ("мой тг: @ivan_petrov, vk.com/ivan1", "мой тг: [SOCIAL_1], [SOCIAL_2]"),
     ("карта 4111 1111 1111 1111.", "карта [CARD_1]."),
+    ("в 2024 4111111111111111, 4111-1111-1111-1111", "в 2024 [CARD_1], [CARD_1]"),
+    ("12 8 900 123-45-67", "12 [PHONE_1]"),
     ("VIN WDB2130421A123456", "VIN [VIN_1]"),
     ("номер А123ВС77", "номер [PLATE_1]"),
     ("сайт www.site.ru/abc.", "сайт [URL_1]."),
@@ -29,7 +31,7 @@ MASKED = [
 ]
 KEPT = [
     "A 213 885 14 00", "цена 15000 руб", "г.Москва", "4111 1111 1111 1112", "A 960 880 01 05",
-    "1234567", "артикул 2138851400", "2019-2021", "", "без номера",
+    "А000ВС77", "А123ВС00", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "1234567", "артикул 2138851400", "2019-2021", "", "без номера",
 ]
 
 
