@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from partsight.plans import registry
-from partsight.plans import catalog, history, inventory, policy, profile, state, streams, text, traffic  # noqa: F401  (registration on import)
+from partsight.plans import catalog, commerce, history, inventory, policy, profile, state, streams, text, traffic  # noqa: F401  (registration on import)
 
 
 def queries():
