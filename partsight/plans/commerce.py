@@ -1,11 +1,15 @@
-"""Queries of selling."""
+"""Queries of selling."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 
+from partsight.operators.facts import FIRST_HAND_KINDS, FRESH_SECONDS, ruling_facts
 from partsight.operators.holds import hold_requests
 from partsight.operators.reconcile import TOLERANCE_SECONDS, reconcile_sends
+from partsight.operators.retention import drop_deleted, past_retention
 from partsight.plans.registry import query
 from partsight.sources.commerce import OWN_ID, SHOP_ITEMS, SHOPS
 from partsight.sources.domain import Domain, with_domain
@@ -59,3 +63,41 @@ _FREE = ", ".join(f"coalesce(max(available - held) FILTER (item_id % {SHOP_ITEMS
 def multi_hold(d: Domain) -> DataFrame:
     """X06."""
     return hold_requests(d["hold_request"], d["hold_line"], d["hold_stock"], d["chat_hold"])
+
+
+_KINDS = ", ".join(f"'{k}'" for k in FIRST_HAND_KINDS)
+
+
+@query("fact_ruling", with_domain("fact", f""",
+    said AS (SELECT topic, level, fact_id, valid_from, CASE WHEN level = 1 THEN least(valid_to, valid_from + INTERVAL {FRESH_SECONDS} SECOND) ELSE valid_to END AS valid_to,
+      level < 5 AND (level = 1 OR kind NOT IN ({_KINDS})) AS hears FROM fact),
+    good AS (SELECT * FROM said WHERE valid_to IS NULL OR valid_to > valid_from),
+    times AS (SELECT topic, valid_from AS since FROM good UNION SELECT topic, valid_to FROM good WHERE hears AND valid_to IS NOT NULL),
+    last AS (SELECT t.topic, since, level, max((valid_from, fact_id, valid_to)) AS f FROM times t JOIN good g ON g.topic = t.topic AND valid_from <= since AND hears
+      GROUP BY t.topic, since, level),
+    top AS (SELECT topic, since, min((level, f[2])) AS r FROM last WHERE f[3] IS NULL OR f[3] > since GROUP BY topic, since),
+    line AS (SELECT t.topic, t.since, r[1] AS level, r[2] AS fact_id, row_number() OVER w AS n, lag(r[2]) OVER w AS before
+      FROM times t LEFT JOIN top ON top.topic = t.topic AND top.since = t.since WINDOW w AS (PARTITION BY t.topic ORDER BY t.since))
+    SELECT topic, since, CAST(level AS INTEGER) AS level, fact_id FROM line WHERE n = 1 OR before IS DISTINCT FROM fact_id"""))
+def fact_ruling(d: Domain) -> DataFrame:
+    """X13."""
+    return ruling_facts(d["fact"])
+
+
+@query("deleted_dropped", with_domain("kept_message message_stone chat_stone", """
+    SELECT message_id, chat_id, class, created_at, text FROM kept_message
+    WHERE sha256(CAST(message_id AS STRING)) NOT IN (SELECT sha256 FROM message_stone) AND sha256(CAST(chat_id AS STRING)) NOT IN (SELECT sha256 FROM chat_stone)"""))
+def deleted_dropped(d: Domain) -> DataFrame:
+    """Tombstones."""
+    return drop_deleted(d["kept_message"], d["message_stone"], d["chat_stone"])
+
+
+_AS_OF = "2024-01-08 12:00:00"
+
+
+@query("retention_due", with_domain("kept_message keep_policy", f"""
+    SELECT message_id, m.class, created_at FROM kept_message m JOIN keep_policy p ON p.class = m.class
+    WHERE created_at + to_days(CAST(keep_days AS INTEGER)) <= TIMESTAMP '{_AS_OF}'"""))
+def retention_due(d: Domain) -> DataFrame:
+    """Retention."""
+    return past_retention(d["kept_message"].select("message_id", "class", "created_at"), d["keep_policy"], datetime.fromisoformat(_AS_OF))

@@ -62,3 +62,44 @@ def _hold_stock(d: Dialect) -> str:
 @binding("chat_hold", "hold_request")
 def _chat_hold(d: Dialect) -> str:
     return f"SELECT DISTINCT chat_id, 1 AS n FROM {d.ref('hold_request')} WHERE chat_id % 41 = 0"
+
+
+_TOPIC = "CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END"
+
+
+@binding("fact", "orders")
+def _fact(d: Dialect) -> str:
+    """What is said about topics, a third of it about topic 0; the topic decides the kind."""
+    start = f"{d.secs('o_orderdate')} + (o_orderkey % 5) * 600"
+    return f"""SELECT o_orderkey AS fact_id, {_TOPIC} AS topic, CASE WHEN ({_TOPIC}) % 4 = 1 THEN 'price' ELSE 'policy' END AS kind,
+      1 + o_orderkey % 5 AS level, {d.ts(start)} AS valid_from, CASE WHEN o_orderkey % 4 > 0 THEN {d.ts(f'{start} + (o_orderkey % 90) * 43200')} END AS valid_to
+      FROM {d.ref('orders')}"""
+
+
+@binding("kept_message", "events")
+def _kept_message(d: Dialect) -> str:
+    return f"SELECT event_id AS message_id, user_id AS chat_id, event_type AS class, ts AS created_at, props AS text FROM {d.ref('events')}"
+
+
+def _sha(d: Dialect, column: str) -> str:
+    return f"sha2(CAST({column} AS STRING), 256)" if d.spark else f"sha256(CAST({column} AS STRING))"
+
+
+@binding("message_stone", "events")
+def _message_stone(d: Dialect) -> str:
+    """Tombstones of one in seventeen messages, some twice."""
+    ref = d.ref("events")
+    return f"""SELECT {_sha(d, 'event_id')} AS sha256 FROM {ref} WHERE event_id % 17 = 0
+      UNION ALL SELECT {_sha(d, 'event_id')} FROM {ref} WHERE event_id % 51 = 0"""
+
+
+@binding("chat_stone", "events")
+def _chat_stone(d: Dialect) -> str:
+    return f"SELECT DISTINCT {_sha(d, 'user_id')} AS sha256 FROM {d.ref('events')} WHERE user_id % 29 = 0"
+
+
+@binding("keep_policy", "events")
+def _keep_policy(d: Dialect) -> str:
+    """Days that each class is kept; errors for ever, clicks without a policy."""
+    return f"""SELECT DISTINCT event_type AS class, CASE WHEN event_type <> 'error' THEN length(event_type) END AS keep_days
+      FROM {d.ref('events')} WHERE event_type <> 'click'"""

@@ -1,7 +1,8 @@
-"""X04, X06 and running totals against plain Python: hot keys, ties, nulls, chains, empty tables."""
+"""X04, X06, X12, X13 and running totals against plain Python: hot keys, ties, nulls, chains, empty tables."""
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -9,9 +10,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from partsight.operators.facts import ruling_facts
 from partsight.operators.holds import hold_requests
 from partsight.operators.ordered import dealt, running
 from partsight.operators.reconcile import reconcile_sends
+from partsight.operators.retention import drop_deleted, past_retention
 
 START = datetime(2024, 1, 1)
 SENDS = "outbox_id long, chat_id long, kind string, text string, intent_at timestamp, created_at timestamp"
@@ -153,3 +156,65 @@ def test_a_chain_of_requests_that_hang_on_each_other(spark):
     assert [got[i][0] for i in range(n)] == ["held", "stock"] * 3
     assert _held(spark, [], lines, stock, [], 1) == {}
     assert _held(spark, requests, [], stock, [], 1) == {i: ("invalid", None, 0) for i in range(n)}
+
+
+FACTS = "fact_id long, topic string, kind string, level int, valid_from timestamp, valid_to timestamp"
+
+
+def _rules_at(facts, at, fresh):
+    """The fact that rules one topic at one time."""
+    best = None
+    for level in (1, 2, 3, 4):
+        begun = [(f, i, t) for i, kind, n, f, t in facts if n == level and f <= at and (n == 1 or kind not in ("price", "stock", "hold", "order"))]
+        if begun and best is None:
+            _, i, end = max(begun, key=lambda b: b[:2])
+            if end is None or end > at:
+                best = (level, i)
+    return best or (None, None)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_facts_rule_as_asked_at_every_time(spark, seed):
+    rnd, fresh = random.Random(seed), timedelta(seconds=7)
+    at = lambda: START + timedelta(seconds=rnd.randrange(80))
+    topics = {"hot": "policy", "dear": "price", "few": None, "late": "stock"}
+    rows = []
+    for i in range(260):
+        topic = rnd.choice(["hot", "hot", "dear", "few", "late", None])
+        rows.append((i, topic, topics.get(topic), rnd.choice([1, 2, 2, 3, 4, 5, 9, None]), rnd.choice([at(), at(), None]), rnd.choice([None, at(), at()])))
+    rows.append((999, "style", "policy", 5, START, None))
+    got = defaultdict(list)
+    for r in ruling_facts(spark.createDataFrame(rows, FACTS).withColumns({"bucket": F.lit(1), "start": F.lit(2)}).repartition(4), 7).collect():
+        got[r.topic].append((r.since, r.level, r.fact_id))
+    known = defaultdict(list)
+    for i, topic, kind, level, start, end in rows:
+        if topic and level and start:
+            end = min(filter(None, (end, start + fresh))) if level == 1 else end
+            if end is None or end > start:
+                known[topic].append((i, kind, level, start, end))
+    want = {}
+    for topic, facts in known.items():
+        want[topic], before = [], None
+        for second in range(-1, 200):
+            now = START + timedelta(seconds=second)
+            rules = _rules_at(facts, now, fresh)
+            if now >= min(f[3] for f in facts) and rules != before:
+                want[topic].append((now, *rules))
+                before = rules
+    assert {t: sorted(v, key=lambda r: r[0]) for t, v in got.items()} == want
+    assert ruling_facts(spark.createDataFrame([], FACTS)).count() == 0
+
+
+def test_deleted_stays_deleted_and_time_runs_out(spark):
+    sha = lambda v: hashlib.sha256(str(v).encode()).hexdigest()
+    messages = [(i if i % 7 else None, i % 5 if i % 11 else None, "x" * i) for i in range(60)] * 2
+    df = spark.createDataFrame(messages, "message_id long, chat_id long, sha256 string").repartition(3)
+    stones = spark.createDataFrame([(sha(i),) for i in (1, 2, 2, 30, 500)] + [(None,)], "sha256 string")
+    chats = spark.createDataFrame([(sha(3),)], "sha256 string")
+    got = Counter(tuple(r) for r in drop_deleted(df, stones, chats).collect())
+    assert got == Counter(m for m in messages if m[0] not in (1, 2, 30) and m[1] != 3)
+    assert drop_deleted(df, stones.where("false"), chats.where("false")).count() == len(messages)
+    records = [(i, rnd, START + timedelta(days=i)) for i in range(6) for rnd in ("raw", "hook", "audit", None)] + [(9, "raw", None)]
+    policy = spark.createDataFrame([("raw", 3), ("raw", 9), ("hook", 0), ("audit", None)], "class string, keep_days int")
+    due = past_retention(spark.createDataFrame(records, "id long, class string, created_at timestamp"), policy, START + timedelta(days=4))
+    assert {(r.id, r["class"]) for r in due.collect()} == {(0, "raw"), (1, "raw"), *((i, "hook") for i in range(5))}
