@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from partsight.llm.common import stepped
 
 BUCKETS = 2048
-#: Bounds of training: documents over all languages, and languages (the most frequent).
-TRAINING_DOCS, MAX_LANGUAGES = 4000, 200
+#: Bound of training: documents over all languages. Beyond so many languages each still has one document.
+TRAINING_DOCS = 4000
+#: Parts that the keys of a language are dealt to.
+PARTS = 256
 #: Language codes by family. Any other code is a family of its own.
 FAMILIES = {
     "germanic": "en de nl af fy lb yi da no nb nn sv is fo",
@@ -93,24 +95,25 @@ def train(
     text: str = "text",
     lang: str = "lang",
     training_docs: int = TRAINING_DOCS,
-    max_languages: int = MAX_LANGUAGES,
 ) -> Model:
     """A model from text and language of ``docs`` (null language, key or text: not learned from).
 
-    A sample of ``training_docs`` rows at most, spread over the languages by the hash of the key;
-    whole texts. Without any language the model predicts ``und``.
+    Every language is learned. A sample of ``training_docs`` rows, or one a language if there are more of
+    them, spread over the languages by the hash of the key; whole texts. The smallest hashes are found in
+    ``PARTS`` parts of a language first, so that a language with most rows is not ranked in one task.
+    Without any language the model predicts ``und``.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(key, lang)
-    top = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
-    if not top:
+    languages = known.select(lang).distinct().count()
+    if not languages:
         return Model([], {}, np.zeros((BUCKETS + 1, 0), np.float32), {})
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key, F.lit("language")), key)
-    chosen = (
-        known.where(F.col(lang).isin([r[lang] for r in top]))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= max(1, training_docs // len(top)))
-        .select(key, lang)
-    )
+    quota = max(1, training_docs // languages)
+    chosen = known.withColumns({"drawn": F.xxhash64(key, F.lit("language")), "part": F.pmod(F.xxhash64(key), F.lit(PARTS))})
+    for group in ([lang, "part"], [lang]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("drawn", key))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= quota).drop("place")
+    chosen = chosen.select(key, lang)
+
     schema = T.StructType([T.StructField(lang, T.StringType()), T.StructField("x", T.BinaryType())])
 
     def step(batches):
@@ -120,7 +123,7 @@ def train(
                 [batch.column(lang), pa.array([r.astype(np.float16).tobytes() for r in found], pa.binary())], [lang, "x"]
             )
 
-    # chosen has training_docs rows at most
+    # chosen has training_docs rows, or one a language
     rows = docs.select(key, text).join(F.broadcast(chosen.distinct()), key).select(lang, text).mapInArrow(step, schema).collect()
     rows.sort(key=lambda r: (r[lang], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), BUCKETS)

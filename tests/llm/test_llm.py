@@ -216,6 +216,14 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_every_language_is_learned(spark):
+    codes = [f"x{i:03}" for i in range(230)]
+    known = spark.createDataFrame([(i, f"{code} " * 9, code) for i, code in enumerate(codes)] + [(i, "most of all", "en") for i in range(300, 900)], "doc_id long, text string, lang string")
+    model = language.train(known, training_docs=460)
+    assert sorted(code for members in model.members.values() for code in members) == sorted([*codes, "en"])
+    assert language.train(known.where("lang < 'x003'"), training_docs=2).members.keys() >= {"own:x000", "own:x002"}
+
+
 def test_language_without_letters_or_learning(spark):
     texts = [None, "", "123 !?", "the cat", "der hund"]
     known = docs(spark, [words(i, 60) for i in range(6)]).withColumn("lang", F.when(F.col("doc_id") < 3, "xx").otherwise("de"))
