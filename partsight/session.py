@@ -24,6 +24,9 @@ _LOCAL_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: The temporary folders of local applications: a running session takes no value for spark.checkpoint.dir.
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def local_session(app: str = "partsight", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench."""
@@ -38,14 +41,15 @@ def local_session(app: str = "partsight", cpus: int | str = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only when the cluster names none (local tests) is a temporary folder set.
+    Only when none is named (local tests) is a temporary folder made, one for each application.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(application)
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="partsight-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", named)
+        _LOCAL_DIRS[application] = named
     return named
 
 
