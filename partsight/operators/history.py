@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partsight.operators.ordered import stored
+
 #: X11: rows of a range whose digests are compared before its rows are.
 ROWS_A_RANGE = 10_000
 #: Rows that one task counts inversions among, and the most blocks and ranges of a list.
@@ -153,8 +155,9 @@ def _later_smaller(values: np.ndarray, groups: np.ndarray | None = None) -> int:
     whole = count(values)
     if groups is None:
         return whole
-    cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
-    return whole - sum(count(part) for part in np.split(values, cuts))
+    # Lifted by their group, values of different groups are in order: what is left are the pairs of one group.
+    places, ranks = (np.unique(x, return_inverse=True)[1] for x in (groups, values))
+    return whole - count(places * (len(values) + 1) + ranks)
 
 
 def inversions(rows: DataFrame, list_key: str, position: str, value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -167,9 +170,9 @@ def inversions(rows: DataFrame, list_key: str, position: str, value: str, block_
     holds more than a block or a range. Values that are a bound of a range are a range of their own, as
     equal values have no inversions. Null values are left out.
     """
-    given = rows.where(F.col(value).isNotNull()).select(
+    given = stored(rows.where(F.col(value).isNotNull()).select(
         F.col(list_key).alias("list"), F.col(position).cast("long").alias("at"), F.col(value).alias("value")
-    )
+    ), "given")
     sizes = given.groupBy("list").agg(F.count(F.lit(1)).alias("n"), (F.max("at") + 1).alias("span"))
     blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / block_rows)).cast("int")
     sized = sizes.withColumn("blocks", F.greatest(blocks, F.lit(1)))
@@ -180,9 +183,11 @@ def inversions(rows: DataFrame, list_key: str, position: str, value: str, block_
     chosen = F.array_distinct(F.filter("bounds", lambda b, i: (i + 1) % F.ceil(F.lit(MOST_BLOCKS) / F.col("blocks")) == 0))
     bounds = sketched.select("list", chosen.alias("bounds"))
     cut = ranked.join(bounds, "list", "left").withColumn("bounds", F.coalesce("bounds", F.array().cast(bounds.schema["bounds"].dataType)))
-    below = F.size(F.filter("bounds", lambda b: b < F.col("value")))
-    on = F.array_contains("bounds", F.col("value")).cast("int")
-    cells = cut.withColumn("range", 2 * below + on).select("list", "at", "value", "block", "range")
+    # Bounds below the value, by halving: comparing with each would cost a row up to a thousand steps.
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(MOST_BLOCKS.bit_length()))))
+    below = F.aggregate(halves, F.lit(0), lambda n, half: F.when(F.get("bounds", n + half - 1) < F.col("value"), n + half).otherwise(n))
+    placed = cut.withColumn("below", below).withColumn("on", F.coalesce(F.get("bounds", "below") == F.col("value"), F.lit(False)).cast("int"))
+    cells = stored(placed.select("list", "at", "value", "block", (2 * F.col("below") + F.col("on")).alias("range")), "cells")
 
     within = _counted(cells, ["list", "block"], spans=False)
     across = _counted(cells.where("range % 2 = 0").join(sized.where("blocks > 1").select("list"), "list", "left_semi"), ["list", "range"], spans=True)

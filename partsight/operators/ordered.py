@@ -15,15 +15,19 @@ from partsight.session import run_dir
 BUCKET = "bucket"
 
 
+def stored(rows: DataFrame, what: str = "rows") -> DataFrame:
+    """``rows`` written to the shared folder once, for callers that read them several times."""
+    spark, path = rows.sparkSession, run_dir(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def dealt(rows: DataFrame, keys: list[str], order: list[str], what: str = "ordered") -> DataFrame:
     """``rows`` stored in the shared folder with ``bucket``, which does not fall along keys and order.
 
     Stored, because the ranges come from a sample: taken twice they could differ.
     """
-    spark, path = rows.sparkSession, run_dir(rows.sparkSession, what)
-    cut = rows.repartitionByRange(*keys, *order).withColumn(BUCKET, F.spark_partition_id())
-    cut.write.parquet(path)
-    return spark.read.schema(cut.schema).parquet(path)
+    return stored(rows.repartitionByRange(*keys, *order).withColumn(BUCKET, F.spark_partition_id()), what)
 
 
 def running(

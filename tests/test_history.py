@@ -6,12 +6,14 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from partsight.operators import history as hs
 from partsight.operators import similarity as sm
 from partsight.operators.numbering import last_at_or_before
+from partsight.sources.domain import Domain
 from partsight.sources.history import ALLOWED
 
 START = datetime(2024, 1, 1)
@@ -136,3 +138,33 @@ def test_similar_sets_lose_no_pair(spark):
     got = {(r.left_key, r.right_key) for r in sm.similar_sets(df, df, 70).collect()}
     assert got == {(str(i), str(j)) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len({*a} & {*b}) >= 70 * len({*a} | {*b})}
     assert sm.digit_runs(F.lit("a12b3")) is not None
+
+
+def test_positions_number_each_list_without_gaps(spark, tmp_path):
+    """Rows of several thousands of orders, some without an order or a supplier; the plan numbers no whole list."""
+    rnd = random.Random(3)
+    some = lambda n: None if rnd.random() < 0.05 else rnd.randrange(n)
+    rows = [(some(5000), rnd.randrange(1, 8), START + timedelta(days=rnd.randrange(300)), some(50), some(80)) for _ in range(900)]
+    schema = "l_orderkey long, l_linenumber int, l_shipdate timestamp, l_partkey long, l_suppkey long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    listed = Domain(spark, str(tmp_path))["listed"]
+    want, n = [], {}
+    for r in sorted(rows, key=lambda r: [(v is not None, 0 if v is None else v) for v in r[:2]] + [(True, r[2])] + [(v is not None, v or 0) for v in r[3:]]):
+        key = 0 if r[4] is not None and r[4] % 4 > 0 else None if r[4] is None else r[4] % 40
+        want.append((key, n.get(key, 0), int((r[2] - datetime(1970, 1, 1)).total_seconds())))
+        n[key] = n.get(key, 0) + 1
+    assert sorted(map(tuple, listed.collect()), key=str) == sorted(want, key=str)
+    whole = [line for line in listed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line and "Window" in line]
+    assert whole and all("thousand" in line for line in whole)
+
+
+def test_a_value_finds_its_range_by_halving(spark):
+    """Ten blocks of a list with repeated, negative and equal values; each row compares with few bounds."""
+    rnd = random.Random(8)
+    values = [rnd.choice([-5, 0, 0, 7, rnd.randrange(-300, 300)]) for _ in range(1000)]
+    df = spark.createDataFrame([("x", i, v) for i, v in enumerate(values)], "list string, position long, v long")
+    found = hs.inversions(df, "list", "position", "v", block_rows=100)
+    assert found.collect()[0].inversions == sum(values[i] > values[j] for j in range(1000) for i in range(j))
+    groups = np.sort(np.array([rnd.randrange(30) for _ in values]))
+    want = sum(values[i] > values[j] and groups[i] != groups[j] for j in range(1000) for i in range(j))
+    assert hs._later_smaller(np.array(values), groups) == want
