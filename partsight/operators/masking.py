@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partsight.functions import pii
 from partsight.functions.spans import explode_rows, spans_sql, unicode_regex
 from partsight.functions.text import to_original, with_views
+from partsight.operators.joins import shuffled
 
 
 def route_oversize(rows: DataFrame, limit: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -109,4 +110,4 @@ def match_part_numbers(candidates: DataFrame, oems: DataFrame, id_column: str) -
     long = explode_rows(candidates, F.col("candidates"), "c", id_column).select(
         id_column, "c.key", "c.start", "c.end"
     )
-    return long.join(oems.select(F.col("oem_key").alias("key"), "sku").distinct(), "key")
+    return long.join(shuffled(oems.select(F.col("oem_key").alias("key"), "sku").distinct()), "key")
