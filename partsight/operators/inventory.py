@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partsight.functions.keys import oem_key, sku_key, text_key, title_key
+from partsight.operators.joins import shuffled
+from partsight.operators.ordered import stored
 
 STOCK_MAX_AGE = "INTERVAL '15' MINUTE"
 PRICE_MAX_AGE = "INTERVAL '15' MINUTE"
@@ -211,7 +213,7 @@ def _applicable_specs(requests: DataFrame, fitments: DataFrame) -> DataFrame:
         for a in rest:
             some = some.where(F.col(f"q_{a}").isNull())
         keys = specs.select("sku", *given).distinct()
-        hit = some.join(keys, [F.col(f"q_{a}") == F.col(a) for a in given]).select(
+        hit = some.join(shuffled(keys), [F.col(f"q_{a}") == F.col(a) for a in given]).select(
             *[f"q_{a}" for a in _VEHICLE], "sku"
         )
         found = hit if found is None else found.unionByName(hit)
@@ -234,11 +236,11 @@ def vehicle_basis(pairs: DataFrame, fitments: DataFrame) -> DataFrame:
         agrees = one if agrees is None else agrees & one
     given = F.coalesce(*[F.col(f"q_{a}") for a in _VEHICLE]).isNotNull()
     flags = (
-        pairs.join(specs, "sku_product", "left")
+        pairs.join(shuffled(specs), "sku_product", "left")
         .groupBy("query_id", "sku_product")
         .agg(F.bool_or(F.coalesce(agrees & F.col("s_make").isNotNull(), F.lit(False))).alias("in_catalog"))
     )
-    return pairs.join(flags, ["query_id", "sku_product"]).withColumns(
+    return pairs.join(shuffled(flags), ["query_id", "sku_product"]).withColumns(
         {
             "vehicle_given": given,
             "catalog_applicability": given & F.col("in_catalog"),
@@ -258,13 +260,14 @@ def search_products(
     criteria filter the few pairs it leaves. Requests that name a vehicle only start from the
     catalogue applicability join and the title substrings (``title_mentions``).
     """
-    q = requests.select(
+    # Stored, as every branch below starts from the requests: the plan would hold them dozens of times.
+    q = stored(requests.select(
         "query_id",
         sku_key(F.col("sku")).alias("q_sku"),
         oem_key(F.col("oem_number")).alias("q_oem"),
         *[text_key(F.col(a)).alias(f"q_{a}") for a in _VEHICLE],
         F.col("part_type").alias("q_part_type"),
-    )
+    ), "requests")
     p = products.select(
         F.col("sku").alias("sku_product"), sku_key(F.col("sku")).alias("p_sku"), "title", "part_type"
     )
@@ -272,15 +275,15 @@ def search_products(
         F.col("sku").alias("sku_product"), oem_key(F.col("oem_number")).alias("p_oem")
     ).distinct()
 
-    by_sku = q.where(F.col("q_sku").isNotNull()).join(p, F.col("q_sku") == F.col("p_sku"))
+    by_sku = q.where(F.col("q_sku").isNotNull()).join(shuffled(p), F.col("q_sku") == F.col("p_sku"))
     also = by_sku.where(F.col("q_oem").isNotNull()).join(
-        keys.withColumnRenamed("p_oem", "q_oem"), ["sku_product", "q_oem"], "left_semi"
+        shuffled(keys.withColumnRenamed("p_oem", "q_oem")), ["sku_product", "q_oem"], "left_semi"
     )
     first = by_sku.where(F.col("q_oem").isNull()).unionByName(also.select(*by_sku.columns))
     by_oem = (
         q.where(F.col("q_sku").isNull() & F.col("q_oem").isNotNull())
-        .join(keys, F.col("q_oem") == F.col("p_oem"))
-        .join(p, "sku_product")
+        .join(shuffled(keys), F.col("q_oem") == F.col("p_oem"))
+        .join(shuffled(p), "sku_product")
         .select(*by_sku.columns)
     )
     only = q.where(
@@ -297,11 +300,11 @@ def search_products(
         one = F.col(f"o.{a}").eqNullSafe(F.col(f"s.{a}"))
         same = one if same is None else same & one
     by_vehicle = (
-        only.alias("o").join(start.alias("s"), same).select("o.*", "s.sku_product")
-        .join(p, "sku_product").select(*by_sku.columns)
+        only.alias("o").join(shuffled(start).alias("s"), same).select("o.*", "s.sku_product")
+        .join(shuffled(p), "sku_product").select(*by_sku.columns)
     )
     pairs = first.unionByName(by_oem).unionByName(by_vehicle)
-    pairs = pairs.where(F.col("q_part_type").isNull() | (F.col("q_part_type") == F.col("part_type")))
+    pairs = stored(pairs.where(F.col("q_part_type").isNull() | (F.col("q_part_type") == F.col("part_type"))), "pairs")
     judged = vehicle_basis(pairs, fitments)
     hits = judged.where(
         ~F.col("vehicle_given") | F.col("catalog_applicability") | F.col("title_mention")
@@ -346,6 +349,6 @@ def title_mentions(requests: DataFrame, products: DataFrame) -> DataFrame:
             )
         ).alias("piece"),
     )
-    return codes.join(pieces, F.col("q_chassis_code") == F.col("piece")).select(
+    return codes.join(shuffled(pieces), F.col("q_chassis_code") == F.col("piece")).select(
         *attrs, "sku_product"
     )

@@ -283,8 +283,10 @@ def _sku_request(d: Dialect) -> str:
 @binding("search_request", "customer", "product_oem", "product", "vehicle")
 def _search_request(d: Dialect) -> str:
     """Searches: by SKU, by part number, some with vehicle and type criteria on top."""
+    # Each side grows with the input and passes for small: nothing is to be broadcast.
+    hint = "/*+ MERGE(p, o) */ " if d.spark else ""
     return f"""
-    SELECT v.vehicle_id AS query_id,
+    SELECT {hint}v.vehicle_id AS query_id,
            CASE WHEN v.vehicle_id % 2 = 0 THEN lower(p.sku) END AS sku,
            CASE WHEN v.vehicle_id % 2 = 1 OR v.vehicle_id % 6 = 0 THEN o.oem_number END
                AS oem_number,
