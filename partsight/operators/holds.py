@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partsight.operators.ordered import dealt, running
+from partsight.operators.ordered import dealt, running, stored
 from partsight.session import run_dir
 
 #: Holds that a conversation may have open.
 CHAT_LIMIT = 1
+#: Requests that are settled first, and how many times as many each time after that.
+FRONT, GROWTH = 20_000, 16
 _KEYS, _ORDER = ["resource", "key"], ["at", "request_id"]
 _OPEN, _HELD, _REFUSED = 0, 1, 2
 
@@ -32,7 +34,9 @@ def hold_requests(requests: DataFrame, lines: DataFrame, stock: DataFrame, chat_
     the lower bound somewhere is refused; the first open one is always settled. A round is two running
     sums and one aggregate, each over rows of resources that still have open requests. Bounds close from
     the front and, once a resource is used up, for all behind at once; rounds follow the longest chain of
-    requests that hang on each other, not the length of a hot item's queue.
+    requests that hang on each other, not the length of a hot item's queue. The earliest requests are
+    settled first, in rounds over their rows alone; what they took refuses in one pass all later ones that
+    ask for more than is left, and the rest, if there is one, goes on with a longer front.
     """
     spark = requests.sparkSession
     per_item = lines.groupBy("request_id", "item_id").agg(F.sum("qty").alias("qty"), F.bool_and(F.coalesce(F.col("qty") > 0, F.lit(False))).alias("good"))
@@ -53,30 +57,35 @@ def hold_requests(requests: DataFrame, lines: DataFrame, stock: DataFrame, chat_
     items = valid.join(per_item.select("request_id", "item_id", "qty"), "request_id").join(left, "item_id", "left")
     chats = valid.join(chat_holds.select("chat_id", "n"), "chat_id", "left")
     demands = dealt(
-        demand(items, "item", "item_id", F.col("qty"), F.coalesce("left", F.lit(0)))
-        .unionByName(demand(chats, "chat", "chat_id", F.lit(1), limit - F.coalesce("n", F.lit(0))))
-        .unionByName(demand(valid, "confirmation", "confirmation_id", F.lit(1), F.lit(1))),
+        stored(
+            demand(items, "item", "item_id", F.col("qty"), F.coalesce("left", F.lit(0)))
+            .unionByName(demand(chats, "chat", "chat_id", F.lit(1), limit - F.coalesce("n", F.lit(0))))
+            .unionByName(demand(valid, "confirmation", "confirmation_id", F.lit(1), F.lit(1))), "demands",
+        ),
         _KEYS, _ORDER, "demands",
     )
 
-    folder, rounds, rows = run_dir(spark, "holds"), [], demands.withColumn("state", F.lit(_OPEN))
+    rest, size, holding = _able(demands), FRONT, None
     while True:
-        path = f"{folder}/round={len(rounds)}"
-        tightened = _round(rows)
-        tightened.write.parquet(path)
-        rounds.append(spark.read.schema(tightened.schema).parquet(path))
-        rows = rounds[-1].where(F.col("state") != _REFUSED).drop("settled")
-        busy = rows.where(F.col("state") == _OPEN).select(*_KEYS).distinct()
-        if busy.isEmpty():
+        # Every valid request has one place in a confirmation's line.
+        places = rest.where(F.col("resource") == "confirmation")
+        n = places.count()
+        if n > size:
+            last = places.agg(F.percentile_approx("at", size / n)).first()[0]
+            front, rest = rest.where(F.col("at") <= F.lit(last)), rest.where(F.col("at") > F.lit(last))
+        else:
+            front, rest = rest, None
+        held = _settled(front)
+        holding = held if holding is None else holding.unionByName(held)
+        if rest is None:
             break
-        rows = rows.join(busy, _KEYS, "left_semi")
+        took = held.groupBy(*_KEYS).agg(F.sum("qty").alias("took"))
+        rest = _able(rest.join(took, _KEYS, "left").withColumn("free", F.col("free") - F.coalesce("took", F.lit(0))).drop("took"))
+        size *= GROWTH
 
-    # Every valid request has one place in a confirmation's line: its row tells the outcome.
-    settled = None
-    for done in rounds:
-        part = done.where((F.col("resource") == "confirmation") & F.col("settled")).select("request_id", F.col("key").alias("confirmation"), (F.col("state") == _HELD).alias("held"))
-        settled = part if settled is None else settled.unionByName(part)
-    taken = running(demands.join(settled.select("request_id", "held"), "request_id"), _KEYS, _ORDER, sums={"used": F.when(F.col("held"), F.col("qty")).otherwise(0)})
+    holders = holding.where(F.col("resource") == "confirmation").select("request_id", F.col("key").alias("confirmation"))
+    told_held = demands.join(holders.select("request_id", F.lit(True).alias("held")), "request_id", "left").fillna(False, ["held"])
+    taken = running(told_held, _KEYS, _ORDER, sums={"used": F.when(F.col("held"), F.col("qty")).otherwise(0)})
     short = F.col("free") - F.col("used") < F.col("qty")
 
     def lacks(resource: str) -> Column:
@@ -85,7 +94,7 @@ def hold_requests(requests: DataFrame, lines: DataFrame, stock: DataFrame, chat_
     reasons = taken.groupBy("request_id").agg(
         F.first("held").alias("held"), lacks("confirmation").alias("again"), lacks("chat").alias("full"), F.count_if(short & (F.col("resource") == "item")).alias("n_short")
     )
-    holds = settled.where("held").select("confirmation", F.col("request_id").alias("hold_id"))
+    holds = holders.withColumnRenamed("request_id", "hold_id")
     told = checked.join(reasons, "request_id", "left").join(holds, F.col("confirmation_id").cast("string") == F.col("confirmation"), "left")
     status = F.when(~F.col("good"), "invalid").when(F.col("held"), "held").when(F.col("again"), "existing").when(F.col("full"), "limit").otherwise("stock")
     return told.select(
@@ -93,6 +102,33 @@ def hold_requests(requests: DataFrame, lines: DataFrame, stock: DataFrame, chat_
     )
 
 
+def _able(rows: DataFrame) -> DataFrame:
+    """The rows, stored, of requests that ask for no more than is free anywhere."""
+    beyond = rows.where(F.col("free") < F.col("qty")).select("request_id").distinct()
+    return stored(rows.join(beyond, "request_id", "left_anti"), "able")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """resource, key, request_id, qty of the requests held, when nothing was taken before these rows."""
+    spark, folder, rounds = rows.sparkSession, run_dir(rows.sparkSession, "holds"), []
+    rows = rows.withColumn("state", F.lit(_OPEN))
+    while True:
+        path = f"{folder}/round={len(rounds)}"
+        tightened = _round(rows)
+        tightened.write.parquet(path)
+        rounds.append(spark.read.schema(tightened.schema).parquet(path))
+        rows = rounds[-1].where(F.col("state") != _REFUSED).drop("settled")
+        busy = rows.where(F.col("state") == _OPEN).select(*_KEYS).distinct()
+        if busy.isEmpty():
+            break
+        rows = rows.join(busy, _KEYS, "left_semi")
+    held = None
+    for done in rounds:
+        part = done.where(F.col("settled") & (F.col("state") == _HELD)).select(*_KEYS, "request_id", "qty")
+        held = part if held is None else held.unionByName(part)
+    return stored(held, "held")
+
+
 def _round(rows: DataFrame) -> DataFrame:
     """One tightening of the bounds: new states, and whether this round settled the row."""
     held = F.col("state") == _HELD

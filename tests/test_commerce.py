@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from partsight.operators import holds
 from partsight.operators.facts import ruling_facts
 from partsight.operators.holds import hold_requests
 from partsight.operators.ordered import dealt, running
@@ -218,3 +219,18 @@ def test_deleted_stays_deleted_and_time_runs_out(spark):
     policy = spark.createDataFrame([("raw", 3), ("raw", 9), ("hook", 0), ("audit", None)], "class string, keep_days int")
     due = past_retention(spark.createDataFrame(records, "id long, class string, created_at timestamp"), policy, START + timedelta(days=4))
     assert {(r.id, r["class"]) for r in due.collect()} == {(0, "raw"), (1, "raw"), *((i, "hook") for i in range(5))}
+
+
+@pytest.mark.parametrize("front, growth", [(1, 2), (7, 3), (40, 16)])
+def test_holds_do_not_depend_on_the_length_of_the_front(spark, monkeypatch, front, growth):
+    """Several fronts, also of requests of one instant; scarce items refuse most of what comes later."""
+    monkeypatch.setattr(holds, "FRONT", front)
+    monkeypatch.setattr(holds, "GROWTH", growth)
+    fronts, settled = [], holds._settled
+    monkeypatch.setattr(holds, "_settled", lambda rows: fronts.append(rows) or settled(rows))
+    rnd = random.Random(front)
+    requests = [(i, rnd.choice([i, i - 1]), rnd.randrange(40), START + timedelta(minutes=rnd.randrange(30))) for i in range(90)]
+    lines = [(i, rnd.randrange(12), rnd.randint(1, 3)) for i in range(90) for _ in range(rnd.randint(1, 3))]
+    stock = [(k, rnd.randint(3, 60), rnd.randint(0, 2)) for k in range(12)]
+    assert _held(spark, requests, lines, stock, [(3, 1)], 2) == _serve(requests, lines, stock, [(3, 1)], 2)
+    assert len(fronts) > 1
