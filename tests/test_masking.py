@@ -122,3 +122,19 @@ def test_hostile_texts_finish(spark, text):
     start = time.perf_counter()
     assert mk.mask_texts(df).first().mask_status == "masked"
     assert time.perf_counter() - start < 8
+
+
+def test_a_batch_is_normalised_in_small_parts():
+    """Ten thousand texts of a batch are not held at once, and offsets are four bytes each."""
+    import pandas as pd
+
+    from partsight.functions import text as tx
+
+    texts = [None if i % 7 == 0 else "e​x１" * (i % 4) for i in range(1000)]
+    parts = list(tx._normalise_udf.func(iter([pd.Series(texts, dtype=object), pd.Series([], dtype=object)])))
+    assert len(parts) > 1 and max(map(len, parts)) <= tx._ROWS_AT_ONCE
+    rows = pd.concat(parts)
+    assert list(rows["text"]) == [None if t is None else "ex1" * (len(t) // 4) for t in texts]
+    third = rows.iloc[3]
+    assert third["starts"].itemsize == 4 and list(third["starts"]) == [0, 2, 3, 4, 6, 7, 8, 10, 11]
+    assert list(third["ends"]) == [1, 3, 4, 5, 7, 8, 9, 11, 12] and [s["start"] for s in third["hidden"]] == [1, 5, 9]
