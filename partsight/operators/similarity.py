@@ -26,16 +26,31 @@ def digit_runs(text: Column) -> Column:
 def _sets(texts: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Each text's set (id, set_key), and the sets (set_key, words)."""
     keyed = texts.select(F.col(id_column).alias("id"), F.array_sort(words_of(F.coalesce(F.col(text), F.lit("")))).alias("words")).where(F.size("words") > 0)
-    keyed = keyed.withColumn("set_key", F.sha2(F.concat_ws(" ", "words"), 256))
+    # 128 bits of the digest: pairs of keys are what most of the work writes.
+    keyed = keyed.withColumn("set_key", F.unhex(F.substring(F.sha2(F.concat_ws(" ", "words"), 256), 1, 32)))
     return keyed.select("id", "set_key"), keyed.groupBy("set_key").agg(F.first("words").alias("words"))
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
-    """set_key, size, word: the rarest words of each set, as many as two similar sets cannot avoid sharing."""
+    """set_key, size, word, place: the rarest words of each set, as many as two similar sets cannot avoid sharing."""
     long = sets.select("set_key", F.size("words").alias("size"), F.explode("words").alias("word")).join(ranks, "word")
     rarest = Window.partitionBy("set_key").orderBy("texts", "word")
     needed = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    return long.withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= needed).select("set_key", "size", "word")
+    return long.withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= needed).select("set_key", "size", "word", "place")
+
+
+def meeting_sets(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """left_key, right_key of the prefixes that share a word and can still have enough in common; pairs may repeat.
+
+    At the rarest word that both sets hold, they can have no more in common than it and what follows it in the
+    shorter rest.
+    """
+    a = left.select(F.col("set_key").alias("left_key"), F.col("size").alias("a"), "word", F.col("place").alias("a_place"))
+    b = right.select(F.col("set_key").alias("right_key"), F.col("size").alias("b"), "word", F.col("place").alias("b_place"))
+    most = 1 + F.least(F.col("a") - F.col("a_place"), F.col("b") - F.col("b_place"))
+    # common >= percent / 100 * (a + b - common)
+    enough = (100 + percent) * most >= percent * (F.col("a") + F.col("b"))
+    return a.join(b, "word").where((100 * F.least("a", "b") >= percent * F.greatest("a", "b")) & enough).select("left_key", "right_key")
 
 
 def similar_sets(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
@@ -46,10 +61,7 @@ def similar_sets(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """
     words = left.select(F.explode("words").alias("word")).unionByName(right.select(F.explode("words").alias("word")))
     ranks = words.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    a = _prefixes(left, ranks, percent).select(F.col("set_key").alias("left_key"), F.col("size").alias("a"), "word")
-    b = _prefixes(right, ranks, percent).select(F.col("set_key").alias("right_key"), F.col("size").alias("b"), "word")
-    fits = (100 * F.least("a", "b") >= percent * F.greatest("a", "b"))
-    pairs = a.join(b, "word").where(fits).select("left_key", "right_key").distinct()
+    pairs = meeting_sets(_prefixes(left, ranks, percent), _prefixes(right, ranks, percent), percent).distinct()
     common = F.size(F.array_intersect("left_words", "right_words"))
     checked = (
         pairs.join(left.select(F.col("set_key").alias("left_key"), F.col("words").alias("left_words")), "left_key")

@@ -168,3 +168,13 @@ def test_a_value_finds_its_range_by_halving(spark):
     groups = np.sort(np.array([rnd.randrange(30) for _ in values]))
     want = sum(values[i] > values[j] and groups[i] != groups[j] for j in range(1000) for i in range(j))
     assert hs._later_smaller(np.array(values), groups) == want
+
+
+def test_sets_that_cannot_share_enough_never_meet(spark):
+    """Pairs of sets are written by short keys, and only if the words from the first common one on can be enough."""
+    texts = spark.createDataFrame([(1, "a b c d e f g h i k"), (2, "z y x w e f g h i k")], "id long, text string")
+    _, sets = sm._sets(texts, "id", "text")
+    assert {r["n"] for r in sets.select(F.octet_length("set_key").alias("n")).collect()} == {16}
+    ranks = spark.createDataFrame([(w, i) for i, w in enumerate("abcdzyxwefghik")], "word string, texts long")
+    met = sm.meeting_sets(sm._prefixes(sets, ranks, 60), sm._prefixes(sets, ranks, 60), 60).where("left_key <> right_key")
+    assert met.count() == 0
