@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from partsight.functions.spans import explode_rows
 from partsight.functions import markdown as M
 from partsight.functions.values import safe_label, strip, unquote
+from partsight.session import spread
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -79,12 +80,15 @@ def decode(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
 
 
 def split_frontmatter(notes: DataFrame) -> DataFrame:
-    """Adds ``frontmatter`` (NULL if none), ``body`` and ``malformed`` (opened, never closed)."""
+    """Adds ``frontmatter`` (NULL if none), ``body`` and ``malformed`` (opened, never closed).
+
+    The notes are dealt over all cores first: what follows takes far longer than reading them.
+    """
     text = F.regexp_replace("text", r"\r\n?", "\n")
     opened = text.rlike(r"^[ \t]*---[ \t]*(?:\n|\z)")
     whole = r"(?s)^[ \t]*---[ \t]*\n(.*?)(?:(?<=\n)[ \t]*(?:---|\.\.\.)[ \t]*(?:\n|\z))(.*)\z"
     closed = opened & text.rlike(whole)
-    return notes.withColumns(
+    return spread(notes).withColumns(
         {
             "frontmatter": F.when(closed, F.regexp_extract(text, whole, 1)),
             "body": F.when(closed, F.regexp_extract(text, whole, 2)).otherwise(text),
@@ -224,7 +228,7 @@ def inline_fields(notes: DataFrame, *keep: str) -> DataFrame:
         M.inline_fields(F.col("b")),
         lambda p: F.struct(safe_label(F.trim(p["k"], F.lit("*_ "))).alias("key"), p["v"].alias("value")),
     )
-    rows = notes.withColumn("b", body).where(F.col("b").contains("::"))
+    rows = spread(notes).withColumn("b", body).where(F.col("b").contains("::"))
     return explode_rows(rows, every, "f", *keep).select(*keep, "f.key", "f.value")
 
 

@@ -119,3 +119,11 @@ def test_error_codes(spark):
              '{"code": "' + "y" * 80 + '"}': "y" * 64}
     df = spark.createDataFrame([(k,) for k in cases], "b string")
     assert {r.b: r.c for r in df.select("b", pg.error_code(F.col("b")).alias("c")).collect()} == cases
+
+
+def test_notes_of_one_partition_are_dealt_over_the_cores(spark):
+    notes = spark.createDataFrame([(i, f"---\nsku: {i}\n---\nsize:: {i}\n| a |\n|---|\n| {i} |\n") for i in range(640)], "note_id long, text string").coalesce(1)
+    bodies = nt.split_frontmatter(notes).withColumn("text", F.col("body"))
+    for rows in (nt.table_rows(bodies, "note_id"), nt.inline_fields(notes, "note_id")):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+        assert rows.count() == 640
