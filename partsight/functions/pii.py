@@ -145,8 +145,10 @@ def windows_sql(view: str) -> str:
         f"OR (w.n >= {P.CARD_DIGITS[0]} AND (w.four OR k = 0 OR first)))"
     )
     window = (
-        "struct(c.start + a.start AS start, c.start + get(g, i + k).`end` AS `end`, w.n AS n, w.gap AS gap, w.four AS four, k + 1 AS groups, "
-        "first, w.text AS text, before, IF(i + k + 1 < size(g), left(get(p, i + k + 1), 1), left(get(e, j + 1), 1)) AS after)"
+        "struct(c.start + a.start AS start, c.start + get(g, i + k).`end` AS `end`, w.n AS n, "
+        "IF(k = 0, 0, array_max(transform(sequence(1, k), x -> get(kinds, i + x)))) AS gap, w.four AS four, k + 1 AS groups, first, "
+        "array_join(transform(sequence(0, k), x -> concat(IF(x = 0, '', get(p, i + x)), get(g, i + x).text)), '') AS text, "
+        "before, IF(i + k + 1 < size(g), left(get(p, i + k + 1), 1), left(get(e, j + 1), 1)) AS after)"
     )
     none = f"CAST(array() AS array<{_WINDOW}>)"
     # How many of the windows that begin here have too few digits, and how many not too many: the others are never built.
@@ -156,11 +158,8 @@ def windows_sql(view: str) -> str:
         f"struct({n} AS n, acc.few + CAST({n} < {P.PHONE_DIGITS[0]} AS INT) AS few, acc.fit + CAST({n} <= {most} AS INT) AS fit))"
     )
     built = (
-        "get(transform(array(struct(aggregate(slice(l, i + 1, k + 1), 0, (x, y) -> x + y) AS n, "
-        "IF(k = 0, 0, array_max(slice(kinds, i + 2, k))) AS gap, "
-        f"forall(slice(l, i + 1, k + 1), x -> x = {P.CARD_GROUP}) AS four, "
-        f"array_join(transform(sequence(0, k), x -> concat(IF(x = 0, '', get(p, i + x)), get(g, i + x).text)), '') AS text)), "
-        f"w -> IF({may_be}, {window}, NULL)), 0)"
+        "get(transform(array(struct(aggregate(sequence(0, k), 0, (x, y) -> x + get(l, i + y)) AS n, "
+        f"forall(sequence(0, k), x -> get(l, i + x) = {P.CARD_GROUP}) AS four)), w -> IF({may_be}, {window}, NULL)), 0)"
     )
     each = f"filter(transform(sequence(z.few, z.fit - 1), k -> {built}), x -> x IS NOT NULL)"
     first = f"i = 0 OR get(kinds, i) > {_CARD_GAPS}"
