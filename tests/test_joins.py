@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from partsight import plans
 
+SF = "/root/testdata/sf0.001"
 SCHEMAS = {
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "customer": "c_custkey long, c_name string",
@@ -19,3 +22,23 @@ def test_derived_sides_are_not_broadcast(spark, tmp_path, name):
     found = plans.queries()[name](spark, str(tmp_path))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["fitment_evidence", "fitment_set", "fitment_outcome", "fitment_batch", "fitment_questions"])
+def test_vehicles_records_and_products_are_never_broadcast(spark, name):
+    plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    one_key = r" \[(vehicle_id|sku)#\d+L?\], \[\1#\d+L?\]"
+    assert re.search("SortMergeJoin" + one_key, plan) and not re.search("BroadcastHashJoin" + one_key, plan)
+
+
+def test_checks_of_records_are_not_shuffled(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = plans.queries()["fitment_evidence"](spark, SF)
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(threshold, before)
+    below = [plan[i + 1] for i, line in enumerate(plan[:-1]) if "Exchange hashpartitioning" in line]
+    assert below and not any("check_make" in line for line in below)
