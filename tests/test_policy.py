@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partsight.functions import literals as lit
 from partsight.functions import text as tx
 from partsight.operators import policy as pol
+from partsight.rules import policy as R
 
 CASES = [
     ("Скидка будет", {"PROMISE_DISCOUNT"}), ("Скидки нет", set()), ("Не даём скидок", set()),
@@ -141,3 +142,27 @@ def test_needed_words_are_necessary(spark):
     assert pol._needed_words(r"[0-9]+") is None
     assert pol._needed_words(r"ab?c|x(?:yy|zzz)?") == ["a", "x"]
     assert pol._alternatives(r"a|(b|c)|[|]|\|") == ["a", "(b|c)", "[|]", r"\|"]
+
+
+def test_words_left_out_without_cyrillic_cannot_occur():
+    signs = [chr(i) for i in range(0x10000) if not 0x400 <= i <= 0x45F and not 0xD800 <= i < 0xE000]
+    folds = {"cyr": str.maketrans(*tx.LAT_TO_CYR), "lat": str.maketrans(*tx.CYR_TO_LAT), "nt": {}}
+    reached = {view: set("".join(signs).translate(fold).lower()) for view, fold in folds.items()}
+    words = {(pol._VIEW[script], w) for _, script, p in R.RULES for w in pol._needed_words(p) or ()}
+    words |= {(pol._VIEW[script], stem) for _, script, stems in R.SPLIT_STEMS for stem in stems}
+    gated = {(view, w) for view, w in words if pol._needs_cyrillic(view, w)}
+    assert len(gated) > len(words) // 2
+    assert all(set(w) - reached[view] for view, w in gated)
+    # A word of look-alikes alone is looked for in every text.
+    assert not pol._needs_cyrillic("cyr", "рекх") and pol._needs_cyrillic("nt", "рекх")
+
+
+@pytest.mark.parametrize("text", ["Oплата получена", "нeт, cкидкa будет"])
+def test_words_with_some_look_alikes_are_found(spark, text):
+    parts = spark.createDataFrame([(1, 0, text)], "draft_id long, part_index int, text string")
+    assert {r.code for r in pol.find(parts).collect()} & {"PAYMENT_RECEIVED_CLAIM", "PROMISE_DISCOUNT"}
+
+
+def test_cyrillic_words_are_not_looked_for_one_by_one():
+    codes = dict.fromkeys(c for c, script, _ in R.RULES if script == "cyr")
+    assert any("has_cyrillic AND (" in pol._by_code(R.RULES, code) for code in codes)
