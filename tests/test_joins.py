@@ -8,11 +8,25 @@ import pytest
 
 from partsight import plans
 
-SF = "/root/testdata/sf0.001"
 SCHEMAS = {
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "customer": "c_custkey long, c_name string",
 }
+ORDERS = "o_orderkey long, o_custkey long"
+LINES = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"
+
+
+def _orders(spark, folder) -> str:
+    """Parts, customers and their orders in a folder."""
+    parts = [(i, f"part {i}", f"Brand#{i % 9}", "T", i % 40, 1.0) for i in range(1, 40)]
+    tables = {
+        "part": (parts, SCHEMAS["part"]), "customer": ([(i, f"c{i}") for i in range(1, 40)], SCHEMAS["customer"]),
+        "orders": ([(i, i % 40) for i in range(1, 80)], ORDERS),
+        "lineitem": ([(i, i % 39 + 1, k, 2.0) for i in range(1, 80) for k in (1, 2)], LINES),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
 
 
 @pytest.mark.parametrize("name", ["part_number_match", "product_search", "search_basis"])
@@ -25,18 +39,19 @@ def test_derived_sides_are_not_broadcast(spark, tmp_path, name):
 
 
 @pytest.mark.parametrize("name", ["fitment_evidence", "fitment_set", "fitment_outcome", "fitment_batch", "fitment_questions"])
-def test_vehicles_records_and_products_are_never_broadcast(spark, name):
-    plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+def test_vehicles_records_and_products_are_never_broadcast(spark, tmp_path, name):
+    plan = plans.queries()[name](spark, _orders(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
     one_key = r" \[(vehicle_id|sku)#\d+L?\], \[\1#\d+L?\]"
     assert re.search("SortMergeJoin" + one_key, plan) and not re.search("BroadcastHashJoin" + one_key, plan)
 
 
-def test_checks_of_records_are_not_shuffled(spark):
+def test_checks_of_records_are_not_shuffled(spark, tmp_path):
+    folder = _orders(spark, tmp_path)
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
     spark.conf.set(threshold, "-1")
     try:
-        found = plans.queries()["fitment_evidence"](spark, SF)
+        found = plans.queries()["fitment_evidence"](spark, folder)
         plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         spark.conf.set(threshold, before)
