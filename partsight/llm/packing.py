@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from partsight.llm.common import stepped, stored, whole_groups
 
@@ -27,7 +28,7 @@ CAPACITY = 2048
 GROUP_PIECES = 20_000
 ROUNDS = 3
 #: Chunks between white space and words in them whose ids a Python worker remembers from task to task, and
-#: the longest of them. When there are more, only chunks met more than once stay.
+#: the longest of them. At half as many, those not looked up since the last half are forgotten.
 MEMORY_CHUNKS, MEMORY_CHARS = 1_500_000, 48
 
 _PIECE = [
@@ -48,36 +49,45 @@ def _split(text: str) -> list[str]:
     return text.split()
 
 
+class _Seen(dict):
+    """Ids of chunks; a chunk that is not there is made by ``make``, and kept if it is short."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.make(chunk)
+        if len(chunk) <= MEMORY_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizer, chunk between white space by chunk.
 
     Special tokens of the file that stand in a text are their own ids, as the library gives them; the
-    rest of the text is encoded around them. The tokenizer must drop white space and never join what it separates, lower-case, and part letters
-    from punctuation; then the ids of a text are those of its chunks in order, a chunk of a word and
-    punctuation has the ids of the two, and what was seen before needs no work. New words go to the
-    tokenizer many at a time: each ends with the first id that ends a word.
+    rest of the text is encoded around them. The tokenizer must drop white space and never join what it separates, lower-case, part letters
+    from punctuation, and give a word to its model in byte-level characters; then the ids of a text are
+    those of its chunks in order, a chunk of a word and punctuation has the ids of the two, a word of
+    Latin-1 letters has those of the model, and what was seen before needs no work.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_CHUNKS):
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().items()
         self.special = {token.content: np.array([code], "<u4").tobytes() for code, token in added}
         self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        for token, code in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            ends[code] = token.endswith("</w>")
-        self.ends = ends
-        self.words: dict[str, bytes] = {}
-        #: A chunk never holds a special token, so those can be looked up among the chunks.
-        self.seen: dict[str, bytes] = dict(self.special)
-        self.met_again: set[str] = set()
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.seen: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Forgets words, and chunks that were met once; all of them if half would stay."""
-        kept = self.met_again if 2 * len(self.met_again) < self.memory else ()
-        self.seen = {c: self.seen[c] for c in kept if c in self.seen} | {"": b"", **self.special}
-        self.words, self.met_again = {}, set()
+        """Forgets what was not looked up since the last time."""
+        self.older, self.seen = self.seen, _Seen(self._make)
+        #: A chunk never holds a special token, so those can be looked up among the chunks.
+        self.seen.update(self.special)
 
     def _chunks(self, text: str) -> list[str]:
         if self.parted and any(s in text for s in self.special):
@@ -85,51 +95,31 @@ class ChunkEncoder:
             return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else _split(part))]
         return _split(text)
 
-    def _learn_words(self, words: list[str]) -> None:
-        for start in range(0, len(words), 2048):
-            part = words[start : start + 2048]
-            code = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
-            ids = np.array(code.ids, "<u4")
-            cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
-            assert len(cuts) == len(part) + 1, "a word of letters ends with one id"
-            raw, at = ids.tobytes(), (4 * cuts).tolist()
-            for word, a, b in zip(part, at, at[1:]):
-                self.words[word] = raw[a:b]
-
-    def _learn(self, new: list[str]) -> None:
-        parted, rest = [], []
-        for chunk in new:
-            if chunk.isascii() and chunk.isalpha():
-                parted.append((chunk, chunk.lower(), ""))
-            elif m := _WORD.fullmatch(chunk):
-                parted.append((chunk, m[1].lower(), m[2]))
-            else:
-                rest.append(chunk)
-        words = self.words
-        self._learn_words(list({word for _, word, _ in parted if word not in words}))
-        rest += list({tail for _, _, tail in parted if tail and tail not in self.seen})
-        for start in range(0, len(rest), 2048):
-            part = rest[start : start + 2048]
-            for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.seen[chunk] = np.array(code.ids, "<u4").tobytes()
-        for chunk, word, tail in parted:
-            self.seen[chunk] = words[word] + self.seen[tail] if tail else words[word]
+    def _make(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is not None:
+            return ids
+        word, tail = chunk, ""
+        if not (chunk.isascii() and chunk.isalpha()):
+            if not (m := _WORD.fullmatch(chunk)):
+                code = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0]
+                return np.array(code.ids, "<u4").tobytes()
+            word, tail = m.groups()
+        low = word.lower()
+        if tail:
+            return self.seen[low] + self.seen[tail]
+        if low != chunk:
+            return self.seen[low]
+        if not low.isascii():
+            low = low.translate(self.level)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low)])
 
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, and ``end`` behind them."""
-        split = [self._chunks(t) for t in texts]
-        if len(self.seen) + len(self.words) > self.memory:
+        if 2 * len(self.seen) > self.memory:
             self.forget()
-        seen, here = self.seen, set().union(*split)
-        new = [chunk for chunk in here if chunk not in seen]
-        self.met_again.update(here.difference(new))
-        self._learn(new)
-        out = [b"".join(map(seen.__getitem__, chunks)) + end for chunks in split]
-        for chunk in new:
-            if len(chunk) > MEMORY_CHARS:
-                del seen[chunk]
-                self.words.pop(chunk.lower(), None)
-        return out
+        of = self.seen.__getitem__
+        return [b"".join(map(of, self._chunks(t))) + end for t in texts]
 
 
 @lru_cache(maxsize=1)

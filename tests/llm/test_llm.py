@@ -277,6 +277,20 @@ def test_pieces_equal_the_tokenizer(spark):
         assert by[i] == [*whole.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+def test_words_of_letters_go_to_the_model_alone():
+    whole = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    texts = ["Quelquefois, ÀÉÿ naïve STRASSE straße... a", "unheard-of: xqzvkj Xqzvkj! don't 4242", "a" * 60 + " " + "B" * 60 + "!"]
+    ids = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = packing.ChunkEncoder(queries.WORD_TOKENIZER, memory=8)
+    for _ in range(3):  # what is forgotten is made again
+        assert [encoder([t], b"")[0] for t in texts] == ids
+        assert max(map(len, encoder.seen)) <= packing.MEMORY_CHARS
+    encoder = packing.ChunkEncoder(queries.WORD_TOKENIZER)
+    encoder([", ..."], b"")
+    encoder.tokenizer = None
+    assert encoder([texts[0]], b"") == [ids[0]]
+
+
 @pytest.mark.parametrize("group", [20_000, 13])
 def test_packing_is_sound_and_near_its_bound(spark, group):
     r = random.Random(4)
