@@ -97,6 +97,32 @@ def test_repeats_in_blocks_of_a_long_text(spark, monkeypatch):
     }
 
 
+def test_repeats_take_texts_apart_once_a_round(spark, monkeypatch):
+    plans, plain = [], repeats.stored
+
+    def stored(df, what):
+        if what == "stretches":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, what)
+
+    monkeypatch.setattr(repeats, "stored", stored)
+    shared, texts = words(7, 30), []
+    for i in range(6):
+        texts.append(words(20 + i, 9) + shared + words(30 + i, 9))
+    found = repeats.digests(repeats.remove_repeats(docs(spark, texts), window=40, grams=(16, 32))).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == dict(enumerate(brute_repeats([t.encode() for t in texts], 40)))
+    assert [p.count("MapInArrow") for p in plans] == [1, 1]
+
+
+def test_gram_names_are_equal_where_bytes_are():
+    data = np.frombuffer((words(3, 80) + words(4, 20) + words(3, 80)).encode() + bytes(40) + b"\xff" * 40, np.uint8)
+    for gram in (1, 3, 7, 8, 9, 15, 16, 128):
+        names = repeats.gram_names(data, gram).tolist()
+        grams = [data[i : i + gram].tobytes() for i in range(len(data) - gram + 1)]
+        assert len(names) == len(grams) and len(set(names)) == len(set(grams)) == len(set(zip(names, grams)))
+    assert [len(repeats.gram_names(data[:n], 8)) for n in (0, 7, 8)] == [0, 0, 1]
+
+
 def test_repeats_keep_characters_whole(spark):
     texts = ["é" * 300 + "x", "y" + "é" * 300]
     found = repeats.kept_texts(repeats.remove_repeats(docs(spark, texts), window=9, grams=(4,))).collect()
