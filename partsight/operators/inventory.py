@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partsight.functions.keys import oem_key, sku_key, text_key, title_key
+from partsight.functions.keys import oem_key, sku_key, title_key
 from partsight.operators.joins import shuffled
 from partsight.operators.ordered import stored
 
@@ -196,12 +196,14 @@ def offer_totals(lines: DataFrame, claims: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------------------------
 
 _VEHICLE = ("make", "model", "chassis_code")
+#: Parts into which the products are dealt for requests that no key joins with them.
+_DEALT = 64
 
 
 def _applicable_specs(requests: DataFrame, fitments: DataFrame) -> DataFrame:
     """(spec request, sku) pairs of catalogue applicability. Joined per set of given attributes, so
     each join is an equi-join on exactly the attributes the request names."""
-    specs = fitments.select("sku", *[text_key(F.col(a)).alias(a) for a in _VEHICLE]).distinct()
+    specs = fitments.select("sku", *[title_key(F.col(a)).alias(a) for a in _VEHICLE]).distinct()
     wanted = requests.select(*[f"q_{a}" for a in _VEHICLE]).distinct()
     found = None
     for mask in range(1, 8):
@@ -224,26 +226,33 @@ def vehicle_basis(pairs: DataFrame, fitments: DataFrame) -> DataFrame:
     """For (query, product) pairs, do the given vehicle attributes agree with a catalogue
     record of the product, and does its title name the chassis code?
 
-    ``pairs`` carries ``sku_product``, ``title`` and the keyed attributes ``q_make`` ...; records are
-    reduced to distinct specs first and the flag is a ``bool_or``.
+    ``pairs`` carries ``sku_product``, ``title`` and the keyed attributes ``q_make`` ...; records and
+    what is asked of a product are reduced to distinct rows first, so neither the key of a request nor a
+    null in it or in a record's other attributes decides.
     """
+    attrs = [f"q_{a}" for a in _VEHICLE]
+    keys = [*attrs, "sku_product"]
     specs = fitments.select(
-        F.col("sku").alias("sku_product"), *[text_key(F.col(a)).alias(f"s_{a}") for a in _VEHICLE]
+        F.col("sku").alias("sku_product"), *[title_key(F.col(a)).alias(f"s_{a}") for a in _VEHICLE]
     ).distinct()
     agrees = None
     for a in _VEHICLE:
         one = F.col(f"q_{a}").isNull() | (F.col(f"q_{a}") == F.col(f"s_{a}"))
         agrees = one if agrees is None else agrees & one
-    given = F.coalesce(*[F.col(f"q_{a}") for a in _VEHICLE]).isNotNull()
-    flags = (
-        pairs.join(shuffled(specs), "sku_product", "left")
-        .groupBy("query_id", "sku_product")
-        .agg(F.bool_or(F.coalesce(agrees & F.col("s_make").isNotNull(), F.lit(False))).alias("in_catalog"))
+    given = F.coalesce(*attrs).isNotNull()
+    met = (
+        pairs.where(given).select(*keys).distinct()
+        .join(shuffled(specs), "sku_product").where(agrees)
+        .select(*[F.col(k).alias(f"met_{k}") for k in keys]).distinct().withColumn("in_catalog", F.lit(True))
     )
-    return pairs.join(shuffled(flags), ["query_id", "sku_product"]).withColumns(
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"met_{k}"))
+        same = one if same is None else same & one
+    return pairs.join(shuffled(met), same, "left").drop(*[f"met_{k}" for k in keys]).withColumns(
         {
             "vehicle_given": given,
-            "catalog_applicability": given & F.col("in_catalog"),
+            "catalog_applicability": F.coalesce("in_catalog", F.lit(False)),
             "title_mention": F.coalesce(
                 F.contains(title_key(F.col("title")), F.col("q_chassis_code")), F.lit(False)
             ),
@@ -258,14 +267,16 @@ def search_products(
 
     Requests with an SKU or a part number start from an equi-join on that key; the remaining
     criteria filter the few pairs it leaves. Requests that name a vehicle only start from the
-    catalogue applicability join and the title substrings (``title_mentions``).
+    catalogue applicability join and the title substrings (``title_mentions``). Requests with nothing
+    but a part type start from it; those without any criterion, or with a chassis code of no letter or
+    digit, which every title contains, meet every product.
     """
     # Stored, as every branch below starts from the requests: the plan would hold them dozens of times.
     q = stored(requests.select(
         "query_id",
         sku_key(F.col("sku")).alias("q_sku"),
         oem_key(F.col("oem_number")).alias("q_oem"),
-        *[text_key(F.col(a)).alias(f"q_{a}") for a in _VEHICLE],
+        *[title_key(F.col(a)).alias(f"q_{a}") for a in _VEHICLE],
         F.col("part_type").alias("q_part_type"),
     ), "requests")
     p = products.select(
@@ -286,24 +297,27 @@ def search_products(
         .join(shuffled(p), "sku_product")
         .select(*by_sku.columns)
     )
-    only = q.where(
-        F.col("q_sku").isNull()
-        & F.col("q_oem").isNull()
-        & F.coalesce(*[F.col(f"q_{a}") for a in _VEHICLE]).isNotNull()
-    )
     attrs = [f"q_{a}" for a in _VEHICLE]
+    keyless = q.where(F.col("q_sku").isNull() & F.col("q_oem").isNull())
+    anywhere = F.coalesce(*attrs).isNull() | F.coalesce(F.col("q_chassis_code") == "", F.lit(False))
+    only, unnamed = keyless.where(~anywhere), keyless.where(anywhere)
     applicable = _applicable_specs(only, fitments).withColumnRenamed("sku", "sku_product")
     named = title_mentions(only, p)
-    start = applicable.unionByName(named.select(*attrs, "sku_product")).distinct()
+    start = applicable.where(F.col("sku_product").isNotNull()).unionByName(named.select(*attrs, "sku_product")).distinct()
     same = None
     for a in attrs:
         one = F.col(f"o.{a}").eqNullSafe(F.col(f"s.{a}"))
         same = one if same is None else same & one
     by_vehicle = (
-        only.alias("o").join(shuffled(start).alias("s"), same).select("o.*", "s.sku_product")
-        .join(shuffled(p), "sku_product").select(*by_sku.columns)
+        only.alias("o").join(shuffled(start).alias("s"), same).select("o.*", F.col("s.sku_product").alias("start_sku"))
+        .join(shuffled(p), F.col("start_sku").eqNullSafe(F.col("sku_product"))).select(*by_sku.columns)
     )
-    pairs = first.unionByName(by_oem).unionByName(by_vehicle)
+    by_type = unnamed.join(shuffled(p), F.col("q_part_type") == F.col("part_type")).select(*by_sku.columns)
+    # Every request meets every product: an equi-join on the part that a product is dealt to.
+    everywhere = unnamed.where(F.col("q_part_type").isNull()).withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
+    dealt = p.withColumn("dealt", F.pmod(F.hash("sku_product", "title"), F.lit(_DEALT)))
+    by_all = everywhere.join(shuffled(dealt), "dealt").select(*by_sku.columns)
+    pairs = first.unionByName(by_oem).unionByName(by_vehicle).unionByName(by_type).unionByName(by_all)
     pairs = stored(pairs.where(F.col("q_part_type").isNull() | (F.col("q_part_type") == F.col("part_type"))), "pairs")
     judged = vehicle_basis(pairs, fitments)
     hits = judged.where(
