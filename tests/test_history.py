@@ -178,3 +178,16 @@ def test_sets_that_cannot_share_enough_never_meet(spark):
     ranks = spark.createDataFrame([(w, i) for i, w in enumerate("abcdzyxwefghik")], "word string, texts long")
     met = sm.meeting_sets(sm._prefixes(sets, ranks, 60), sm._prefixes(sets, ranks, 60), 60).where("left_key <> right_key")
     assert met.count() == 0
+
+
+def test_sets_that_differ_too_much_are_dropped_where_they_meet(spark):
+    """Pairs of texts that share their rarest words and little else grow with the square of the texts; none is written."""
+    rnd = random.Random(6)
+    sets = [("rare", "seldom", *(f"w{i}_{rnd.randrange(40)}" for i in range(40))) for _ in range(30)]
+    sets += [(*s[:-1], "other") for s in sets[:5]] + [("rare", "seldom", *(f"w{i}" for i in range(600)))]
+    df = spark.createDataFrame([(str(i), [*s]) for i, s in enumerate(sets)], "set_key string, words array<string>")
+    ranks = df.select(F.explode("words").alias("word")).select("word", F.when(F.col("word").isin("rare", "seldom"), 0).otherwise(1).alias("texts"))
+    found = sm.meeting_sets(sm._prefixes(df, ranks, 60), sm._prefixes(df, ranks, 60), 60).distinct()
+    alike = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len({*a} & {*b}) >= 60 * len({*a} | {*b})}
+    assert len(alike) == 46 and found.count() == 46
+    assert {(int(r.left_key), int(r.right_key)) for r in sm.similar_sets(df, df, 60).collect()} == alike
