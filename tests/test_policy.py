@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +169,49 @@ def test_words_with_some_look_alikes_are_found(spark, text):
 def test_cyrillic_words_are_not_looked_for_one_by_one():
     codes = dict.fromkeys(c for c, script, _ in R.RULES if script == "cyr")
     assert any("has_cyrillic AND (" in pol._by_code(R.RULES, code) for code in codes)
+
+
+def test_signs_that_may_be_foreign_are_looked_at(spark):
+    signs = spark.createDataFrame([(chr(i),) for i in [*range(1, 0xD800), *range(0xE000, 0x11000), 0x1D400, 0x20000]], "c string")
+    foreign = signs.where(F.expr(tx.rlike_sql("c", tx.unicode_regex(tx._FOREIGN, ignore_case=False))))
+    assert foreign.count() > 40_000 and foreign.where(~F.col("c").rlike(tx._MAY_BE_FOREIGN)).count() == 0
+    text = "Größe, naïve “Ёлка” – 5 €…"
+    assert spark.range(1).where(F.lit(text).rlike(tx._MAY_BE_FOREIGN)).count() == 0
+
+
+def test_texts_without_cyrillic_are_scanned_for_what_can_match_there(spark):
+    """What a pattern loses matches no text of Latin letters, folded or not; the rest matches as before."""
+    assert pol._without_cyrillic("cyr", r"\bна\s(?:карту|счёт)\b|\bскидк\w*|з?[й(]ок") == r"\bна\s(?:карту)\b|з?[й(]ок"
+    assert pol._without_cyrillic("cyr", r"жди|(?:щи|юг)+") is None and pol._without_cyrillic("lat", r"a(?:б|c)?(?!д)") == r"a(?:б|c)?(?!д)"
+    cut = {}
+    for code, script, pattern in R.RULES:
+        rest = pol._without_cyrillic(pol._VIEW[script], pattern)
+        if rest != pattern:
+            cut[pattern] = (pol._VIEW[script], code, rest)
+    assert len(cut) > 20
+    back = str.maketrans(tx.LAT_TO_CYR[1][:24], tx.LAT_TO_CYR[0][:24])
+    spoken = sorted({w for _, _, p in R.RULES for w in pol._needed_words(p) or ()})
+    rnd = random.Random(2)
+    texts = ["".join(c for c in " ".join(rnd.choices([*spoken, "5"], k=400)).translate(back) if not "Ѐ" <= c <= "ӿ") for _ in range(20)]
+    texts += ["Ha kapTy, aBaHc, 5 p. T.p. Bk; BcTaHeT; CTo TpoE; MoE HoMep; BepHy BaM "]
+    views = tx.with_views(spark.createDataFrame([(t,) for t in texts], "text string")).cache()
+    found = 0
+    for pattern, (view, _, rest) in cut.items():
+        whole = F.size(F.expr(tx.spans_sql(view, tx.unicode_regex(pattern))))
+        less = F.lit(0) if rest is None else F.size(F.expr(tx.spans_sql(view, tx.unicode_regex(rest))))
+        row = views.agg(F.sum(whole).alias("whole"), F.sum(less).alias("less")).collect()[0]
+        assert row.whole == row.less, pattern
+        found += row.whole
+    assert found > 10
+
+
+def test_many_findings_of_one_part_are_told_apart(spark):
+    """Findings of one text are numbers until they are rows; equal ones count once, places and codes come back."""
+    text = " ".join(str(i) for i in range(400)) + " ﬁ5"
+    got = pol.find(spark.createDataFrame([(1, 0, text)], "draft_id long, part_index int, text string"))
+    assert "array_distinct" in got._jdf.queryExecution().optimizedPlan().toString()
+    digits = [(m.start(), m.end()) for m in re.finditer("[0-9]+", text)]
+    rows = got.where("code = 'DIGITS_NOT_ALLOWED'").collect()
+    assert sorted((r.start, r.end) for r in rows) == digits
+    pairs = [f for f in got._jdf.queryExecution().optimizedPlan().toString().split("array_distinct(") if f.startswith("concat(transform(basic")]
+    assert pairs and all("shiftleft" in f for f in pairs)
