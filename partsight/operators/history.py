@@ -140,16 +140,17 @@ def _later_smaller(values: np.ndarray, groups: np.ndarray | None = None) -> int:
     """Pairs i < j with values[i] > values[j]; of those with ``groups`` only pairs from different ones (groups do not fall)."""
 
     def count(v: np.ndarray) -> int:
-        total, width = 0, 1
+        # By the bits of the ranks from the top, rows whose higher bits are equal stand together in their order:
+        # of these, each row whose bit is 0 is smaller than all before it whose bit is 1.
         v = np.unique(v, return_inverse=True)[1]
-        while width < len(v):  # merge neighbouring sorted runs; of each right one count what is larger on the left
-            block = np.arange(len(v)) // (2 * width)
-            right = (np.arange(len(v)) // width) % 2 == 1
-            key = block * (len(v) + 1) + v
-            left_keys = np.sort(key[~right])
-            ends = np.searchsorted(left_keys, (block[right] + 1) * (len(v) + 1) - 1, side="right")
-            total += int((ends - np.searchsorted(left_keys, key[right], side="right")).sum())
-            width *= 2
+        total, ones, first = 0, np.zeros(len(v) + 1, np.int64), np.zeros(len(v), np.int64)
+        for k in reversed(range(int(v.max(initial=0)).bit_length())):
+            bit = (v >> k) & 1
+            np.cumsum(bit, out=ones[1:])
+            total += int((ones[:-1] - ones[first])[bit == 0].sum())
+            v = v[np.argsort(v >> k, kind="stable")]
+            starts = np.flatnonzero(np.diff(v >> k, prepend=-1))
+            first = np.repeat(starts, np.diff(starts, append=len(v)))
         return total
 
     whole = count(values)
@@ -173,7 +174,9 @@ def inversions(rows: DataFrame, list_key: str, position: str, value: str, block_
     given = stored(rows.where(F.col(value).isNotNull()).select(
         F.col(list_key).alias("list"), F.col(position).cast("long").alias("at"), F.col(value).alias("value")
     ), "given")
-    sizes = given.groupBy("list").agg(F.count(F.lit(1)).alias("n"), (F.max("at") + 1).alias("span"))
+    # Stored, as all below read them: joined as they are computed, they would be taken for as large as the rows, which
+    # were shuffled by list then, most of them to one task.
+    sizes = stored(given.groupBy("list").agg(F.count(F.lit(1)).alias("n"), (F.max("at") + 1).alias("span")), "sizes")
     blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / block_rows)).cast("int")
     sized = sizes.withColumn("blocks", F.greatest(blocks, F.lit(1)))
     ranked = given.join(sized, "list").withColumn("block", F.floor(F.col("at") * F.col("blocks") / F.col("span")).cast("int"))
@@ -181,7 +184,7 @@ def inversions(rows: DataFrame, list_key: str, position: str, value: str, block_
     shares = [i / MOST_BLOCKS for i in range(1, MOST_BLOCKS)]
     sketched = ranked.where("blocks > 1").groupBy("list").agg(F.percentile_approx("value", shares, 100_000).alias("bounds"), F.max("blocks").alias("blocks"))
     chosen = F.array_distinct(F.filter("bounds", lambda b, i: (i + 1) % F.ceil(F.lit(MOST_BLOCKS) / F.col("blocks")) == 0))
-    bounds = sketched.select("list", chosen.alias("bounds"))
+    bounds = stored(sketched.select("list", chosen.alias("bounds")), "bounds")
     cut = ranked.join(bounds, "list", "left").withColumn("bounds", F.coalesce("bounds", F.array().cast(bounds.schema["bounds"].dataType)))
     # Bounds below the value, by halving: comparing with each would cost a row up to a thousand steps.
     halves = F.array(*(F.lit(1 << k) for k in reversed(range(MOST_BLOCKS.bit_length()))))
@@ -189,8 +192,8 @@ def inversions(rows: DataFrame, list_key: str, position: str, value: str, block_
     placed = cut.withColumn("below", below).withColumn("on", F.coalesce(F.get("bounds", "below") == F.col("value"), F.lit(False)).cast("int"))
     cells = stored(placed.select("list", "at", "value", "block", (2 * F.col("below") + F.col("on")).alias("range")), "cells")
 
-    within = _counted(cells, ["list", "block"], spans=False)
-    across = _counted(cells.where("range % 2 = 0").join(sized.where("blocks > 1").select("list"), "list", "left_semi"), ["list", "range"], spans=True)
+    within = _counted(cells, "block", spans=False)
+    across = _counted(cells.where("range % 2 = 0").join(sized.where("blocks > 1").select("list"), "list", "left_semi"), "range", spans=True)
 
     # The grid: rows of earlier blocks in higher ranges, as running sums over a full grid.
     counts = cells.groupBy("list", "block", "range").agg(F.count(F.lit(1)).alias("n"))
@@ -212,15 +215,17 @@ def inversions(rows: DataFrame, list_key: str, position: str, value: str, block_
     )
 
 
-def _counted(cells: DataFrame, keys: list[str], spans: bool) -> DataFrame:
-    """list, inversions: summed over the groups of ``keys``; with ``spans`` only pairs of different blocks."""
+def _counted(cells: DataFrame, part: str, spans: bool) -> DataFrame:
+    """list, inversions: summed over the parts of the lists; with ``spans`` only pairs of different blocks."""
     kind = cells.schema["list"]
 
     def count(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values("at", kind="stable")
         groups = ordered["block"].to_numpy() if spans else None
-        return pd.DataFrame({"list": [group[0]], "inversions": [_later_smaller(ordered["value"].to_numpy(), groups)]})
+        return pd.DataFrame({"list": [group[1]], "inversions": [_later_smaller(ordered["value"].to_numpy(), groups)]})
 
     schema = f"list {kind.dataType.simpleString()}, inversions long"
-    found = cells.groupBy(*keys).applyInPandas(count, schema)
+    # By part first: rows are sorted by these keys, and most rows may be of one list.
+    needed = cells.select(part, "list", "at", "value", *(["block"] if spans else []))
+    found = needed.groupBy(part, "list").applyInPandas(count, schema)
     return found.groupBy("list").agg(F.sum("inversions").alias("inversions"))

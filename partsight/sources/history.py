@@ -75,7 +75,7 @@ def _listed(d: Dialect) -> str:
       FROM (SELECT *, {of} FROM {d.ref('lineitem')})"""
     given = f"SELECT *, {of}, {d.idiv('l_orderkey', '1000')} AS thousand FROM {d.ref('lineitem')}"
     earlier = "OVER (PARTITION BY list ORDER BY thousand NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    place = f"row_number() OVER (PARTITION BY g.list, g.thousand ORDER BY {order})"
+    place = f"row_number() OVER (PARTITION BY g.thousand, g.list ORDER BY {order})"
     return f"""SELECT g.list, coalesce(earlier, 0) + {place} - 1 AS position, {d.secs('l_shipdate')} AS seen_s
       FROM ({given}) g JOIN (SELECT list, thousand, sum(n) {earlier} AS earlier FROM (SELECT list, thousand, count(*) AS n FROM ({given}) c GROUP BY list, thousand) t) b
         ON g.list IS NOT DISTINCT FROM b.list AND g.thousand IS NOT DISTINCT FROM b.thousand"""

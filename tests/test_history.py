@@ -191,3 +191,28 @@ def test_sets_that_differ_too_much_are_dropped_where_they_meet(spark):
     alike = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len({*a} & {*b}) >= 60 * len({*a} | {*b})}
     assert len(alike) == 46 and found.count() == 46
     assert {(int(r.left_key), int(r.right_key)) for r in sm.similar_sets(df, df, 60).collect()} == alike
+
+
+def test_rows_of_a_list_are_not_shuffled_to_be_placed(spark, monkeypatch):
+    """The few facts about each list are stored: joined as they are computed they pass for as large as the rows."""
+    rnd = random.Random(4)
+    values = [rnd.randrange(10**9) for _ in range(20_000)]
+    df = spark.createDataFrame([("x" if i % 50 else "y", i // 50 if i % 50 == 0 else i - i // 50 - 1, v) for i, v in enumerate(values)], "list string, position long, v long")
+    plans, stored = {}, hs.stored
+
+    def kept(rows, what="rows"):
+        plans[what] = rows._jdf.queryExecution().executedPlan().toString()
+        return stored(rows, what)
+
+    monkeypatch.setattr(hs, "stored", kept)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "30k")
+    try:
+        found = {r.list: (r.n, r.inversions) for r in hs.inversions(df, "list", "position", "v", block_rows=5000).collect()}
+    finally:
+        spark.conf.set(threshold, before)
+    assert "BroadcastHashJoin" in plans["cells"] and "SortMergeJoin" not in plans["cells"]
+    for name, some in (("x", [v for i, v in enumerate(values) if i % 50]), ("y", values[::50])):
+        v = np.array(some)
+        assert found[name] == (len(v), sum(int((v[:j] > v[j]).sum()) for j in range(len(v))))
